@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.functions.ids import chunk_id
 from citeloom.functions.text import WHITESPACE, squeeze_blanks
+from citeloom.operators.ordered import last_known, running_sum_before
 
 # Passage length, overlap, least emitted length.
 TARGET, OVERLAP, LEAST = 2800, 400, 80
@@ -178,14 +179,11 @@ def page_at_offset(pages: DataFrame, offsets: DataFrame) -> DataFrame:
 
     Page starts and questions are merged in offset order per file, so cost is linear in both.
     """
-    order = Window.partitionBy("file").orderBy("page")
     size = F.length("text") + len(PAGE_GAP)
-    starts = tidy_pages(pages).select(
-        "file", F.col("page").cast("int").alias("page"),
-        (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1))).alias("before"),
-    ).select("file", F.coalesce("before", F.lit(0)).cast("bigint").alias("at"), "page", F.lit(0).alias("kind"))
+    numbered = tidy_pages(pages).select("file", F.col("page").cast("int").alias("page"), size.alias("size"))
+    starts = running_sum_before(numbered, ["file"], "page", F.col("size"), "at").select(
+        "file", F.col("at").cast("bigint").alias("at"), "page", F.lit(0).alias("kind"))
     asked = offsets.select("file", F.col("at").cast("bigint").alias("at"), F.lit(None).cast("int").alias("page"),
                            F.lit(1).alias("kind"))
-    merged = Window.partitionBy("file").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = starts.unionByName(asked).withColumn("page", F.last("page", ignorenulls=True).over(merged))
-    return found.filter(F.col("kind") == 1).select("file", "at", "page")
+    found = last_known(starts.unionByName(asked), ["file"], ["at", "kind"], F.col("page"), "found", width=_BLOCK * 64)
+    return found.filter(F.col("kind") == 1).select("file", "at", F.col("found").alias("page"))
