@@ -364,7 +364,7 @@ def normalise_connection(t: Tables):
         F.when(n % 2 == 1, F.col("s_nationkey") + 1900).when(n % 4 == 0, 0).alias("from"), F.col("s_nationkey").alias("to"), F.lit(True).alias("approx"),
         F.array(F.array(F.lit(1.0), F.lit(2.0))).alias("waypoints"), F.when(n % 3 == 0, "").otherwise(F.col("s_name")).alias("label"),
         F.when(n % 7 == 0, "").otherwise(F.col("s_name")).alias("source"), F.when(n % 5 != 0, "note").alias("note"))
-    rows = _layer_files(t, t.supplier.select((n % 10).alias("part"), record.alias("f")), "connections")
+    rows = _layer_files(t, t.supplier.select(F.floor(n / 500).alias("part"), record.alias("f")), "connections")
     return G.normalise_connections(rows).select("id", "name", "kind", "from", "to", "note")
 
 
@@ -390,7 +390,7 @@ def scan_json_layers(t: Tables):
         F.concat(F.lit("c"), n.cast("string")).alias("id"), F.col("s_name").alias("label"), F.col("s_nationkey").alias("from"),
         F.when(n % 2 == 1, F.array(point)).otherwise(F.array().cast("array<array<double>>")).alias("waypoints")).alias("f"))
     bare_path, held_path = scratch_path(t.spark, "bare"), scratch_path(t.spark, "held")
-    part = (n % 10).alias("part")
+    part = F.floor(n / 500).alias("part")
     listed = F.to_json(F.collect_list("f"))
     rows.filter(n % 3 == 0).groupBy(part).agg(listed.alias("value")).repartition("part").write.partitionBy("part").text(bare_path)
     rows.filter(n % 3 != 0).groupBy(part).agg(F.concat(F.lit('{"connections":'), listed, F.lit("}")).alias("value")) \
@@ -414,7 +414,7 @@ def scan_geojson(t: Tables):
                  F.when(F.col("label") % 2 == 0, F.concat(F.lit("DS-"), F.col("vec_id").cast("string"))).alias("TARP_CONNECTION"),
                  F.concat(F.lit("o"), F.col("label").cast("string")).alias("OWNER")).alias("properties"))
     path = scratch_path(t.spark, "geojson")
-    docs = t.embeddings.select((F.col("vec_id") % 50).alias("part"), feature.alias("f")).groupBy("part").agg(
+    docs = t.embeddings.select(F.floor(F.col("vec_id") / 500).alias("part"), feature.alias("f")).groupBy("part").agg(
         F.concat(F.lit('{"type":"FeatureCollection","features":'), F.to_json(F.collect_list("f")), F.lit("}")).alias("value"))
     docs.repartition("part").write.partitionBy("part").text(path)
     return S.scan_geojson_outfalls(t.spark, path)

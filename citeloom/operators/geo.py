@@ -116,14 +116,17 @@ def active_counts(features: DataFrame, by: str, first: int, last: int) -> DataFr
 def flow_at(features: DataFrame, specs: DataFrame, year: Column) -> DataFrame:
     """Features with the first flow spec(id, ordinal, from, to, dest_lat, dest_lng) whose era contains the year.
 
-    The first spec is found by ``min_by`` on the feature's row key, so no spec list is ever gathered.
+    The spec is chosen once per distinct (id, year), then joined back, so geometries are never grouped and an
+    id shared by many features costs one look-up.
     """
-    s = specs.select("id", F.struct(*[c for c in specs.columns if c != "id"]).alias("spec"))
     wanted = features.withColumn("_year", year)
-    pairs = wanted.join(s, "id").filter(active_at(F.col("_year"), F.col("spec.from"), F.col("spec.to")))
-    first = pairs.groupBy(*[c for c in wanted.columns]).agg(F.min_by("spec", "spec.ordinal").alias("spec"))
+    s = specs.select("id", F.struct(*[c for c in specs.columns if c != "id"]).alias("spec"))
+    asked = wanted.select("id", "_year").distinct().join(s, "id")
+    first = asked.filter(active_at(F.col("_year"), F.col("spec.from"), F.col("spec.to"))) \
+        .groupBy("id", "_year").agg(F.min_by("spec", "spec.ordinal").alias("spec"))
     forward = flows_forward(F.col("geometry"), F.col("spec.dest_lat"), F.col("spec.dest_lng"))
-    return first.select(*features.columns, F.col("spec.ordinal").alias("ordinal"), forward.alias("forward"))
+    return wanted.join(first, ["id", "_year"]).select(
+        *features.columns, F.col("spec.ordinal").alias("ordinal"), forward.alias("forward"))
 
 
 def milestone_asof(questions: DataFrame, milestones: DataFrame, on: str = "year") -> DataFrame:
