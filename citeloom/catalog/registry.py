@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citeloom.session import spread
+
 Builder = Callable[["Tables"], DataFrame]
 
 TABLE_NAMES = (
@@ -13,6 +15,9 @@ TABLE_NAMES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables whose rows carry long texts: their work is per row, so rows should be on all workers.
+TEXT_TABLES = ("documents", "pages")
+
 
 class Tables:
     """Attribute access to the parquet tables of one folder."""
@@ -24,7 +29,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

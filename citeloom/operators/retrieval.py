@@ -137,7 +137,8 @@ def document_words(docs: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """One row per (document, word): id, term, tf, dl. A vocabulary(term) prunes before the shuffle."""
-    words = document_words(docs).select("id", "dl", F.explode("words").alias("term"))
+    # The outer form keeps the optimizer from adding a size() filter that would tokenise every text twice.
+    words = document_words(docs).select("id", "dl", F.explode_outer("words").alias("term")).filter(F.col("term").isNotNull())
     if vocabulary is not None:
         words = words.join(vocabulary.select("term").distinct(), "term", "left_semi")
     return words.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
@@ -155,15 +156,20 @@ def corpus_statistics(docs: DataFrame) -> DataFrame:
     return document_words(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
+def bm25_weight(tf: Column, dl: Column, df: Column, n_docs: Column, avg_dl: Column) -> Column:
+    """Floored idf times saturated, length-normalised term frequency."""
+    idf = F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl))
+
+
 def bm25_weights(post: DataFrame, stats: DataFrame) -> DataFrame:
-    """Contribution of each (document, word): floored idf times saturated, length-normalised tf."""
+    """Contribution of each (document, word)."""
     n_docs = stats.select(F.col("n_docs").cast("double")).scalar()
     avg_dl = stats.select("avg_dl").scalar()
     # Frequencies come from a small aggregate; the join lets the planner pick broadcast by measured size.
     df = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg_dl)
-    return post.join(df, "term").select("id", "term", (idf * F.col("tf") * (K1 + 1) / norm).alias("weight"))
+    weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), n_docs, avg_dl)
+    return post.join(df, "term").select("id", "term", weight.alias("weight"))
 
 
 def query_words(queries: DataFrame, min_chars: int = 3, limit: int | None = 24) -> DataFrame:

@@ -58,3 +58,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a table that arrives in fewer splits than there are workers; larger inputs pass unchanged.
+
+    A file with one row group is read by one task, which would then do all the text work alone.
+    """
+    workers = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(workers) if df.rdd.getNumPartitions() < workers else df
