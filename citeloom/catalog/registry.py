@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.session import spread
+from citeloom.session import prepare, spread
 
 Builder = Callable[["Tables"], DataFrame]
 
@@ -23,7 +23,7 @@ class Tables:
     """Attribute access to the parquet tables of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -13,9 +13,10 @@ WHITESPACE = (
 )
 _WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 
-# Citation marker, bibliography heading, sentence boundary, figure words.
+# Citation marker, bibliography heading, index word, sentence boundary, figure words.
 CITATION = r"\\?\[\\?\[(\d{1,3})\\?\]\\?\]\(#src-(\d+)\)"
 BIBLIOGRAPHY_HEADING = r"(?m)^## Sources\s*$"
+WORD = r"[\p{L}\p{N}]+"
 SENTENCE_BOUNDARY = r'(?<=[.;:])\s+(?=[A-Z0-9"\(])'
 FIGURE_WORDS = (
     r"(?i)\b(figure|fig\.|plate|exhibit|map|diagram|profile|schematic|cross[- ]section|aerial|photograph)\b"
@@ -59,7 +60,12 @@ def fold_letters(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Words of a text as the keyword index sees them: runs of letters and digits, folded."""
-    return F.regexp_extract_all(fold_letters(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(fold_letters(text), F.lit(WORD), F.lit(0))
+
+
+def index_length(text: Column) -> Column:
+    """Number of index words, without building them."""
+    return F.regexp_count(fold_letters(text), F.lit(WORD))
 
 
 def query_terms(text: Column, min_chars: int = 3, limit: int | None = 24) -> Column:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from citeloom.functions.text import index_tokens, query_terms
+from citeloom.functions.text import index_length, index_tokens, query_terms
 
 RANK_DIGITS = 9  # scores are compared after rounding to this many digits, then by id
 BLOCK_ROWS = 256
@@ -153,7 +153,7 @@ def term_statistics(post: DataFrame) -> DataFrame:
 
 def corpus_statistics(docs: DataFrame) -> DataFrame:
     """One row: documents and mean length."""
-    return document_words(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(index_length(F.col("text"))).alias("avg_dl"))
 
 
 def bm25_weight(tf: Column, dl: Column, df: Column, n_docs: Column, avg_dl: Column) -> Column:
@@ -166,8 +166,8 @@ def bm25_weights(post: DataFrame, stats: DataFrame) -> DataFrame:
     """Contribution of each (document, word)."""
     n_docs = stats.select(F.col("n_docs").cast("double")).scalar()
     avg_dl = stats.select("avg_dl").scalar()
-    # Frequencies come from a small aggregate; the join lets the planner pick broadcast by measured size.
-    df = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    # Counting by tf keeps both uses of the postings identical, so their shuffle is planned once and reused.
+    df = post.groupBy("term").agg(F.count_if(F.col("tf") > 0).cast("double").alias("df"))
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), n_docs, avg_dl)
     return post.join(df, "term").select("id", "term", weight.alias("weight"))
 

@@ -8,6 +8,7 @@ from citeloom.functions.text import (
     document_title, heading_anchor, index_tokens, markdown_clean, strip_bibliography, strip_space,
 )
 from citeloom.operators.retrieval import bm25_weight, keyword_topk
+from citeloom.session import materialize
 
 # Least lengths and cuts of intros and sections, field weights, result count.
 LEAST_INTRO, INTRO_CUT, LEAST_SECTION, SECTION_CUT = 60, 2000, 40, 2500
@@ -58,7 +59,7 @@ def field_weights(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words = fields.select("id", "field", "boost", "dl", F.explode_outer("words").alias("term")) \
         .join(vocabulary.select("term").distinct(), "term", "left_semi")
     post = words.groupBy("id", "field", "boost", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = post.groupBy("field", "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    df = post.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).cast("double").alias("df"))
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avg_dl")) * F.col("boost")
     return post.join(df, ["field", "term"]).join(stats, "field").groupBy("id", "term").agg(F.sum(weight).alias("weight"))
 
@@ -82,8 +83,9 @@ def section_search(queries: DataFrame, records: DataFrame, k: int = RESULTS) ->
     words = queries.select("qid", F.explode(index_tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(
         F.count(F.lit(1)).cast("double").alias("times"))
     tokens = index_tokens(F.concat_ws(" ", "section", "doc", "text"))
-    dictionary = records.select(F.explode(tokens).alias("term")).distinct()
+    # Both are read several times below; they are index tables, far smaller than the records.
+    dictionary = materialize(records.select(F.explode_outer(tokens).alias("term")).distinct().filter("term IS NOT NULL"), "dictionary")
     known = words.join(dictionary, "term", "left_semi")
     missed = words.join(known.select("qid").distinct(), "qid", "left_anti")
-    asked = known.unionByName(prefix_words(missed, dictionary))
+    asked = materialize(known.unionByName(prefix_words(missed, dictionary)), "asked")
     return keyword_topk(asked, field_weights(records, asked), records.count(), queries.count(), k)

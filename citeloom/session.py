@@ -33,6 +33,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return prepare(spark)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings every operator relies on; call it once on a session made elsewhere.
+
+    A union of equally partitioned inputs keeps their partitioning since Spark 4.1, and adaptive coalescing may
+    then change one input but not the other, which fails at run time. Unions here never need that property.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
 
