@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 AREAS = (
-    "corpus", "retrieval", "audit", "provenance", "geo", "eventlog", "timeline", "sections",
+    "corpus", "retrieval", "audit", "provenance", "geo", "eventlog", "timeline", "sections", "incremental",
 )
 
 

@@ -125,17 +125,22 @@ def _page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _pack(rows)
 
 
+def document_chunks(file: str, text: str | None) -> Iterator[tuple]:
+    """Passages of one text whose lines are pages."""
+    window = _Window(file)
+    for number, line in enumerate((text or "").split("\n"), 1):
+        line = _BLANKS.sub(" ", line).strip(WHITESPACE)
+        if line:
+            yield from window.add(number, line)
+    yield from window.finish()
+
+
 def _document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole documents; lines are pages and empty ones are skipped."""
+    """Whole documents, cut one after the other."""
     for batch in batches:
         rows: list[tuple] = []
         for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            window = _Window(file)
-            for number, line in enumerate((text or "").split("\n"), 1):
-                line = _BLANKS.sub(" ", line).strip(WHITESPACE)
-                if line:
-                    rows.extend(window.add(number, line))
-            rows.extend(window.finish())
+            rows.extend(document_chunks(file, text))
         if rows:
             yield _pack(rows)
 
