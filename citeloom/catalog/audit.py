@@ -73,7 +73,7 @@ cited AS (
 clean AS (
   SELECT doc, ln, pos, is_table,
          CASE WHEN is_table THEN cs ELSE list_sort(list_distinct(cs)) END AS cites,
-         CASE WHEN is_table THEN replace(trim(bare, '| '), '|', ' / ') ELSE regexp_replace(trim(bare, E' \n\t\r\f\v'), '\s+', ' ', 'g') END AS c
+         CASE WHEN is_table THEN replace(trim(bare, '| '), '|', ' / ') ELSE regexp_replace(trim(bare, E' \n\t\r\f'), '\s+', ' ', 'g') END AS c
   FROM cited),
 claim_rows AS (
   SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY ln, pos) - 1 AS INTEGER) AS i,

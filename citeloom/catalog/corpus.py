@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citeloom.catalog import fixtures as X
 from citeloom.catalog.registry import Tables, query
-from citeloom.functions import ids, text as TX
+from citeloom.functions import ids, text as TX, udfs
 from citeloom.operators import chunking as C, figures as G
 from citeloom.session import scratch_path
 from citeloom.sources import readers as S
@@ -86,7 +86,7 @@ def scan_markdown_docs(t: Tables):
 CHUNK_CTE = f"""
 {X.PAGES_SQL},
 tidy AS (
-  SELECT doc_id, file, page, trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), E' \\t\\r\\f\\v') AS t FROM page_rows),
+  SELECT doc_id, file, page, trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), E' \\t\\r\\f') AS t FROM page_rows),
 kept AS (
   SELECT doc_id, file, page, t, sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY page) - length(t) - 2 AS o
   FROM tidy WHERE length(t) > 0),
@@ -105,7 +105,7 @@ steps AS (
                                                  nullif(strpos(reverse(substring(st, j + 1001, 1400)), ' .'), 0)]), 0) END
   FROM steps WHERE j < length(st)),
 cut AS (
-  SELECT doc_id, i, j, trim(substring(st, i + 1, j - i), E' \\n\\t\\r\\f\\v') AS text FROM steps),
+  SELECT doc_id, i, j, trim(substring(st, i + 1, j - i), E' \\n\\t\\r\\f') AS text FROM steps),
 chunks AS (
   SELECT doc_id, file, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS n, i AS start_at, j AS end_at, text,
          CAST((SELECT max(k.page) FROM kept k WHERE k.doc_id = cut.doc_id AND k.o <= i) AS INTEGER) AS page_start,
@@ -150,7 +150,7 @@ def page_at_offset(t: Tables):
 
 
 @query("drop_blank_pages", r"""
-WITH p AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t]+', ' ', 'g'), E' \t\r\f\v') AS text FROM documents)
+WITH p AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t]+', ' ', 'g'), E' \t\r\f') AS text FROM documents)
 SELECT doc_id, text, count(*) AS n FROM p WHERE length(text) > 0 GROUP BY ALL""")
 def drop_blank_pages(t: Tables):
     return C.tidy_pages(X.page_rows(t)).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
@@ -257,7 +257,8 @@ def query_terms(t: Tables):
 _ENTITIES_SQL = "x"
 for _name, _char in TX.NAMED_ENTITIES.items():
     _quoted = _char.replace("'", "''")
-    _ENTITIES_SQL = f"replace({_ENTITIES_SQL}, '{_name}', '{_quoted}')"
+    # A missing semicolon is forgiven, as browsers do.
+    _ENTITIES_SQL = f"regexp_replace({_ENTITIES_SQL}, '{_name}?', '{_quoted}', 'g')"
 
 
 @query("html_to_text", rf"""
@@ -266,7 +267,7 @@ WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(
 u AS (SELECT page_id, regexp_replace(regexp_replace({_ENTITIES_SQL}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM s)
 SELECT page_id, trim(x, E' \n\t\r\f\v ') AS text FROM u""")
 def html_to_text(t: Tables):
-    return t.pages.select("page_id", TX.html_to_text(F.col("html")).alias("text"))
+    return t.pages.select("page_id", udfs.html_to_text(F.col("html")).alias("text"))
 
 
 @query("strip_bibliography", """

@@ -154,7 +154,7 @@ def vector_topk_ann(t: Tables):
 
 
 @query("unescape_html", """
-SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g')
   || CASE WHEN page_id % 2 = 0 THEN ' é§' ELSE '' END AS text FROM pages""")
 def unescape_html(t: Tables):
     source = F.concat("html", F.when(F.col("page_id") % 2 == 0, " &eacute;&#167;").otherwise(""))

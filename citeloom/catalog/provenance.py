@@ -131,14 +131,10 @@ def except_docs(t: Tables):
     return P.unmatched(files(t), ledger(t))
 
 
-@query("folder_file_order", f"""
-WITH {FILES_SQL} SELECT CAST(row_number() OVER (PARTITION BY folder ORDER BY file) AS INTEGER) AS at, folder, file FROM files""")
+@query("folder_file_order", f"WITH {FILES_SQL} SELECT folder, file FROM files ORDER BY folder, file")
 def folder_file_order(t: Tables):
-    """Files of each folder numbered in name order."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("folder").orderBy("file")
-    return files(t).withColumn("at", F.row_number().over(order)).orderBy("folder", "file")
+    """Folders, then files, in name order: one range-partitioned sort."""
+    return files(t).orderBy("folder", "file")
 
 
 @query("eligible_files", r"""

@@ -35,12 +35,13 @@ md AS (
     CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'title: "Doc ' || doc_id || '"' || chr(10) || '---' || chr(10) ELSE '' END
     || CASE WHEN doc_id % 3 = 0 THEN '#  Heading ' || doc_id || chr(10) ELSE '' END
     || regexp_replace(regexp_replace(regexp_replace(text, '{_HEAD2}', '## \1' || chr(10), 'g'), '{_HEAD3}', '### \1' || chr(10), 'g'),
-        ' (the|und|de|la) ', ' [\1](x.html) [[3]](#src-3) **\1** ', 'g') || chr(10) AS body,
-    CASE WHEN doc_id % 2 = 0 THEN 'Doc ' || doc_id WHEN doc_id % 3 = 0 THEN 'Heading ' || doc_id
-         ELSE coalesce(nullif(trim(regexp_extract(text, '(?m)^#\s+([^\n]+)$', 1)), ''), CASE WHEN doc_id % 50 = 0 THEN '00-' ELSE '' END || 'd' || doc_id) END AS title FROM documents),
+        ' (the|und|de|la) ', ' [\1](x.html) [[3]](#src-3) **\1** ', 'g') || chr(10) AS body FROM documents),
+titled AS (
+  SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'Doc ' || doc_id WHEN doc_id % 3 = 0 THEN 'Heading ' || doc_id
+    ELSE coalesce(nullif(trim(regexp_extract(body, '(?m)^#\s+([^\n]+)$', 1)), ''), slug) END AS title FROM md),
 parts AS (
   SELECT slug, title, CAST(unnest(generate_series(0, len(ps) - 1)) AS INTEGER) AS ordinal, unnest(ps) AS p
-  FROM (SELECT slug, title, string_split(regexp_replace(body, '(?m)^#{{2,3}}\s+([^\n]+)$', chr(29) || '\1' || chr(31), 'g'), chr(29)) AS ps FROM md)),
+  FROM (SELECT slug, title, string_split(regexp_replace(body, '(?m)^#{{2,3}}\s+([^\n]+)$', chr(29) || '\1' || chr(31), 'g'), chr(29)) AS ps FROM titled)),
 pieces AS (
   SELECT slug, title, ordinal, CASE WHEN ordinal > 0 THEN trim(split_part(p, chr(31), 1), E' \t\n') END AS heading,
     CASE WHEN ordinal > 0 THEN substring(p, strpos(p, chr(31)) + 1) ELSE p END AS content FROM parts),
@@ -72,7 +73,7 @@ def section_pairing(t: Tables):
     return rows.select("slug", "ordinal", "s.heading", F.length("s.content").cast("bigint").alias("chars"))
 
 
-@query("doc_title", f"WITH {SECTIONS_SQL} SELECT slug, title FROM md")
+@query("doc_title", f"WITH {SECTIONS_SQL} SELECT slug, title FROM titled")
 def doc_title(t: Tables):
     return markdown_docs(t).select("slug", TX.document_title(F.col("text"), F.col("slug")).alias("title"))
 

@@ -138,10 +138,6 @@ def tidy_plain(text: Column) -> Column:
     return strip_space(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
-def html_to_text(html: Column, unescape=unescape_named) -> Column:
-    return tidy_plain(unescape(strip_markup(html)))
-
-
 def snippet(text: Column, chars: int = 400) -> Column:
     return F.substring(squeeze_space(text), 1, chars)
 

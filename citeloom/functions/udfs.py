@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
-from citeloom.functions.text import unescape_named
+from citeloom.functions.text import strip_markup, tidy_plain, unescape_named
 
 
 @F.pandas_udf(StringType())
@@ -23,6 +23,11 @@ def unescape_html(text: Column) -> Column:
     return F.coalesce(_unescape(rest), unescape_named(text))
 
 
+def html_to_text(html_text: Column) -> Column:
+    """Readable text of a web page."""
+    return tidy_plain(unescape_html(strip_markup(html_text)))
+
+
 @F.udtf(returnType="n int, page_start int, page_end int, text string")
 class ChunkText:
     """Lateral chunker: ``SELECT c.* FROM docs, LATERAL chunk_text(file, text) c``."""

@@ -12,7 +12,7 @@ from citeloom.sources.markdown_tables import column_by_keyword
 
 
 def ledger_entries(rows: DataFrame) -> DataFrame:
-    """Table rows(slug, line, header, cells) → one entry per file name they mention.
+    """Table rows(slug, run, row, header, cells) → one entry per file name they mention.
 
     kind 'p' = named in the file column, 's' = named in the note column.
     """
@@ -20,19 +20,19 @@ def ledger_entries(rows: DataFrame) -> DataFrame:
         return column_by_keyword(F.col("header"), F.col("cells"), keyword)
 
     base = rows.select(
-        F.col("slug").alias("ledger"), "line", clean_title(cell("title")).alias("title"), first_url(cell("url")).alias("url"),
+        F.col("slug").alias("ledger"), "run", "row", clean_title(cell("title")).alias("title"), first_url(cell("url")).alias("url"),
         F.array(
             F.struct(F.lit("p").alias("kind"), file_tokens(cell("file")).alias("names")),
             F.struct(F.lit("s").alias("kind"), file_tokens(cell("note")).alias("names")),
         ).alias("found"),
     )
-    kinds = base.select("ledger", "line", "title", "url", F.explode("found").alias("f"))
-    return kinds.select("ledger", "line", "title", "url", "f.kind", F.posexplode("f.names").alias("pos", "basename"))
+    kinds = base.select("ledger", "run", "row", "title", "url", F.explode("found").alias("f"))
+    return kinds.select("ledger", "run", "row", "title", "url", "f.kind", F.posexplode("f.names").alias("pos", "basename"))
 
 
 def ledger_index(entries: DataFrame) -> DataFrame:
     """First entry per (kind, file name): ledgers by name, then row order."""
-    return first_wins(entries, ["kind", "basename"], ["ledger", "line", "pos"]).select(
+    return first_wins(entries, ["kind", "basename"], ["ledger", "run", "row", "pos"]).select(
         "kind", "basename", "title", "url", "ledger")
 
 

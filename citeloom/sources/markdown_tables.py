@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _cells(line: Column) -> Column:
@@ -17,27 +17,20 @@ def _is_separator(cells: Column) -> Column:
 
 
 def table_rows(docs: DataFrame) -> DataFrame:
-    """docs(slug, text) → slug, line, header array<string>, cells array<string>.
+    """docs(slug, text) → slug, run, row, header array<string>, cells array<string>.
 
-    A run of pipe lines is a table when a line is followed by a separator row; its header is that line and its
-    body reaches to the last pipe line of the run. Lines of a document are numbered, and all decisions are
-    windows over (document, run), never over the corpus.
+    A run of pipe lines is a table from the first line that a separator row follows: that line is the header,
+    the body reaches to the end of the run. Everything is decided inside the document's row, without a shuffle.
     """
-    lines = docs.select("slug", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    doc = Window.partitionBy("slug").orderBy("line")
-    piped = F.regexp_replace("raw", r"^\s+", "").startswith("|")
-    marked = lines.withColumn("is_pipe", piped).filter("is_pipe")
-    # Consecutive pipe lines share line minus position, which names the run.
-    marked = marked.withColumn("run", F.col("line") - F.row_number().over(doc)).withColumn("cells", _cells(F.col("raw")))
-    marked = marked.withColumn("is_sep", _is_separator(F.col("cells")))
-    run = Window.partitionBy("slug", "run").orderBy("line")
-    upto = run.rowsBetween(Window.unboundedPreceding, 0)
-    # The first line of the run that a separator follows is the header of the whole rest of the run.
-    opens = F.lead("is_sep", 1, False).over(run)
-    marked = marked.withColumn("opens", opens)
-    marked = marked.withColumn("head", F.first(F.when(F.col("opens"), F.struct("line", "cells")), ignorenulls=True).over(upto))
-    body = marked.filter(F.col("head").isNotNull() & (F.col("line") > F.col("head.line") + 1) & ~F.col("is_sep"))
-    return body.select("slug", "line", F.col("head.cells").alias("header"), "cells")
+    runs = docs.select("slug", F.posexplode_outer(
+        F.regexp_extract_all("text", F.lit(r"(?m)(?:^[^\S\n]*\|[^\n]*(?:\n|\z))+"), F.lit(0))).alias("run", "block"))
+    lines = F.transform(F.split(F.rtrim(F.col("block"), F.lit("\n")), "\n"), _cells)
+    parsed = runs.filter(F.col("block").isNotNull()).select("slug", "run", lines.alias("lines"))
+    marks = F.transform("lines", lambda cells, i: (i > 0) & _is_separator(cells))
+    found = parsed.withColumn("at", F.array_position(marks, True).cast("int")).filter(F.col("at") > 0)
+    body = F.slice("lines", F.col("at") + 1, F.size("lines"))
+    rows = found.select("slug", "run", F.get("lines", F.col("at") - 2).alias("header"), F.posexplode_outer(body).alias("row", "cells"))
+    return rows.filter(F.col("cells").isNotNull() & ~_is_separator(F.col("cells")))
 
 
 def column_by_keyword(header: Column, cells: Column, keyword: str) -> Column:
