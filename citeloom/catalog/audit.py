@@ -186,7 +186,7 @@ def word_judge(prompts: list[str]) -> list[str]:
     replies = []
     for prompt in prompts:
         claim, _, rest = prompt.partition("\n\nRETRIEVED PASSAGES:\n")
-        words, seen = set(claim.lower().split()), set(rest.lower().split())
+        words, seen = set(claim.removeprefix("CLAIM:\n").lower().split()), set(rest.lower().split())
         share = len(words & seen) / max(len(words), 1)
         verdict = "SUPPORTED" if share > 0.8 else "PARTIAL" if share > 0.5 else "NOT_FOUND"
         replies.append(f'{{"verdict": "{verdict}", "confidence": {share:.3f}, "evidence": "", "issue": ""}}')

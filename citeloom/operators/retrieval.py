@@ -26,10 +26,18 @@ IDF_FLOOR = 1e-6
 RRF_CONSTANT = 60
 
 
+def keep_first(rows: DataFrame, partition: str, order: list[Column], k: int) -> DataFrame:
+    """First ``k`` rows per partition with ``rank0`` counted from 0.
+
+    The filter is on the bare row number, the form in which Spark drops surplus rows before the shuffle.
+    """
+    numbered = rows.withColumn("_row", F.row_number().over(Window.partitionBy(partition).orderBy(*order)))
+    return numbered.filter(F.col("_row") <= k).withColumn("rank0", F.col("_row") - 1).drop("_row")
+
+
 def rank_hits(scored: DataFrame, k: int, qid: str = "qid", item: str = "id", score: str = "score") -> DataFrame:
     """Best ``k`` rows per query, ``rank0`` counted from 0; ties by item id."""
-    order = Window.partitionBy(qid).orderBy(F.round(F.col(score), RANK_DIGITS).desc(), F.col(item).asc())
-    return scored.withColumn("rank0", F.row_number().over(order) - 1).filter(F.col("rank0") < k)
+    return keep_first(scored, qid, [F.round(F.col(score), RANK_DIGITS).desc(), F.col(item).asc()], k)
 
 
 def _cells(queries: DataFrame, items: DataFrame, slice_rows: int, block_rows: int) -> tuple[int, int]:
@@ -249,10 +257,8 @@ def rrf_fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int, constant: int
         return F.coalesce(F.lit(1.0) / (F.col(rank) + constant), F.lit(0.0))
 
     fused = v.join(t, ["qid", "id"], "full_outer").withColumn("score", part("v_rank") + part("t_rank"))
-    order = Window.partitionBy("qid").orderBy(
-        F.round("score", 12).desc(), F.col("v_rank").asc_nulls_last(), F.col("t_rank").asc_nulls_last()
-    )
-    return fused.withColumn("rank0", F.row_number().over(order) - 1).filter(F.col("rank0") < k)
+    order = [F.round("score", 12).desc(), F.col("v_rank").asc_nulls_last(), F.col("t_rank").asc_nulls_last()]
+    return keep_first(fused, "qid", order, k)
 
 
 def cap_hits(k: Column | int, most: int = 50) -> Column:
