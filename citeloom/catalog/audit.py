@@ -8,7 +8,7 @@ from citeloom.catalog import fixtures as X
 from citeloom.catalog.registry import Tables, query
 from citeloom.functions import text as TX
 from citeloom.operators import audit as A, conversation as V, retrieval as R
-from citeloom.session import scratch_path
+from citeloom.session import materialize, scratch_path
 from citeloom.sources import readers as S
 
 # Documents with citation marks, table rows, headings and a bibliography, made from the given texts.
@@ -329,7 +329,8 @@ def conversational_query(t: Tables):
     qid = (F.col("conv_id") * 1000 + F.col("turn")).alias("qid")
     texts = V.retrieval_queries(t.conversations).select(qid, "conv_id", F.col("query").alias("text"))
     vectors = t.embeddings.select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
-    queries = texts.join(vectors, "conv_id", "left").select("qid", "text", "vector")
+    # Questions are read several times by the search; written once, they are not derived again each time.
+    queries = materialize(texts.join(vectors, "conv_id", "left").select("qid", "text", "vector"), "questions")
     hits = R.hybrid_search(queries, X.documents_as_items(t), X.vectors(t), 12)
     return hits.select("qid", "id", "rank0", F.round("score", 5).alias("score"))
 

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from citeloom.functions.text import index_length, index_tokens, query_terms
 
 RANK_DIGITS = 9  # scores are compared after rounding to this many digits, then by id
-BLOCK_ROWS = 256
-SLICE_ROWS = 20_000
+# One cell scores at most about BLOCK_ROWS x SLICE_ROWS pairs as doubles: 64 MB. Wider blocks copy candidates less often.
+BLOCK_ROWS = 1024
+SLICE_ROWS = 8192
 
 # Keyword weighting and rank fusion.
 K1, B = 1.2, 0.75

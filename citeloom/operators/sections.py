@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.functions.text import (
-    document_title, heading_anchor, index_tokens, markdown_clean, strip_bibliography, strip_space,
+    document_title, heading_anchor, index_length, index_tokens, markdown_clean, strip_bibliography, strip_space,
 )
 from citeloom.operators.retrieval import bm25_weight, keyword_topk
 from citeloom.session import materialize
@@ -33,9 +33,12 @@ def sections(docs: DataFrame) -> DataFrame:
     Ids repeat when headings repeat; the ordinal tells them apart.
     """
     url = F.concat(F.when(F.col("slug").startswith("00"), "").otherwise("docs/"), "slug", F.lit(".html"))
+    # Cleaning inside the array keeps it out of reach of filter push-down, which would clean each section again.
+    cleaned = F.transform(section_array(F.col("text")), lambda s: F.struct(
+        s["heading"].alias("heading"), markdown_clean(s["content"]).alias("body")))
     rows = docs.select("slug", document_title(F.col("text"), F.col("slug")).alias("doc"), url.alias("page"),
-                       F.posexplode_outer(section_array(F.col("text"))).alias("ordinal", "s"))
-    rows = rows.select("slug", "doc", "page", "ordinal", "s.heading", markdown_clean(F.col("s.content")).alias("body"))
+                       F.posexplode_outer(cleaned).alias("ordinal", "s"))
+    rows = rows.select("slug", "doc", "page", "ordinal", "s.heading", "s.body")
     is_intro = F.col("heading").isNull()
     anchor = heading_anchor(F.col("heading"))
     kept = rows.filter(F.when(is_intro, F.length("body") > LEAST_INTRO).otherwise(F.length("body") >= LEAST_SECTION))
@@ -55,7 +58,10 @@ def field_weights(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
     fields = records.select("id", F.explode(F.array(*[
         F.struct(F.lit(name).alias("field"), F.lit(boost).alias("boost"), index_tokens(F.col(name)).alias("words"))
         for name, boost in BOOSTS.items()])).alias("f")).select("id", "f.*", F.size("f.words").alias("dl"))
-    stats = fields.groupBy("field").agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    means = records.agg(F.count(F.lit(1)).cast("double").alias("n_docs"),
+                        *[F.avg(index_length(F.col(name))).alias(name) for name in BOOSTS])
+    stats = means.select("n_docs", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("field"), F.col(name).alias("avg_dl")) for name in BOOSTS])).alias("s")).select("n_docs", "s.*")
     words = fields.select("id", "field", "boost", "dl", F.explode_outer("words").alias("term")) \
         .join(vocabulary.select("term").distinct(), "term", "left_semi")
     post = words.groupBy("id", "field", "boost", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
