@@ -16,7 +16,7 @@ _WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 # Citation marker, bibliography heading, index word, sentence boundary, figure words.
 CITATION = r"\\?\[\\?\[(\d{1,3})\\?\]\\?\]\(#src-(\d+)\)"
 BIBLIOGRAPHY_HEADING = r"(?m)^## Sources\s*$"
-WORD = r"[\p{L}\p{N}]+"
+WORD = r"[a-z0-9\p{L}\p{N}]+"  # ASCII first: most characters are decided without a category look-up
 SENTENCE_BOUNDARY = r'(?<=[.;:])\s+(?=[A-Z0-9"\(])'
 FIGURE_WORDS = (
     r"(?i)\b(figure|fig\.|plate|exhibit|map|diagram|profile|schematic|cross[- ]section|aerial|photograph)\b"

@@ -173,8 +173,9 @@ def bm25_weight(tf: Column, dl: Column, df: Column, n_docs: Column, avg_dl: Colu
 
 def bm25_weights(post: DataFrame, stats: DataFrame) -> DataFrame:
     """Contribution of each (document, word)."""
-    n_docs = stats.select(F.col("n_docs").cast("double")).scalar()
-    avg_dl = stats.select("avg_dl").scalar()
+    # One subquery for both numbers: it reads every document once.
+    means = stats.select(F.struct(F.col("n_docs").cast("double").alias("n_docs"), "avg_dl")).scalar()
+    n_docs, avg_dl = means["n_docs"], means["avg_dl"]
     # Counting by tf keeps both uses of the postings identical, so their shuffle is planned once and reused.
     df = post.groupBy("term").agg(F.count_if(F.col("tf") > 0).cast("double").alias("df"))
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), n_docs, avg_dl)
