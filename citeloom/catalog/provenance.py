@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from citeloom.catalog.registry import Tables, query
 from citeloom.functions import provenance as PF
 from citeloom.operators import provenance as P
-from citeloom.session import scratch_path
+from citeloom.session import materialize, scratch_path
 from citeloom.sources import readers as S, sinks as K
 from citeloom.sources.markdown_tables import table_rows
 
@@ -77,7 +77,8 @@ def ledger_docs(t: Tables):
 
 
 def ledger(t: Tables):
-    return P.ledger_index(P.ledger_entries(table_rows(ledger_docs(t))))
+    """The index as a table: matching reads it more than once."""
+    return materialize(P.ledger_index(P.ledger_entries(table_rows(ledger_docs(t)))), "ledger-index")
 
 
 @query("scan_markdown_tables", f"""

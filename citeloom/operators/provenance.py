@@ -51,14 +51,16 @@ def match(files: DataFrame, index: DataFrame) -> DataFrame:
 def inherit(matched: DataFrame) -> DataFrame:
     """Unmatched files take title and url of the first same-stem file of their folder that has a title.
 
-    Donors are one aggregated row per (folder, stem); only unmatched rows look for one.
+    Donors are one aggregated row per (folder, stem), so the join back never multiplies rows.
     """
     rows = matched.withColumn("stem", stem(F.col("file")))
     donors = rows.filter(F.coalesce("title", F.lit("")) != "").groupBy("folder", "stem").agg(
         F.min_by(F.struct("title", "url"), "file").alias("d"))
-    free = rows.filter(F.col("tier").isNull()).join(donors, ["folder", "stem"], "left").select(
-        "folder", "file", "d.title", "d.url", F.when(F.col("d").isNotNull(), "c").alias("tier"))
-    return rows.filter(F.col("tier").isNotNull()).select("folder", "file", "title", "url", "tier").unionByName(free)
+    takes = F.col("tier").isNull() & F.col("d").isNotNull()
+    return rows.join(donors, ["folder", "stem"], "left").select(
+        "folder", "file", F.when(takes, F.col("d.title")).otherwise(F.col("title")).alias("title"),
+        F.when(takes, F.col("d.url")).otherwise(F.col("url")).alias("url"),
+        F.when(takes, "c").otherwise(F.col("tier")).alias("tier"))
 
 
 def manifest(files: DataFrame, index: DataFrame) -> DataFrame:
