@@ -337,8 +337,9 @@ def conversational_query(t: Tables):
 
 @query("context_assembly", rf"""
 WITH {X.vector_sql(X.QUERY_VECTORS, X.ITEM_VECTORS, 36)}, {X.bm25_sql(X.QUERY_TEXTS, X.DOC_TEXTS, 36)}, {X.rrf_sql(12)}, {X.CHUNKS_SQL}
-SELECT qid, string_agg('[' || (rank0 + 1) || '] (' || file || ' p.' || page_start || ') ' || substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 1500),
-  chr(10) || chr(10) ORDER BY rank0) AS context FROM fused JOIN chunk_rows USING (id) GROUP BY qid""")
+SELECT qid, string_agg('[' || place || '] (' || file || ' p.' || page_start || ') ' || substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 1500),
+  chr(10) || chr(10) ORDER BY rank0) AS context
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank0) AS place FROM fused JOIN chunk_rows USING (id)) GROUP BY qid""")
 def context_assembly(t: Tables):
     hits = R.hybrid_search(X.benchmark_vectors(t), X.documents_as_items(t), X.vectors(t), 12)
     return R.context_block(R.hydrate(hits, X.documents_as_chunks(t)))
