@@ -21,16 +21,24 @@ def read_json_lines(spark: SparkSession, path: str, ddl: str, strict: bool = Fal
     schema = _as_type(ddl)
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return _lenient(spark, path, schema).drop("_path")
+
+
+def _lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Well-formed records of a JSON-lines folder, with their path.
+
+    Lines are parsed by expression, since the JSON source refuses a count that needs only its malformed column.
+    """
     broken = "_malformed"
-    rows = (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField(broken, T.StringType())]))
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path)
-    )
-    return rows.filter(F.col(broken).isNull()).drop(broken)
+    wide = T.StructType([*schema.fields, T.StructField(broken, T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"))
+    parsed = lines.filter(F.trim("value") != "").select("_path", F.from_json(
+        "value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}).alias("r"))
+    return parsed.filter(F.col(f"r.{broken}").isNull()).select("_path", *[F.col(f"r.{f.name}") for f in schema.fields])
 
 
-def _path_part(pattern: str) -> Column:
-    return F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), pattern, 1)
+def _path_part(pattern: str, column: str = "_metadata.file_path") -> Column:
+    return F.regexp_extract(F.url_decode(F.col(column)), pattern, 1)
 
 
 def scan_pages(spark: SparkSession, folder: str, key_pattern: str = r"([^/]+)\.jsonl$", strict: bool = True) -> DataFrame:
@@ -39,10 +47,8 @@ def scan_pages(spark: SparkSession, folder: str, key_pattern: str = r"([^/]+)\.j
     if strict:
         rows = spark.read.schema(schema).option("mode", "FAILFAST").json(folder)
         return rows.select(_path_part(key_pattern).alias("file"), "page", "method", "text")
-    wide = T.StructType([*schema.fields, T.StructField("_malformed", T.StringType())])
-    rows = spark.read.schema(wide).option("columnNameOfCorruptRecord", "_malformed").json(folder)
-    return rows.select(_path_part(key_pattern).alias("file"), "page", "method", "text", "_malformed") \
-        .filter(F.col("_malformed").isNull()).drop("_malformed")
+    return _lenient(spark, folder, schema).select(
+        _path_part(key_pattern, "_path").alias("file"), "page", "method", "text")
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -116,6 +116,8 @@ def test_listing_rules(spark, tmp_path):
 def test_logs_strict_and_lenient(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"file":"a","status":"done"}\n{"file": "b"\n')
     assert [r["file"] for r in S.scan_manifest(spark, str(tmp_path)).collect()] == ["a"]
+    assert S.scan_manifest(spark, str(tmp_path)).count() == 1
+    assert S.scan_pages(spark, str(tmp_path), strict=False).count() == 1
     with pytest.raises(Exception):
         S.scan_chunks(spark, str(tmp_path)).collect()
 
