@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,9 +44,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     then change one input but not the other, which fails at run time. Unions here never need that property.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    _ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that it need not be installed there."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="citeloom-code-"), "citeloom")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root_dir=root, base_dir="citeloom"))
+        _SHIPPED.add(app)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, else (local tests only) a fresh one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
