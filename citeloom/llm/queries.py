@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citeloom.llm import mixing, packing, token_counts
+from citeloom.llm import mixing, packing, quality_rules, secret_scans, token_counts
 from citeloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,16 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return table.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@query("op5_secret_scans")
+def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scans.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
+    spans = F.col("secrets")
+    return found.select(
+        "doc_id", *[secret_scans.count_kind(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scans.span_list(F.filter(spans, lambda s: s["rank"] < 3)), 256).alias("base_sha256"),
+        secret_scans.span_list(spans).alias("spans"))
+
+
 @query("op8_mixing")
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, folder, "documents"))
@@ -45,3 +55,9 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
