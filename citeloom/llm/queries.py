@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citeloom.llm import mixing, packing, quality_rules, secret_scans, token_counts
+from citeloom.llm import chat_format, mixing, packing, quality_rules, secret_scans, token_counts, url_filters
 from citeloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,13 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return table.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@query("op2_url_filters")
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    model = url_filters.train(url_filters.ruled_labels(pages))
+    return url_filters.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op5_secret_scans")
 def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scans.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
@@ -45,6 +52,21 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
         secret_scans.span_list(spans).alias("spans"))
 
 
+@query("op6_chat_format")
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"  # fixed value of the contract
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    done = chat_format.format_trees(chat_format.linear_nodes(rows.unionByName(extra)))
+    turns, loss = chat_format.read_back(F.col("formatted")), chat_format.loss_text(F.col("formatted"), F.col("loss_mask"))
+    read = done.select("tree", turns.alias("turns"), loss.alias("loss"), F.length("formatted").alias("formatted_chars"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("bigint").alias("formatted_chars"))
+
+
 @query("op8_mixing")
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, folder, "documents"))
