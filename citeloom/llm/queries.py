@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citeloom.llm import chat_format, mixing, packing, quality_rules, secret_scans, token_counts, url_filters
+from citeloom.llm import chat_format, mixing, packing, quality_rules, secret_scans, token_counts, url_filters, warc
 from citeloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op3_warc")
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive, index = warc.write_archive(read_table(spark, folder, "pages"))
+    return warc.read_archive(archive, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_secret_scans")
 def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scans.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
