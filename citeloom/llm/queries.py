@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citeloom.llm import chat_format, mixing, packing, quality_rules, secret_scans, token_counts, url_filters, warc
+from citeloom.llm import chat_format, embedding_dedup, mixing, packing, quality_rules, secret_scans, token_counts, url_filters, warc
 from citeloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,11 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.col("formatted_chars").cast("bigint").alias("formatted_chars"))
 
 
+@query("op7_embedding_dedup")
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, folder, "embeddings"))
+
+
 @query("op8_mixing")
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, folder, "documents"))
