@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citeloom.llm import chat_format, embedding_dedup, mixing, packing, quality_rules, secret_scans, token_counts, url_filters, warc
+from citeloom.llm import chat_format, embedding_dedup, mixing, ngram_join, packing, quality_rules, secret_scans, token_counts, url_filters, warc
 from citeloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archive(archive, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link(read_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op5_secret_scans")
 def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scans.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
