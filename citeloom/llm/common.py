@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from citeloom.session import materialize, prepare, scratch_path
 
 __all__ = ["BoundedCache", "binary_array", "let", "materialize", "prepare", "read_table", "scratch_path", "text_of",
-           "word_count"]
+           "word_count", "wrapped"]
 
 # Fixed value: what the contracts take for white space between words.
 SPACE = "\\x20\\x09-\\x0D"
@@ -34,6 +34,12 @@ def text_of(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")
 
 
+def wrapped(docs: DataFrame, **extra: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct column ``row`` beside ``extra``, so that no name of theirs can clash;
+    ``select("row.*")`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in extra.items()])
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs without white space."""
     return F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from citeloom.llm.common import materialize, text_of, word_count
+from citeloom.llm.common import materialize, text_of, word_count, wrapped
 
 MAX_REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -100,14 +100,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     taken = materialize(mix(docs, **options).groupBy("doc_id", "source", "_text_key").agg(
         F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter(F.col("copies") > 0), "mix-copies")
-    right = taken.select(*[F.col(c).alias(f"_mix_{c.strip('_')}") for c in taken.columns])
-    on = (F.col(id_col).eqNullSafe(F.col("_mix_doc_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source"))
-          & (F.xxhash64(text_of(text_col)) == F.col("_mix_text_key")))
-    joined = docs.join(right, on, "inner")
-    single = joined.filter(F.col("_mix_rows") == 1).withColumn("_mix_times", F.col("_mix_copies"))
-    equal = Window.partitionBy("_mix_doc_id", "_mix_source", "_mix_text_key").orderBy("_mix_text_key")
-    share = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (
-        F.row_number().over(equal) <= F.col("_mix_copies") % F.col("_mix_rows")).cast("bigint")
-    repeated = joined.filter(F.col("_mix_rows") > 1).withColumn("_mix_times", share)
-    every = single.unionByName(repeated).filter(F.col("_mix_times") > 0)
-    return every.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))).select(docs.columns)
+    right = taken.select(*[F.col(c).alias(f"_{c}") for c in taken.columns])
+    keyed = wrapped(docs, id=F.col(id_col), source=F.col(source_col), text=F.xxhash64(text_of(text_col)))
+    on = (F.col("id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("text") == F.col("__text_key")))
+    joined = keyed.join(right, on, "inner")
+    single = joined.filter(F.col("_rows") == 1).withColumn("times", F.col("_copies"))
+    equal = Window.partitionBy("id", "source", "text").orderBy("text")
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.row_number().over(equal) <= F.col("_copies") % F.col("_rows")).cast("bigint")
+    repeated = joined.filter(F.col("_rows") > 1).withColumn("times", share)
+    every = single.unionByName(repeated).filter(F.col("times") > 0)
+    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

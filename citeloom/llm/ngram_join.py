@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from citeloom.llm.common import BoundedCache, in_pieces, materialize, text_of
+from citeloom.llm.common import BoundedCache, in_pieces, materialize, text_of, wrapped
 from citeloom.llm.components import connected
 
 SHINGLE_WORDS = 4
@@ -75,19 +75,19 @@ def shingler(words: int) -> Shingler:
     return _SHINGLERS[words]
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def describe(docs: DataFrame, id_col: str, text_col: str, words: int, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """``doc_id, text_key, key, check, n_shingles, sketch``: a row per document, and per task one with a sketch alone.
 
     ``key`` stands for the set (null for an empty one), ``check`` is a second hash of it. The sketch counts, per bucket
     of token hashes, the sets that a task saw for the first time.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
+    mask = np.uint64((1 << sketch_bits) - 1)
     names = ["doc_id", "text_key", "key", "check", "n_shingles", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, seen = shingler(words), set()
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint64)
+        counts = np.zeros(1 << sketch_bits, dtype=np.uint64)
         for batch in in_pieces(batches):
             keys, checks, sizes, fresh = [], [], [], []
             for text in batch.column(2).to_pylist():
@@ -112,23 +112,23 @@ def describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     return source.mapInArrow(run, "doc_id bigint, text_key bigint, key bigint, check bigint, n_shingles bigint, sketch binary")
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=8 << SKETCH_BITS, codec="zstd", asbytes=True), dtype=np.uint64)
+def _unpacked(data: bytes, sketch_bits: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=8 << sketch_bits, codec="zstd", asbytes=True), dtype=np.uint64)
 
 
-def frequencies(sketches: DataFrame) -> np.ndarray:
+def frequencies(sketches: DataFrame, sketch_bits: int = SKETCH_BITS) -> np.ndarray:
     """The sketches of all tasks added up. ``MERGE_TASKS`` tasks add them first; the driver gets that many arrays of
-    fixed size, and the sum is what tasks are sent: 2 ** ``SKETCH_BITS`` numbers however large the corpus."""
+    fixed size, and the sum is what tasks are sent: 2 ** ``sketch_bits`` numbers however large the corpus."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint64)
+        counts = np.zeros(1 << sketch_bits, dtype=np.uint64)
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                counts += _unpacked(data)
+                counts += _unpacked(data, sketch_bits)
         yield pa.RecordBatch.from_arrays([pa.array([pa.compress(counts.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["sketch"])
 
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.uint64)
+    total = np.zeros(1 << sketch_bits, dtype=np.uint64)
     for row in sketches.select("sketch").repartition(MERGE_TASKS).mapInArrow(add, "sketch binary").collect():
-        total += _unpacked(bytes(row[0]))
+        total += _unpacked(bytes(row[0]), sketch_bits)
     return total
 
 
@@ -153,7 +153,7 @@ class Signer:
         self.order = np.minimum(65_535, np.round(np.log2(1.0 + counts) * 1024)).astype(np.uint16)
         self.excess = np.maximum(0.0, counts - self.mean).astype(np.float32)
         self.single = (counts == 1)
-        self.mask = np.uint64((1 << SKETCH_BITS) - 1)
+        self.mask = np.uint64(len(counts) - 1)
 
     def groups(self, n: int) -> int:
         most = max(1, allowed_missing(n, self.percent) // TOKENS_PER_GROUP)
@@ -402,7 +402,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT,
-         hot_rows: int = HOT_ROWS, block: int = BLOCK) -> DataFrame:
+         hot_rows: int = HOT_ROWS, block: int = BLOCK, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """``doc_id, text_key, n_shingles, key, root, component_id``: the component of every document under all links.
 
     Two documents link when 100 * overlap >= ``percent`` * union of their sets of ``words``-word shingles. Documents of
@@ -419,13 +419,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     words than ``words`` make one shingle. Repeated rows give repeated rows. Ids need not be unique; a component's id is
     the smallest id in it, null if all are null. An empty table gives an empty result; other columns are not read.
     """
-    described = materialize(describe(docs, id_col, text_col, words), "ngram-sets")
+    described = materialize(describe(docs, id_col, text_col, words, sketch_bits), "ngram-sets")
     rows = described.filter(F.col("n_shingles").isNotNull()).drop("sketch")
     classes = materialize(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("doc_id").alias("least"), F.min("check").alias("low"), F.max("check").alias("high")), "ngram-classes")
     if not classes.filter(F.col("low") != F.col("high")).isEmpty():
         raise RuntimeError("two sets share a 64-bit key")
-    signer = Signer(frequencies(described.filter(F.col("sketch").isNotNull())), percent, hot_rows)
+    signer = Signer(frequencies(described.filter(F.col("sketch").isNotNull()), sketch_bits), percent, hot_rows)
 
     members = materialize(stars(signatures(docs, text_col, words, signer)), "ngram-members")
     wanted = members.select("key").distinct().join(classes, "key").select(F.col("least").alias("doc_id"), "key")
@@ -468,15 +468,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """One document of each component, unchanged: the one with the smallest id, then the smallest text hash; of equal
     rows one. Documents without shingles all stay."""
     linked = materialize(link(docs, id_col, text_col, **options), "ngram-linked")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
-    counted = linked.filter(F.col("root").isNotNull()).groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    chosen = materialize(counted.groupBy("root").agg(F.min(F.struct(*[place[c].alias(c) for c in ("none", "id", "text")], "n")).alias("p")).select(
-        F.col("p.id").alias("_id"), F.col("p.text").alias("_text"), F.col("p.n").alias("_n")).unionByName(
-        linked.filter(F.col("root").isNull()).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.lit(1).cast("bigint").alias("_n")).distinct()), "ngram-chosen")
-    on = F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_text"))
-    kept = docs.join(chosen.filter(F.col("_n") == 1), on, "left_semi")
-    repeated = chosen.filter(F.col("_n") > 1)
+    counted = linked.filter(F.col("root").isNotNull()).groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"), "rows")
+    first = counted.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.id").alias("_id"), F.col("p.text").alias("_text"), F.col("p.rows").alias("_rows"))
+    blank = linked.filter(F.col("root").isNull()).select("doc_id", "text_key", F.lit(1).cast("bigint")).distinct()
+    chosen = materialize(first.union(blank), "ngram-chosen")
+    keyed = wrapped(docs, id=F.col(id_col).cast("bigint"), text=F.xxhash64(text_of(text_col)))
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text"))
+    kept = keyed.join(chosen.filter(F.col("_rows") == 1), on, "left_semi").select("row.*")
+    repeated = chosen.filter(F.col("_rows") > 1)
     if not repeated.isEmpty():
-        once = docs.join(repeated, on).dropDuplicates(["_id", "_text"]).select(docs.columns)
-        kept = kept.unionByName(once)
+        kept = kept.unionByName(keyed.join(repeated, on).dropDuplicates(["id", "text"]).select("row.*"))
     return kept

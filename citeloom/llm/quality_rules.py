@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from citeloom.llm.common import SPACE, SPACE_CHARS, let, materialize, text_of
+from citeloom.llm.common import SPACE, SPACE_CHARS, let, materialize, text_of, wrapped
 
 RUN = 8  # words in a window
 SYMBOLS = "#*$%&|<>"
@@ -177,6 +177,7 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
         ("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang"), ("source_col", "source")))
     rejected = materialize(judge(docs, **options).filter(~F.col("kept")).select(
         F.col("doc_id").alias("_rd"), F.col("lang").alias("_rl"), F.col("source").alias("_rs"), F.col("_text_key").alias("_rk")).distinct(), "quality-rejected")
-    on = (F.col(id_col).eqNullSafe(F.col("_rd")) & F.col(lang_col).eqNullSafe(F.col("_rl"))
-          & F.col(source_col).eqNullSafe(F.col("_rs")) & (F.xxhash64(text_of(text_col)) == F.col("_rk")))
-    return docs.join(rejected, on, "left_anti")
+    keyed = wrapped(docs, id=F.col(id_col), lang=F.col(lang_col), source=F.col(source_col), text=F.xxhash64(text_of(text_col)))
+    on = (F.col("id").eqNullSafe(F.col("_rd")) & F.col("lang").eqNullSafe(F.col("_rl"))
+          & F.col("source").eqNullSafe(F.col("_rs")) & (F.col("text") == F.col("_rk")))
+    return keyed.join(rejected, on, "left_anti").select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citeloom.llm.common import let, text_of
+from citeloom.llm.common import let, text_of, wrapped
 
 # The base patterns and the shortest value each keeps. A run of at least k characters of a class is the
 # same span whether short runs are dropped afterwards or left unmatched, so the two run patterns state k themselves.
@@ -142,12 +142,14 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
 
     Texts without spans, null ones among them, stay as they are. Columns keep their names and order.
     """
-    found = scan(docs, text_col, "_secrets")
-    text = F.col(text_col)
+    found = scan(wrapped(docs, text=F.col(text_col)), "text", "secrets")
+    text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("_secrets", zero, lambda acc, s: F.struct(
+    cut = F.aggregate("secrets", zero, lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when((s["start"] > acc["at"]) | (acc["at"] == 0), F.concat(
             acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_secrets") > 0, cut).otherwise(text)).select(docs.columns)
+    clean = F.when(F.size("secrets") > 0, cut).otherwise(text)
+    return found.withColumn("text", clean).select(*[
+        F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citeloom.llm.common import let
+from citeloom.llm.common import let, wrapped
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = 1 << 14
@@ -38,12 +39,11 @@ RULES = (Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block
 def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with ``host`` (A-Z lower-cased) and ``path``; both empty without a ``://`` or for a null url."""
     at = F.instr(F.col(url_col), "://")
-    rest = F.when(at > 0, F.substring(F.col(url_col), at + 3, F.length(url_col))).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
-    return pages.withColumn("_rest", rest).withColumns({
-        "host": F.translate(F.regexp_extract("_rest", r"^([^/?#]*)", 1), UPPER, LOWER),
-        "path": F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1),
-    }).drop("_rest")
+    rest = F.coalesce(F.when(at > 0, F.substring(F.col(url_col), at + 3, F.length(url_col))), F.lit(""))
+    return pages.withColumns({
+        "host": F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER),
+        "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1),
+    })
 
 
 def rule_of(rules: tuple[Rule, ...], part: str) -> Column:
@@ -98,14 +98,11 @@ def judge(pages: DataFrame, model: PipelineModel, rules: tuple[Rule, ...] = RULE
     give repeated rows, long urls are used whole, an empty table gives an empty result, other columns pass through
     (columns named like the added ones are replaced).
     """
-    rows = with_parts(pages, url_col).withColumns({
-        "rule": rule_of(rules, "text"), "_ruled": rule_of(rules, "verdict"), "grams": grams()})
-    rows = rows.drop("features", "rawPrediction", "probability", "prediction")
-    from pyspark.ml.functions import vector_to_array
-
+    rows = with_parts(wrapped(pages, url=F.col(url_col))).withColumns({
+        "rule": rule_of(rules, "text"), "ruled": rule_of(rules, "verdict"), "grams": grams()})
     scored = model.transform(rows).withColumn("block_score", vector_to_array("probability")[1])
-    decided = F.coalesce("_ruled", F.when(F.col("block_score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
+    decided = F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
     return scored.withColumn("verdict", decided).select(*kept, "host", "path", "rule", "verdict", "block_score")
 
 
