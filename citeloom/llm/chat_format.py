@@ -53,12 +53,12 @@ def reply_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     leaves = full.join(inner, same("tree", "_t") & (F.col("node") == F.col("_n")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("sum").desc(), "node"))
     chosen = leaves.withColumn("path_rank", rank).filter(F.col("path_rank") <= best)
-    paths = chosen.select("tree", F.col("node").alias("leaf"), "path_rank", "node", F.col("steps").alias("depth"))
+    paths = materialize(chosen.select("tree", F.col("node").alias("leaf"), "path_rank", "node", F.col("steps").alias("depth")), "chat-paths")
     for r in range(len(rounds) - 2, -1, -1):
         jump = rounds[r].filter(F.col("up").isNotNull()).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
         above = paths.join(jump, same("tree", "_t") & (F.col("node") == F.col("_n"))).select(
             "tree", "leaf", "path_rank", F.col("up").alias("node"), (F.col("depth") - (1 << r)).alias("depth"))
-        paths = paths.unionByName(above)
+        paths = materialize(paths.unionByName(above), "chat-paths")  # written, for the plan would double each round
     return paths
 
 
