@@ -49,12 +49,12 @@ _BIB_ROWS = " UNION ALL ".join(
     + " AS body FROM documents"
     for i, n in enumerate((1, 2, 3, 4, 5, 5, 6, 8))
 )
-CITE_SQL = r"\\?\[\\?\[(\d{1,3})\\?\]\\?\]\(#src-(\d+)\)"
+CITE_SQL = r"\\?\[\\?\[(\d+)\\?\]\\?\]\(#src-(\d+)\)"
 
 CLAIMS_SQL = rf"""
 bib_all AS ({_BIB_ROWS}),
 bib AS (
-  SELECT CAST(doc_id AS VARCHAR) AS doc, n, nullif(regexp_extract(body, '`(sources/[^`]+)`', 1), '') AS file, substring(body, 1, 300) AS descr
+  SELECT CAST(doc_id AS VARCHAR) AS doc, n, nullif(regexp_extract(body, '`(sources/[^`]+)`', 1), '') AS file, body AS descr
   FROM bib_all QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY pos DESC) = 1),
 marked AS (SELECT CAST(doc_id AS VARCHAR) AS doc, {_marks_sql()} AS body FROM documents),
 lines AS (
@@ -77,13 +77,13 @@ clean AS (
   FROM cited),
 claim_rows AS (
   SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY ln, pos) - 1 AS INTEGER) AS i,
-         substring(c, 1, CASE WHEN is_table THEN 600 ELSE 700 END) AS claim, cites
-  FROM clean WHERE length(c) > 25)"""
+         c AS claim, cites
+  FROM clean WHERE length(c) > 0)"""
 
 
 @query("extract_claims", f"""
 WITH {CLAIMS_SQL}
-SELECT substring(sha1(doc || ':' || i || ':' || substring(claim, 1, 80)), 1, 16) AS cid, doc, i, claim,
+SELECT substring(sha1(doc || ':' || i || ':' || claim), 1, 16) AS cid, doc, i, claim,
        array_to_string(cites, ',') AS cites FROM claim_rows""")
 def extract_claims(t: Tables):
     return A.claims(cited_docs(t)).select(
@@ -118,15 +118,15 @@ def citation_integrity(t: Tables):
 
 @query("reverify_changed", f"""
 WITH {CLAIMS_SQL},
-old AS (SELECT substring(sha1(doc || ':' || i || ':' || substring(CASE WHEN CAST(doc AS BIGINT) % 4 = 0 THEN upper(claim) ELSE claim END, 1, 80)), 1, 16) AS cid FROM claim_rows)
-SELECT substring(sha1(doc || ':' || i || ':' || substring(claim, 1, 80)), 1, 16) AS cid, doc, i
-FROM claim_rows WHERE substring(sha1(doc || ':' || i || ':' || substring(claim, 1, 80)), 1, 16) NOT IN (SELECT cid FROM old)""")
+old AS (SELECT substring(sha1(doc || ':' || i || ':' || CASE WHEN CAST(doc AS BIGINT) % 4 = 0 THEN claim || ' 1' ELSE claim END), 1, 16) AS cid FROM claim_rows)
+SELECT substring(sha1(doc || ':' || i || ':' || claim), 1, 16) AS cid, doc, i
+FROM claim_rows WHERE substring(sha1(doc || ':' || i || ':' || claim), 1, 16) NOT IN (SELECT cid FROM old)""")
 def reverify_changed(t: Tables):
-    """Every fourth document had other wording when it was judged."""
+    """The claims of every fourth document ended differently when they were judged."""
     from citeloom.functions.ids import claim_id
 
     now = A.claims(cited_docs(t)).select("cid", "doc", "i", "claim")
-    was = F.when(F.col("doc").cast("bigint") % 4 == 0, F.upper("claim")).otherwise(F.col("claim"))
+    was = F.when(F.col("doc").cast("bigint") % 4 == 0, F.concat("claim", F.lit(" 1"))).otherwise(F.col("claim"))
     judged = now.select(claim_id(F.col("doc"), F.col("i"), was).alias("cid"))
     return A.reverify_changed(now, judged).select("cid", "doc", "i")
 
@@ -141,7 +141,7 @@ def _claims_with_vectors(t: Tables):
 
 
 _EVIDENCE_SQL = f"""
-WITH {X.vector_sql(X.QUERY_VECTORS, X.ITEM_VECTORS, 12)}, {X.bm25_sql(X.QUERY_TEXTS, X.DOC_TEXTS, 12, 4, 20)}, {X.CHUNKS_SQL},
+WITH {X.vector_sql(X.QUERY_VECTORS, X.ITEM_VECTORS, 12)}, {X.bm25_sql(X.QUERY_TEXTS, X.DOC_TEXTS, 12, 4)}, {X.CHUNKS_SQL},
 cand AS (
   SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY min(o)) - 1 AS INTEGER) AS ordinal FROM (
     SELECT qid, id, rank0 AS o FROM vector_hits UNION ALL SELECT qid, id, rank0 + 1000 FROM text_hits) GROUP BY qid, id),
@@ -156,7 +156,7 @@ ev AS (
 def union_candidates(t: Tables):
     queries = X.benchmark_vectors(t)
     v = R.vector_topk(queries.filter(F.col("vector").isNotNull()).select("qid", "vector"), X.vectors(t), 12)
-    x = R.bm25_topk(queries.select("qid", "text"), X.documents_as_items(t), 12, 4, 20)
+    x = R.bm25_topk(queries.select("qid", "text"), X.documents_as_items(t), 12, 4)
     return A.union_candidates(v, x)
 
 
@@ -173,7 +173,7 @@ def cited_source_priority(t: Tables):
 
 
 @query("retrieve_evidence", _EVIDENCE_SQL + """
-SELECT qid, string_agg(file || ' p.' || page_start || ' ' || substring(text, 1, 900), chr(30) ORDER BY rank0) AS passages
+SELECT qid, string_agg(file || ' p.' || page_start || ' ' || text, chr(30) ORDER BY rank0) AS passages
 FROM ev GROUP BY qid""")
 def retrieve_evidence(t: Tables):
     found = A.passages(A.retrieve_evidence(_claims_with_vectors(t), X.documents_as_chunks(t), X.vectors(t)))
@@ -181,27 +181,30 @@ def retrieve_evidence(t: Tables):
     return found.select("qid", F.array_join(line, "\x1e").alias("passages"))
 
 
-def word_judge(prompts: list[str]) -> list[str]:
-    """A stand-in judge: how much of the claim's vocabulary the passages contain decides the verdict."""
+def length_judge(prompts: list[str]) -> list[str]:
+    """A stand-in for a judge that SQL can state: the claim's length decides, the first passage's file is the evidence."""
     replies = []
     for prompt in prompts:
-        claim, _, rest = prompt.partition("\n\nRETRIEVED PASSAGES:\n")
-        words, seen = set(claim.removeprefix("CLAIM:\n").lower().split()), set(rest.lower().split())
-        share = len(words & seen) / max(len(words), 1)
-        verdict = "SUPPORTED" if share > 0.8 else "PARTIAL" if share > 0.5 else "NOT_FOUND"
-        replies.append(f'{{"verdict": "{verdict}", "confidence": {share:.3f}, "evidence": "", "issue": ""}}')
+        claim, _, rest = prompt.partition(A.FOUND)
+        n = len(claim) - len(A.STATEMENT)
+        verdict = ("SUPPORTED", "PARTIAL", "NOT_FOUND")[n % 3]
+        file = rest.removeprefix("1) ").split(", page ", 1)[0]
+        replies.append(f'{{"verdict": "{verdict}", "confidence": {n % 100 / 100}, "evidence": "{file}", "issue": "{n}"}}')
     return replies
 
 
-@query("batch_verdicts")
+@query("batch_verdicts", _EVIDENCE_SQL + """
+SELECT CAST(item_id AS VARCHAR) AS cid, CASE length(b.text) % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'PARTIAL' ELSE 'NOT_FOUND' END AS verdict,
+  CAST(length(b.text) % 100 AS DOUBLE) / 100 AS confidence, file AS evidence, CAST(length(b.text) AS VARCHAR) AS issue
+FROM benchmark b JOIN ev ON qid = item_id AND rank0 = 0 WHERE item_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 10 = 0)""")
 def batch_verdicts(t: Tables):
-    """An injected judge over every claim; checked in tests."""
+    """An injected judge over every claim that has no verdict yet."""
     claims = _claims_with_vectors(t)
     work = A.passages(A.retrieve_evidence(claims, X.documents_as_chunks(t), X.vectors(t))).join(
         claims.select("qid", F.col("text").alias("claim")), "qid"
     ).select(F.col("qid").cast("string").alias("cid"), "claim", "passages")
     judged = t.labels.filter(F.col("doc_id") % 10 == 0).select(F.col("doc_id").cast("string").alias("cid"))
-    return A.batch_verdicts(work, judged, word_judge)
+    return A.batch_verdicts(work, judged, length_judge)
 
 
 _REPLIES_SQL = """
@@ -266,9 +269,12 @@ def share_of_total(t: Tables):
     return out.select("user_id", "event_type", F.round("total", 4).alias("total"), F.round("share", 5).alias("share"))
 
 
-@query("scan_claim_logs")
+@query("scan_claim_logs", f"""
+WITH {CLAIMS_SQL}
+SELECT substring(sha1(doc || ':' || i || ':' || claim), 1, 16) AS cid, 'claim' AS log FROM claim_rows
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'verdict' FROM labels WHERE doc_id % 9 <> 0""")
 def scan_claim_logs(t: Tables):
-    """Claim and verdict logs written from the tables and read in both modes; checked in tests."""
+    """Claim and verdict logs written from the tables and read in both modes; cut-off verdict lines are left out."""
     claims_path, verdicts_path = scratch_path(t.spark, "claims"), scratch_path(t.spark, "verdicts")
     A.claims(cited_docs(t)).drop("i").withColumn(
         "passages", F.array().cast("array<struct<file:string,p:int,text:string>>")).write.json(claims_path)
@@ -292,7 +298,7 @@ def last_user_turn(t: Tables):
 
 @query("history_window", """
 WITH h AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations)
-SELECT a.conv_id, a.turn, coalesce(string_agg(b.role || ': ' || substring(b.text, 1, 4000), chr(30) ORDER BY b.n)
+SELECT a.conv_id, a.turn, coalesce(string_agg(b.role || ': ' || b.text, chr(30) ORDER BY b.n)
    FILTER (WHERE b.role IN ('user', 'assistant') AND b.text <> ''), '') AS history
 FROM h a LEFT JOIN h b ON a.conv_id = b.conv_id AND b.n BETWEEN a.n - 6 AND a.n - 1 GROUP BY a.conv_id, a.turn""")
 def history_window(t: Tables):
@@ -303,7 +309,7 @@ def history_window(t: Tables):
 @query("answer_citation_join", r"""
 WITH a AS (SELECT conv_id, turn, regexp_replace(text, '\. ', ' [' || (turn * 3 + conv_id % 7) || ']. ', 'g') AS text FROM conversations WHERE role = 'assistant'),
 m AS (SELECT conv_id, turn, CAST(unnest(generate_series(1, len(ns))) - 1 AS INTEGER) AS pos, CAST(unnest(ns) AS INTEGER) AS ordinal
-      FROM (SELECT conv_id, turn, regexp_extract_all(text, '\[(\d{1,2})\]', 1) AS ns FROM a)),
+      FROM (SELECT conv_id, turn, regexp_extract_all(text, '\[(\d+)\]', 1) AS ns FROM a)),
 s AS (SELECT doc_id % 100 AS qid, CAST(doc_id // 100 + 1 AS INTEGER) AS ordinal, source AS file FROM documents)
 SELECT conv_id AS qid, turn, pos, m.ordinal, file FROM m LEFT JOIN s ON s.qid = conv_id AND s.ordinal = m.ordinal""")
 def answer_citation_join(t: Tables):
@@ -337,7 +343,7 @@ def conversational_query(t: Tables):
 
 @query("context_assembly", rf"""
 WITH {X.vector_sql(X.QUERY_VECTORS, X.ITEM_VECTORS, 36)}, {X.bm25_sql(X.QUERY_TEXTS, X.DOC_TEXTS, 36)}, {X.rrf_sql(12)}, {X.CHUNKS_SQL}
-SELECT qid, string_agg('[' || place || '] (' || file || ' p.' || page_start || ') ' || substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 1500),
+SELECT qid, string_agg('[' || place || '] (' || file || ' p.' || page_start || ') ' || regexp_replace(text, '\s+', ' ', 'g'),
   chr(10) || chr(10) ORDER BY rank0) AS context
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank0) AS place FROM fused JOIN chunk_rows USING (id)) GROUP BY qid""")
 def context_assembly(t: Tables):

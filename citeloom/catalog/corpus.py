@@ -60,20 +60,25 @@ def scan_chunks(t: Tables):
     return S.scan_chunks(t.spark, path)
 
 
-@query("scan_corpus_listing")
+@query("scan_corpus_listing", """
+SELECT 'g' || (page_id // 50) AS folder, CAST(sum(octet_length(encode(url)) + 1) AS BIGINT) AS length FROM pages GROUP BY ALL""")
 def scan_corpus_listing(t: Tables):
-    """Rows depend on where the tables lie, so there is no SQL; tests check it on a made-up tree."""
-    return S.scan_corpus_listing(t.spark, t.folder, r"(?i)\.parquet$")
+    """Page addresses written as text files, fifty to a folder, then listed."""
+    path = scratch_path(t.spark, "listing")
+    rows = t.pages.select(F.concat(F.lit("g"), F.floor(F.col("page_id") / 50).cast("string")).alias("folder"), F.col("url").alias("value"))
+    rows.repartition("folder").write.partitionBy("folder").text(path)
+    listed = S.scan_corpus_listing(t.spark, path, r"(?i)\.txt$")
+    return listed.groupBy(F.regexp_extract("path", "folder=([^/]+)/", 1).alias("folder")).agg(F.sum("length").alias("length"))
 
 
 @query("scan_markdown_docs", """
-SELECT n_name AS slug, string_agg('- ' || c_name || ' (' || c_mktsegment || ')' || chr(10), '' ORDER BY c_custkey) AS text
-FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""")
+SELECT n_name || '-' || (c_custkey // 500) AS slug, string_agg('- ' || c_name || ' (' || c_mktsegment || ')' || chr(10), '' ORDER BY c_custkey) AS text
+FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
 def scan_markdown_docs(t: Tables):
-    """A markdown list of customers per nation, one file each."""
+    """Markdown lists of customers per nation, a file for each range of 500 keys, so files do not grow with the table."""
     path = scratch_path(t.spark, "markdown")
     lines = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("n_name").alias("slug"), "c_custkey",
+        F.concat("n_name", F.lit("-"), F.floor(F.col("c_custkey") / 500).cast("string")).alias("slug"), "c_custkey",
         F.concat(F.lit("- "), "c_name", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("value"),
     )
     lines.repartition("slug").sortWithinPartitions("slug", "c_custkey").select("slug", "value") \
@@ -110,7 +115,7 @@ chunks AS (
   SELECT doc_id, file, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS n, i AS start_at, j AS end_at, text,
          CAST((SELECT max(k.page) FROM kept k WHERE k.doc_id = cut.doc_id AND k.o <= i) AS INTEGER) AS page_start,
          CAST((SELECT max(k.page) FROM kept k WHERE k.doc_id = cut.doc_id AND k.o <= j - 1) AS INTEGER) AS page_end
-  FROM cut JOIN streams USING (doc_id) WHERE length(text) > 80)"""
+  FROM cut JOIN streams USING (doc_id) WHERE length(text) > 0)"""
 
 SLUG_SQL = r"(substring(regexp_replace({0}, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 180) || '_' || substring(sha1({0}), 1, 8))"
 
@@ -165,7 +170,7 @@ FROM p GROUP BY doc_id""")
 def min_length_filter(t: Tables):
     n = F.length("text")
     return X.page_rows(t).groupBy("doc_id").agg(
-        F.count_if(n > C.LEAST).alias("chunks"), F.count_if(n > 60).alias("intros"),
+        F.count_if(n > 80).alias("chunks"), F.count_if(n > 60).alias("intros"),
         F.count_if(n >= 40).alias("sections"), F.count_if(n > 25).alias("claims"),
         F.count_if(G.description_status(F.col("text")) == "figure").alias("figures"),
     )
@@ -191,15 +196,13 @@ def file_pages(t: Tables):
 
 
 @query("union_corpora", """
-WITH a AS (SELECT 'item/' || doc_id % 400 AS file, 'doc' AS origin, text FROM documents WHERE doc_id % 400 < 100),
-b AS (SELECT 'item/' || page_id AS file, 'page' AS origin, html AS text FROM pages)
+WITH a AS (SELECT 'item/' || doc_id AS file, 'doc' AS origin, text FROM documents),
+b AS (SELECT 'item/' || page_id * 8 AS file, 'page' AS origin, html AS text FROM pages)
 SELECT file, origin, length(text) AS chars FROM a
 UNION ALL SELECT file, origin, length(text) FROM b WHERE file NOT IN (SELECT file FROM a)""")
 def union_corpora(t: Tables):
-    key = F.col("doc_id") % 400
-    docs = t.documents.filter(key < 100).select(
-        F.concat(F.lit("item/"), key.cast("string")).alias("file"), F.lit("doc").alias("origin"), "text")
-    pages = t.pages.select(F.concat(F.lit("item/"), F.col("page_id").cast("string")).alias("file"),
+    docs = t.documents.select(F.concat(F.lit("item/"), F.col("doc_id").cast("string")).alias("file"), F.lit("doc").alias("origin"), "text")
+    pages = t.pages.select(F.concat(F.lit("item/"), (F.col("page_id") * 8).cast("string")).alias("file"),
                            F.lit("page").alias("origin"), F.col("html").alias("text"))
     return C.union_corpora(docs, pages).select("file", "origin", F.length("text").cast("bigint").alias("chars"))
 
@@ -219,7 +222,7 @@ def first_wins_dedupe(t: Tables):
 @query("stable_ids", f"""
 SELECT doc_id, {SLUG_SQL.format(X.FILE_SQL)} AS slug, {SLUG_SQL.format(X.FILE_SQL)} || ':' || (doc_id % 7) AS chunk_id,
        'fig:' || substring(sha1({X.FILE_SQL} || ':' || (doc_id % 7)), 1, 16) AS figure_id,
-       substring(sha1(source || ':' || doc_id || ':' || substring(text, 1, 80)), 1, 16) AS cid
+       substring(sha1(source || ':' || doc_id || ':' || text), 1, 16) AS cid
 FROM documents""")
 def stable_ids(t: Tables):
     path, n = X.file_of(), F.col("doc_id") % 7
@@ -245,12 +248,12 @@ def snippet(t: Tables):
 
 
 @query("query_terms", """
-SELECT item_id, array_to_string(regexp_extract_all(text, '[a-zA-Z0-9]{3,}')[1:24], ' OR ') AS search_terms,
-       array_to_string(regexp_extract_all(text, '[a-zA-Z0-9]{4,}')[1:20], ' OR ') AS claim_terms FROM benchmark""")
+SELECT item_id, array_to_string(regexp_extract_all(text, '[a-zA-Z0-9]{3,}'), ' OR ') AS search_terms,
+       array_to_string(regexp_extract_all(text, '[a-zA-Z0-9]{4,}'), ' OR ') AS claim_terms FROM benchmark""")
 def query_terms(t: Tables):
     return t.benchmark.select(
         "item_id", F.array_join(TX.query_terms(F.col("text")), " OR ").alias("search_terms"),
-        F.array_join(TX.query_terms(F.col("text"), 4, 20), " OR ").alias("claim_terms"),
+        F.array_join(TX.query_terms(F.col("text"), 4), " OR ").alias("claim_terms"),
     )
 
 
@@ -279,12 +282,12 @@ def strip_bibliography(t: Tables):
 
 
 @query("hydrate_hits", f"""
-WITH hits AS (SELECT item_id AS qid, item_id * 37 % 1500 AS id FROM benchmark), {X.CHUNKS_SQL}
+WITH hits AS (SELECT doc_id % 20 AS qid, doc_id * 2 AS id FROM labels), {X.CHUNKS_SQL}
 SELECT qid, id, file, page_start, page_end FROM hits JOIN chunk_rows USING (id)""")
 def hydrate_hits(t: Tables):
     from citeloom.operators.retrieval import hydrate
 
-    hits = t.benchmark.select(F.col("item_id").alias("qid"), (F.col("item_id") * 37 % 1500).alias("id"))
+    hits = t.labels.select((F.col("doc_id") % 20).alias("qid"), (F.col("doc_id") * 2).alias("id"))  # half of them unknown
     return hydrate(hits, X.documents_as_chunks(t)).select("qid", "id", "file", "page_start", "page_end")
 
 
@@ -294,7 +297,7 @@ WITH c AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'fig:' || doc_id ELSE CAST(doc_i
     CAST(len(string_split(text, chr(10))) AS INTEGER) AS page_end, CAST(1.0 AS DOUBLE) / (60 + doc_id) AS score,
     regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents)
 SELECT id, file, 1 AS page_start, page_end, round(score, 5) AS score, substring(flat, 1, 400) AS snippet,
-  substring(flat, 1, 1500) AS "full", starts_with(id, 'fig:') AS is_figure,
+  flat AS "full", starts_with(id, 'fig:') AS is_figure,
   CASE WHEN starts_with(file, 'docs/') AND ends_with(file, '.md') THEN '/' || replace(file, '.md', '.html')
        WHEN ends_with(lower(file), '.pdf') THEN '/' || file || '#page=1' END AS link,
   CASE WHEN starts_with(id, 'fig:') THEN 'figure' WHEN starts_with(file, 'docs/') THEN 'research doc' ELSE 'source' END AS badge

@@ -43,6 +43,14 @@ def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
+def letter_embedder(letters: str):
+    """A stand-in for an embedding model that SQL can state: how often each letter occurs."""
+    def embed(texts: list[str]) -> list[list[float]]:
+        return [[float(text.count(x)) for x in letters] for text in texts]
+
+    return embed
+
+
 def benchmark_vectors(t: Tables) -> DataFrame:
     """The vector of a benchmark text is the one with its number."""
     return t.benchmark.select(F.col("item_id").alias("qid"), "text").join(
@@ -67,13 +75,13 @@ chunk_rows AS (
 TOKENS = r"regexp_extract_all(lower(strip_accents({0})), '[\p{{L}}\p{{N}}]+')"
 
 
-def bm25_sql(queries: str, docs: str, k: int, min_chars: int = 3, limit: int = 24, prefix: str = "") -> str:
+def bm25_sql(queries: str, docs: str, k: int, min_chars: int = 3, prefix: str = "") -> str:
     """CTEs ending in ``{prefix}text_hits(qid, id, score, rank0)``; queries(qid, text), docs(id, text) are relations."""
     p = prefix
     return f"""
 {p}words AS (
   SELECT qid, lower(w) AS term, CAST(count(*) AS DOUBLE) AS times
-  FROM (SELECT qid, unnest(regexp_extract_all(text, '[a-zA-Z0-9]{{{min_chars},}}')[1:{limit}]) AS w FROM {queries})
+  FROM (SELECT qid, unnest(regexp_extract_all(text, '[a-zA-Z0-9]{{{min_chars},}}')) AS w FROM {queries})
   GROUP BY ALL),
 {p}doc_words AS (SELECT id, {TOKENS.format('text')} AS ws FROM {docs}),
 {p}stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(ws)) AS avg_dl FROM {p}doc_words),

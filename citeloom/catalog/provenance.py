@@ -18,10 +18,10 @@ files AS (
   SELECT folder, 'sources/' || folder || '/' || stem || '.pdf' AS file FROM base
   UNION ALL SELECT folder, 'sources/' || folder || '/' || stem || '.txt' FROM base WHERE page_id % 3 = 0)"""
 
-# Ledger lines, as the markdown tables of nine ledgers state them.
+# Ledger lines, as markdown tables state them; a ledger covers fifty pages.
 LEDGER_SQL = """
 led AS (
-  SELECT 'ledger' || (page_id % 5) AS ledger, page_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE 'Title ' || page_id END AS title, url,
+  SELECT 'ledger' || (page_id // 50) AS ledger, page_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE 'Title ' || page_id END AS title, url,
     CASE WHEN page_id % 4 = 0 THEN '2024-0' || (page_id % 9 + 1) || '-report_epa-' || page_id || '.pdf' END AS in_file,
     CASE WHEN page_id % 4 = 1 THEN '2024-0' || (page_id % 9 + 1) || '-report_epa-' || page_id || '.pdf' END AS in_note
   FROM pages WHERE page_id % 2 = 0 OR page_id % 4 = 1),
@@ -67,7 +67,7 @@ def ledger_docs(t: Tables):
         F.when(n % 4 == 0, F.concat(F.lit("`sources/x/"), _name(n), F.lit(".pdf`"))).otherwise("none"), F.lit(" | "),
         F.when(n % 4 == 1, F.concat(F.lit("already held: "), _name(n), F.lit(".pdf"))).otherwise("new"), F.lit(" |"))
     body = t.pages.filter((n % 2 == 0) | (n % 4 == 1)).select(
-        F.concat(F.lit("ledger"), (n % 5).cast("string")).alias("slug"), (n + 10).alias("at"), row.alias("value"))
+        F.concat(F.lit("ledger"), F.floor(n / 50).cast("string")).alias("slug"), (n + 10).alias("at"), row.alias("value"))
     slugs = body.select("slug").distinct()
     lead = F.array(*[F.struct(F.lit(i).cast("bigint").alias("at"), F.lit(x).alias("value")) for i, x in enumerate((
         "# Ledger", "| stray | line |", "", "| Title | URL | File held | Notes |", "|---|:---:|---|---|"))])
@@ -173,10 +173,10 @@ def humanize_filename(t: Tables):
 
 
 @query("path_regex_filter", r"""
-SELECT page_id, url FROM pages WHERE regexp_matches(url, 'blog\..*example\.(com|org)') ORDER BY page_id LIMIT 50""")
+SELECT page_id, url FROM pages WHERE regexp_matches(url, 'blog\..*example\.(com|org)')""")
 def path_regex_filter(t: Tables):
     hits = t.pages.filter(F.col("url").rlike(r"blog\..*example\.(com|org)"))
-    return hits.select("page_id", "url").orderBy("page_id").limit(50)
+    return hits.select("page_id", "url")
 
 
 _CANON_SQL = r"""

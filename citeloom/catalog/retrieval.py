@@ -63,7 +63,7 @@ def rrf_fuse(t: Tables):
 
 _PROJECTION = r"""
   SELECT qid, rank0, id, file, page_start, page_end, round(score, 5) AS score,
-         substring(flat, 1, 400) AS snippet, substring(flat, 1, 1500) AS "full", false AS is_figure,
+         substring(flat, 1, 400) AS snippet, flat AS "full", false AS is_figure,
          CASE WHEN lower(file) LIKE '%.pdf' THEN '/' || file || '#page=' || page_start END AS link, 'source' AS badge
   FROM (SELECT *, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM fused JOIN chunk_rows USING (id))"""
 

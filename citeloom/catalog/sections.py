@@ -25,7 +25,7 @@ def markdown_docs(t: Tables):
     return t.documents.select(slug.alias("slug"), F.concat(front, head, body, F.lit("\n## Sources\n1. x\n")).alias("text"))
 
 
-_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\\?\[\\?\[(\d{{1,3}})\\?\]\\?\]\(#src-\d+\)', '', 'g'),
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\\?\[\\?\[(\d+)\\?\]\\?\]\(#src-\d+\)', '', 'g'),
   '<a id="[^"]*"></a>', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '[#*`>|]', ' ', 'g'), '\s+', ' ', 'g'))"""
 _ANCHOR = r"replace(trim(regexp_replace(lower(trim({0}, E' \t\n')), '[^a-z0-9 _-]', '', 'g')), ' ', '-')"
 
@@ -50,8 +50,8 @@ sections AS (
   SELECT slug, ordinal, slug || '#' || CASE WHEN ordinal = 0 THEN 'top' ELSE {_ANCHOR.format('heading')} END AS id, title AS doc,
     CASE WHEN ordinal = 0 THEN 'Overview' ELSE {_CLEAN.format('heading')} END AS section,
     CASE WHEN ordinal = 0 THEN page ELSE page || '#' || {_ANCHOR.format('heading')} END AS url,
-    substring(c, 1, CASE WHEN ordinal = 0 THEN 2000 ELSE 2500 END) AS text
-  FROM cleaned WHERE CASE WHEN ordinal = 0 THEN length(c) > 60 ELSE length(c) >= 40 END)"""
+    c AS text
+  FROM cleaned WHERE ordinal > 0 OR length(c) > 0)"""
 
 
 @query("sections", f"WITH {SECTIONS_SQL} SELECT slug, ordinal, id, doc, section, url, text FROM sections")
@@ -93,7 +93,7 @@ def heading_anchor(t: Tables):
 
 _ASKED_SQL = r"""
 asked AS (SELECT item_id AS qid, CASE WHEN item_id % 4 = 0 THEN regexp_extract(text, '([a-zA-Z]{7,})[a-z]{2}', 1)
-  ELSE array_to_string(string_split(text, ' ')[1:4], ' ') END AS text FROM benchmark)"""
+  ELSE text END AS text FROM benchmark)"""
 
 
 def _field_sql(field: str, boost: float) -> str:
@@ -120,11 +120,11 @@ used AS (SELECT * FROM known UNION ALL
 s AS (SELECT qid, id, sum(times * w) AS score FROM used JOIN w USING (term) GROUP BY qid, id)
 SELECT * FROM (SELECT qid, id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS INTEGER) AS rank0 FROM s) WHERE rank0 < 40""")
 def section_search(t: Tables):
-    """Four words of each benchmark text; every fourth query is one word cut short, to meet the prefix fallback."""
+    """Each benchmark text as a question; every fourth query is one word cut short, to meet the prefix fallback."""
     records = materialize(N.sections(markdown_docs(t)).select(
         F.concat("slug", F.lit("/"), F.col("ordinal").cast("string")).alias("id"), "section", "doc", "text"), "sections")
     asked = F.when(F.col("item_id") % 4 == 0, F.regexp_extract("text", "([a-zA-Z]{7,})[a-z]{2}", 1)) \
-        .otherwise(F.array_join(F.slice(F.split("text", " "), 1, 4), " "))
+        .otherwise(F.col("text"))
     hits = N.section_search(t.benchmark.select(F.col("item_id").alias("qid"), asked.alias("text")), records)
     return hits.select("qid", "id", F.round("score", 5).alias("score"), "rank0")
 
@@ -137,7 +137,7 @@ def search_top40(t: Tables):
 
 
 @query("match_snippet", r"""
-WITH q AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(trim(b.text, E' \n\t\r'), '\s+')[1:3], lambda w: regexp_replace(w, '[^a-zA-Z0-9_]', '', 'g')), lambda w: length(w) > 1) AS ts
+WITH q AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(trim(b.text, E' \n\t\r'), '\s+'), lambda w: regexp_replace(w, '[^a-zA-Z0-9_]', '', 'g')), lambda w: length(w) > 1) AS ts
   FROM (SELECT doc_id, doc_id % 40 AS k, text FROM documents) d JOIN (SELECT item_id AS k, text FROM benchmark) b USING (k)),
 h AS (SELECT doc_id, d_text AS text, ts, coalesce(list_filter(list_transform(ts, lambda w: strpos(lower(d_text), lower(w))), lambda p: p > 0)[1], 0) AS spot FROM (SELECT q.doc_id, d.text AS d_text, q.ts FROM q JOIN documents d USING (doc_id))),
 w AS (SELECT doc_id, ts, spot, CASE WHEN spot = 0 THEN substring(text, 1, 260) ELSE substring(text, greatest(spot - 90, 1), spot + 200 - greatest(spot - 90, 1)) END AS s FROM h),
@@ -147,5 +147,5 @@ SELECT doc_id, CASE WHEN spot > 91 THEN '… ' ELSE '' END
 def match_snippet(t: Tables):
     asked = t.benchmark.select(F.col("item_id").alias("k"), F.col("text").alias("q"))
     rows = t.documents.withColumn("k", F.col("doc_id") % 40).join(asked, "k")
-    terms = TX.search_terms(F.array_join(F.slice(F.split(TX.strip_space(F.col("q")), r"\s+"), 1, 3), " "))
+    terms = TX.search_terms(F.col("q"))
     return rows.select("doc_id", TX.match_snippet(F.col("text"), terms).alias("snippet"))

@@ -25,8 +25,8 @@ def figure_id(path: Column, page: Column) -> Column:
 
 
 def claim_id(doc: Column, ordinal: Column, claim: Column) -> Column:
-    """Depends on the first 80 characters, so an edited claim gets a new id."""
-    key = F.concat(doc, F.lit(":"), ordinal.cast("string"), F.lit(":"), F.substring(claim, 1, 80))
+    """Depends on the whole claim, so an edited claim gets a new id wherever the edit is."""
+    key = F.concat(doc, F.lit(":"), ordinal.cast("string"), F.lit(":"), claim)
     return F.substring(_sha1(key), 1, 16)
 
 

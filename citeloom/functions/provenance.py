@@ -59,7 +59,7 @@ def humanize(name: Column, spellings: dict[str, str] | None = None) -> Column:
     bare = F.regexp_replace(stem(name), DATE_PREFIX, "")
     words = F.filter(F.split(bare, "[-_]+"), lambda w: w != "")
     shaped = F.transform(words, lambda w: F.coalesce(
-        F.try_element_at(table, F.lower(w)), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))))
+        F.try_element_at(table, F.lower(w)), F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))))
     text = F.btrim(F.regexp_replace(F.array_join(shaped, " "), r"\s+", " "))
     return F.when(text == "", bare).otherwise(text)
 

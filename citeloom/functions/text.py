@@ -14,7 +14,7 @@ WHITESPACE = (
 _WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 
 # Citation marker, bibliography heading, index word, sentence boundary, figure words.
-CITATION = r"\\?\[\\?\[(\d{1,3})\\?\]\\?\]\(#src-(\d+)\)"
+CITATION = r"\\?\[\\?\[(\d+)\\?\]\\?\]\(#src-(\d+)\)"
 BIBLIOGRAPHY_HEADING = r"(?m)^## Sources\s*$"
 WORD = r"[a-z0-9\p{L}\p{N}]+"  # ASCII first: most characters are decided without a category look-up
 SENTENCE_BOUNDARY = r'(?<=[.;:])\s+(?=[A-Z0-9"\(])'
@@ -68,8 +68,8 @@ def index_length(text: Column) -> Column:
     return F.regexp_count(fold_letters(text), F.lit(WORD))
 
 
-def query_terms(text: Column, min_chars: int = 3, limit: int | None = 24) -> Column:
-    """Words of a question: ASCII letter/digit runs of a least length, the first ``limit``, duplicates kept."""
+def query_terms(text: Column, min_chars: int = 3, limit: int | None = None) -> Column:
+    """Words of a question: ASCII letter/digit runs of a least length, duplicates kept; all, or the first ``limit``."""
     found = F.regexp_extract_all(text, F.lit(f"[a-zA-Z0-9]{{{min_chars},}}"), F.lit(0))
     return F.slice(found, 1, limit) if limit else found
 

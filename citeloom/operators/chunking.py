@@ -12,8 +12,8 @@ from citeloom.functions.ids import chunk_id
 from citeloom.functions.text import WHITESPACE, squeeze_blanks
 from citeloom.operators.ordered import last_known, running_sum_before
 
-# Passage length, overlap, least emitted length.
-TARGET, OVERLAP, LEAST = 2800, 400, 80
+# Passage length, overlap.
+TARGET, OVERLAP = 2800, 400
 PAGE_GAP = "\n\n"
 _BLOCK = 8192  # long pages enter the window in pieces of this size, so each step copies a bounded string
 _BLANKS = re.compile("[ \\t]+")
@@ -67,7 +67,7 @@ class _Window:
 
     def emit(self, size: int) -> Iterator[tuple]:
         text = self.buf[:size].strip(WHITESPACE)
-        if len(text) > LEAST:
+        if text:  # short documents and short tails are passages too
             yield (self.file, self.n, self.page(self.at), self.page(max(self.at, self.at + size - 1)), text,
                    self.at, self.at + size)
             self.n += 1

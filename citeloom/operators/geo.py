@@ -58,13 +58,13 @@ def normalise_connections(rows: DataFrame) -> DataFrame:
 
 
 def shaft_id(prefix: str, name: Column) -> Column:
-    return F.concat(F.lit(prefix), F.lower(F.replace(F.substring(name, 1, 24), F.lit(" "), F.lit("-"))))
+    return F.concat(F.lit(prefix), F.lower(F.replace(name, F.lit(" "), F.lit("-"))))
 
 
 def _shaft_rows(rows: DataFrame, feature_id: Column, kind: str, start: Column, approx: Column) -> DataFrame:
     return rows.select(
         feature_id.alias("id"), "name", "lat", "lng", F.lit(kind).alias("type"), start.cast("int").alias("from"),
-        approx.alias("approx"), F.substring(F.coalesce("source", F.lit("")), 1, 160).alias("note"),
+        approx.alias("approx"), F.coalesce("source", F.lit("")).alias("note"),
     )
 
 

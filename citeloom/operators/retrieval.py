@@ -182,7 +182,7 @@ def bm25_weights(post: DataFrame, stats: DataFrame) -> DataFrame:
     return post.join(df, "term").select("id", "term", weight.alias("weight"))
 
 
-def query_words(queries: DataFrame, min_chars: int = 3, limit: int | None = 24) -> DataFrame:
+def query_words(queries: DataFrame, min_chars: int = 3, limit: int | None = None) -> DataFrame:
     """queries(qid, text) → qid, term, times: a word asked twice counts twice."""
     terms = queries.select("qid", F.explode(query_terms(F.col("text"), min_chars, limit)).alias("word"))
     return terms.groupBy("qid", F.lower("word").alias("term")).agg(F.count(F.lit(1)).cast("double").alias("times"))
@@ -237,7 +237,7 @@ def keyword_topk(words: DataFrame, weights: DataFrame, n_docs: int, n_queries: i
     return rank_hits(hits, k)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, min_chars: int = 3, limit: int | None = 24) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, min_chars: int = 3, limit: int | None = None) -> DataFrame:
     """Best ``k`` documents per question that share any word with it; docs(id, text), queries(qid, text)."""
     words = query_words(queries, min_chars, limit)
     post = postings(docs, words)
@@ -286,7 +286,7 @@ def hit_projection(hits: DataFrame) -> DataFrame:
     kept = [c for c in ("qid", "rank0") if c in hits.columns]
     return hits.select(
         *kept, "id", "file", "page_start", "page_end", F.round("score", 5).alias("score"),
-        F.substring(flat, 1, 400).alias("snippet"), F.substring(flat, 1, 1500).alias("full"),
+        F.substring(flat, 1, 400).alias("snippet"), flat.alias("full"),
         is_figure.alias("is_figure"), link.alias("link"), badge.alias("badge"),
     )
 
@@ -299,13 +299,17 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: in
     return rrf_fuse(by_vector, by_text, k)
 
 
-def context_block(hits: DataFrame, chars: int = 1500) -> DataFrame:
-    """Numbered passages of each query in rank order: ``[1] (file p.N) text``, joined by an empty line."""
+def context_block(hits: DataFrame, chars: int | None = None) -> DataFrame:
+    """Numbered passages of each query in rank order: ``[1] (file p.N) text``, joined by an empty line.
+
+    Texts are whole, or cut to ``chars`` for a model with a small window.
+    """
     where = F.concat(
         F.col("file"), F.when(F.coalesce(F.col("page_start"), F.lit(0)) != 0,
                               F.concat(F.lit(" p."), F.col("page_start").cast("string"))).otherwise(F.lit(""))
     )
-    flat = F.substring(F.regexp_replace("text", r"[\s\x{85}\x{a0}]+", " "), 1, chars)
+    flat = F.regexp_replace("text", r"[\s\x{85}\x{a0}]+", " ")
+    flat = flat if chars is None else F.substring(flat, 1, chars)
     rows = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank0", where.alias("w"), flat.alias("t")))).alias("p"))
     lines = F.transform("p", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), x["w"], F.lit(") "), x["t"]))
     return rows.select("qid", F.array_join(lines, "\n\n").alias("context"))

@@ -10,8 +10,7 @@ from citeloom.functions.text import (
 from citeloom.operators.retrieval import bm25_weight, keyword_topk
 from citeloom.session import materialize
 
-# Least lengths and cuts of intros and sections, field weights, result count.
-LEAST_INTRO, INTRO_CUT, LEAST_SECTION, SECTION_CUT = 60, 2000, 40, 2500
+# Field weights, result count.
 BOOSTS = {"section": 5.0, "doc": 3.0, "text": 1.0}
 RESULTS = 40
 
@@ -27,10 +26,11 @@ def section_array(text: Column) -> Column:
         F.when(i > 0, F.regexp_replace(p, f"(?s)^[^{_CLOSE}]*{_CLOSE}", "")).otherwise(p).alias("content")))
 
 
-def sections(docs: DataFrame) -> DataFrame:
+def sections(docs: DataFrame, least_intro: int = 1, least_section: int = 0, cut: int | None = None) -> DataFrame:
     """docs(slug, text) → slug, ordinal, id, doc, section, url, text. Pairing happens inside the row, without a shuffle.
 
-    Ids repeat when headings repeat; the ordinal tells them apart.
+    Ids repeat when headings repeat; the ordinal tells them apart. Texts are whole and sections of any length are kept;
+    intros shorter than ``least_intro`` and sections shorter than ``least_section`` go, texts are cut to ``cut`` if asked.
     """
     url = F.concat(F.when(F.col("slug").startswith("00"), "").otherwise("docs/"), "slug", F.lit(".html"))
     # Cleaning inside the array keeps it out of reach of filter push-down, which would clean each section again.
@@ -41,13 +41,13 @@ def sections(docs: DataFrame) -> DataFrame:
     rows = rows.select("slug", "doc", "page", "ordinal", "s.heading", "s.body")
     is_intro = F.col("heading").isNull()
     anchor = heading_anchor(F.col("heading"))
-    kept = rows.filter(F.when(is_intro, F.length("body") > LEAST_INTRO).otherwise(F.length("body") >= LEAST_SECTION))
+    kept = rows.filter(F.when(is_intro, F.length("body") >= least_intro).otherwise(F.length("body") >= least_section))
     return kept.select(
         "slug", "ordinal",
         F.when(is_intro, F.concat("slug", F.lit("#top"))).otherwise(F.concat("slug", F.lit("#"), anchor)).alias("id"), "doc",
         F.when(is_intro, "Overview").otherwise(markdown_clean(F.col("heading"))).alias("section"),
         F.when(is_intro, F.col("page")).otherwise(F.concat("page", F.lit("#"), anchor)).alias("url"),
-        F.when(is_intro, F.substring("body", 1, INTRO_CUT)).otherwise(F.substring("body", 1, SECTION_CUT)).alias("text"))
+        (F.col("body") if cut is None else F.substring("body", 1, cut)).alias("text"))
 
 
 def field_weights(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -73,9 +73,13 @@ def field_weights(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def prefix_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace each word by the dictionary terms that start with it.
 
-    Terms are spread over their own prefixes and matched by equality; no term is compared with every word.
+    Terms are matched by equality on as many characters as some word has, so a term gives a row per asked length and
+    none for other lengths; no term is compared with every word.
     """
-    heads = dictionary.select("term", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("n")).select(
+    lengths = words.select(F.length("term").alias("n")).distinct().agg(F.collect_set("n").alias("ns"))
+    asked = F.coalesce(lengths.scalar(), F.array().cast("array<int>"))
+    sized = dictionary.select("term", asked.alias("ns"))
+    heads = sized.select("term", F.explode(F.filter("ns", lambda n: n <= F.length("term"))).alias("n")).select(
         F.expr("substring(term, 1, n)").alias("head"), "term")
     return words.select("qid", F.col("term").alias("head"), "times").join(heads, "head").groupBy("qid", "term").agg(
         F.sum("times").alias("times"))

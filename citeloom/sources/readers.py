@@ -96,8 +96,9 @@ def scan_json_layer(spark: SparkSession, path: str | None, member: str, ddl: str
         return spark.createDataFrame([], element)
     rows = spark.read.option("multiLine", "true").option("lineSep", "\x00").text(path, wholetext=True)
     bare = F.ltrim("value").startswith("[")
-    items = F.when(bare, F.from_json("value", T.ArrayType(element))).otherwise(
-        F.from_json("value", T.StructType([T.StructField(member, T.ArrayType(element))]))[member]
+    strict = {"mode": "FAILFAST"}  # a file that is cut off fails, it does not look like an empty layer
+    items = F.when(bare, F.from_json("value", T.ArrayType(element), strict)).otherwise(
+        F.from_json("value", T.StructType([T.StructField(member, T.ArrayType(element))]), strict)[member]
     )
     return rows.select(F.explode(items).alias("f")).select("f.*")
 
@@ -127,7 +128,7 @@ def scan_timeline_bundles(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
     body = F.regexp_replace("value", r"(?s)^\s*window\.[A-Za-z_]+\s*=\s*|;\s*$", "")
     return files.select(_path_part(r"([^/]+)\.(?:js|txt)$").alias("bundle"),
-                        F.from_json(body, _as_type(schemas.TIMELINE)).alias("doc"))
+                        F.from_json(body, _as_type(schemas.TIMELINE), {"mode": "FAILFAST"}).alias("doc"))
 
 
 def scan_event_log(spark: SparkSession, path: str) -> DataFrame:

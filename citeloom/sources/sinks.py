@@ -10,11 +10,17 @@ def append_log(records: DataFrame, folder: str) -> None:
     records.write.mode("append").json(folder)
 
 
-def overwrite_chunks(chunks: DataFrame, folder: str) -> None:
-    """Rebuild only the origins present in ``chunks`` (docs, source, figure); others stay.
+def overwrite_chunks(chunks: DataFrame, folder: str, origins: tuple[str, ...] = ()) -> None:
+    """Rebuild only the origins present in ``chunks`` (docs, source, figure), and those named in ``origins``; others stay.
 
-    So a text rebuild keeps figure passages, which a plain overwrite would lose.
+    So a text rebuild keeps figure passages, which a plain overwrite would lose. A named origin that ``chunks`` has no
+    row of is emptied: writing rows cannot say that, so its partition is removed.
     """
+    if origins:
+        spark, found = chunks.sparkSession, {r[0] for r in chunks.select("origin").distinct().collect()}
+        for origin in sorted(set(origins) - found):
+            target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/origin={origin}")
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("origin").parquet(folder)
 
 

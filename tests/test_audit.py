@@ -4,10 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from citeloom.catalog.audit import word_judge
+from citeloom.catalog.audit import length_judge
 from citeloom.functions.text import strip_bibliography
 from citeloom.operators import audit as A, conversation as V, ordered as O, resume as Q
-from citeloom.operators.backfill import embed_texts, hash_embedder
+from citeloom.catalog.fixtures import letter_embedder
+from citeloom.operators.backfill import embed_texts
 
 DOC = r"""# Head with [[9]](#src-9) is never a claim at all
 | Tunnel depth 300 feet below | [[2]](#src-2) [\[2\]](#src-2) and [[1]](#src-1) |
@@ -28,18 +29,27 @@ def docs(spark):
 
 def test_claims_by_hand(spark):
     rows = [(r["claim"], r["cites"], r["cited_files"]) for r in A.claims(docs(spark)).orderBy("i").collect()]
-    assert [r[1] for r in rows] == [[2, 2, 1], [3, 4]]
+    assert [r[1] for r in rows] == [[2, 2, 1], [3, 4], [1]]
     assert rows[0][0].startswith("Tunnel depth 300 feet below  /")
     assert rows[0][2] == ["sources/a/one.pdf"] and rows[1][2] == ["sources/a/new.pdf"]
     assert rows[1][0] == "The pump lifts 300 million gallons a day ."
 
 
-def test_length_test_is_strict(spark):
-    def count(n):
-        text = "x" * (n - 1) + ". [[1]](#src-1)".replace(". ", ".")
-        return A.claims(spark.createDataFrame([("d", text)], "doc string, text string")).count()
+def test_claims_of_any_length_are_whole(spark):
+    def claim(n):
+        text = "x" * (n - 1) + ".[[1]](#src-1)"
+        return A.claims(spark.createDataFrame([("d", text)], "doc string, text string")).first()["claim"]
 
-    assert (count(25), count(26)) == (0, 1)
+    assert [len(claim(n)) for n in (2, 25, 5000)] == [2, 25, 5000]
+
+
+def test_an_edit_late_in_a_claim_is_judged_again(spark):
+    def claims(amount):
+        text = "The long statement " + "goes on and on " * 10 + f"until it names {amount} million [[1]](#src-1)."
+        return A.claims(spark.createDataFrame([("d", text)], "doc string, text string"))
+
+    assert A.reverify_changed(claims(1400), claims(14)).count() == 1
+    assert A.reverify_changed(claims(14), claims(14)).count() == 0
 
 
 def test_last_bibliography_entry_wins(spark):
@@ -59,8 +69,8 @@ def test_judge_runs_once_per_claim(spark):
     p = [("f", 1, "alpha beta gamma")]
     work = spark.createDataFrame([("1", "alpha beta", p), ("2", "other words", p)],
                                  "cid string, claim string, passages array<struct<file string, p int, text string>>")
-    first = A.batch_verdicts(work, work.filter("cid = '2'"), word_judge)
-    assert [(r["cid"], r["verdict"]) for r in first.collect()] == [("1", "SUPPORTED")]
+    first = A.batch_verdicts(work, work.filter("cid = '2'"), length_judge)
+    assert [(r["cid"], r["verdict"]) for r in first.collect()] == [("1", "PARTIAL")]  # ten characters
 
 
 def test_resume_rules_differ(spark):
@@ -92,9 +102,9 @@ def test_history_filters_after_the_cut(spark):
 
 def test_embedder_width_is_checked(spark):
     chunks = spark.createDataFrame([("a", "x y")], "id string, text string")
-    assert len(embed_texts(chunks, hash_embedder(8), 8).first()["embedding"]) == 8
+    assert len(embed_texts(chunks, letter_embedder("abcdefgh"), 8).first()["embedding"]) == 8
     try:
-        embed_texts(chunks, hash_embedder(8), 9).collect()
+        embed_texts(chunks, letter_embedder("abcdefgh"), 9).collect()
         raise AssertionError("width was not checked")
     except Exception as exc:
         assert "9 wide" in str(exc)

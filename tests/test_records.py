@@ -9,9 +9,9 @@ from citeloom.functions import geo as GF
 from citeloom.functions.discharge import parse_event_date
 from citeloom.functions.provenance import humanize
 from citeloom.operators import geo as G, provenance as P
-from citeloom.operators.sections import sections
+from citeloom.operators.sections import prefix_words, sections
 from citeloom.plans import index_build, search
-from citeloom.operators.backfill import hash_embedder
+from citeloom.catalog.fixtures import letter_embedder
 from citeloom.sources import readers as S, sinks as K
 from citeloom.sources.markdown_tables import table_rows
 
@@ -77,7 +77,7 @@ def test_cells_dedupe_against_first_source_only(spark):
     second = spark.createDataFrame([("", n, 41.1001 if n == "Near A" else 41.5, -87.1, None, None, None) for n in ("Near A", "B one", "B two")], point)
     rows = {r["id"]: r for r in G.merge_shafts(first, second, second.limit(1)).collect()}
     assert set(rows) == {"a", "news-b-one", "news-b-two", "vent-near-a"}
-    assert rows["a"]["from"] == 1985 and len(rows["a"]["note"]) == 160 and rows["vent-near-a"]["type"] == "air-vent"
+    assert rows["a"]["from"] == 1985 and len(rows["a"]["note"]) == 200 and rows["vent-near-a"]["type"] == "air-vent"
 
 
 def test_schematic_needs_three_km(spark):
@@ -101,7 +101,28 @@ def test_first_flow_spec_wins(spark):
 def test_sections_of_a_document(spark):
     text = "---\ntitle: \"T\"\n---\n" + "intro " * 20 + "\n## A & B\n" + "body " * 10 + "\n### Short\nno\n## A & B\n" + "again " * 10
     rows = sections(spark.createDataFrame([("03-x", text)], "slug string, text string")).orderBy("ordinal").collect()
-    assert [(r["id"], r["section"]) for r in rows] == [("03-x#top", "Overview"), ("03-x#a--b", "A & B"), ("03-x#a--b", "A & B")]
+    assert [(r["id"], r["section"]) for r in rows] == [("03-x#top", "Overview"), ("03-x#a--b", "A & B"), ("03-x#short", "Short"), ("03-x#a--b", "A & B")]
+
+
+def test_long_sections_are_whole(spark):
+    rows = sections(spark.createDataFrame([("s", "## H\n" + "word " * 2000)], "slug string, text string")).collect()
+    assert [len(r["text"]) for r in rows] == [9999]
+
+
+def test_cut_off_files_fail(spark, tmp_path):
+    (tmp_path / "layer.json").write_text('[{"id": "a"}, {"id')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        S.scan_json_layer(spark, str(tmp_path / "layer.json"), "features", "id string").collect()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.js").write_text("window.X = {\"events\": [")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        S.scan_timeline_bundles(spark, str(tmp_path / "b")).collect()
+
+
+def test_a_long_term_gives_few_prefixes(spark):
+    words = spark.createDataFrame([(1, "xxa", 1.0), (2, "yyyy", 1.0)], "qid long, term string, times double")
+    terms = spark.createDataFrame([("x" * 20_000,), ("xxab",), ("xx",), ("yyyyz",)], "term string")
+    assert sorted((r.qid, r.term) for r in prefix_words(words, terms).collect()) == [(1, "xxab"), (2, "yyyyz")]
 
 
 def test_listing_rules(spark, tmp_path):
@@ -141,7 +162,7 @@ def test_index_and_search_end_to_end(spark, tmp_path):
     index_build.build_chunks(index, synthesis, pages)  # a text rebuild keeps the figure
     assert spark.read.parquet(index.chunks).groupBy("origin").count().count() == 3
     index_build.build_keywords(index, spark, files=2)
-    embed = hash_embedder(16)
+    embed = letter_embedder("abcdefghijklmnop")
     path = index_build.build_vectors(index, spark, 0, embed, 16)
     assert spark.read.parquet(index_build.build_vectors(index, spark, 1, embed, 16)).count() == spark.read.parquet(path).count() == 3
     text = "reservoir map shafts"
