@@ -8,6 +8,7 @@ from citeloom.catalog import fixtures as X
 from citeloom.catalog.registry import Tables, query
 from citeloom.functions import text as TX
 from citeloom.operators import audit as A, conversation as V, retrieval as R
+from citeloom.plans import keyword_index as K
 from citeloom.session import materialize, scratch_path
 from citeloom.sources import readers as S
 
@@ -176,7 +177,7 @@ def cited_source_priority(t: Tables):
 SELECT qid, string_agg(file || ' p.' || page_start || ' ' || text, chr(30) ORDER BY rank0) AS passages
 FROM ev GROUP BY qid""")
 def retrieve_evidence(t: Tables):
-    found = A.passages(A.retrieve_evidence(_claims_with_vectors(t), X.documents_as_chunks(t), X.vectors(t)))
+    found = A.passages(A.retrieve_evidence(_claims_with_vectors(t), X.documents_as_chunks(t), X.vectors(t), K.searcher(X.keyword_index(t), 4)))
     line = F.transform("passages", lambda p: F.concat(p["file"], F.lit(" p."), p["p"].cast("string"), F.lit(" "), p["text"]))
     return found.select("qid", F.array_join(line, "\x1e").alias("passages"))
 
@@ -200,7 +201,7 @@ FROM benchmark b JOIN ev ON qid = item_id AND rank0 = 0 WHERE item_id NOT IN (SE
 def batch_verdicts(t: Tables):
     """An injected judge over every claim that has no verdict yet."""
     claims = _claims_with_vectors(t)
-    work = A.passages(A.retrieve_evidence(claims, X.documents_as_chunks(t), X.vectors(t))).join(
+    work = A.passages(A.retrieve_evidence(claims, X.documents_as_chunks(t), X.vectors(t), K.searcher(X.keyword_index(t), 4))).join(
         claims.select("qid", F.col("text").alias("claim")), "qid"
     ).select(F.col("qid").cast("string").alias("cid"), "claim", "passages")
     judged = t.labels.filter(F.col("doc_id") % 10 == 0).select(F.col("doc_id").cast("string").alias("cid"))
@@ -337,7 +338,7 @@ def conversational_query(t: Tables):
     vectors = t.embeddings.select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
     # Questions are read several times by the search; written once, they are not derived again each time.
     queries = materialize(texts.join(vectors, "conv_id", "left").select("qid", "text", "vector"), "questions")
-    hits = R.hybrid_search(queries, X.documents_as_items(t), X.vectors(t), 12)
+    hits = R.hybrid_search(queries, None, X.vectors(t), 12, K.searcher(X.keyword_index(t)))
     return hits.select("qid", "id", "rank0", F.round("score", 5).alias("score"))
 
 
@@ -347,5 +348,5 @@ SELECT qid, string_agg('[' || place || '] (' || file || ' p.' || page_start || '
   chr(10) || chr(10) ORDER BY rank0) AS context
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank0) AS place FROM fused JOIN chunk_rows USING (id)) GROUP BY qid""")
 def context_assembly(t: Tables):
-    hits = R.hybrid_search(X.benchmark_vectors(t), X.documents_as_items(t), X.vectors(t), 12)
+    hits = R.hybrid_search(X.benchmark_vectors(t), None, X.vectors(t), 12, K.searcher(X.keyword_index(t)))
     return R.context_block(R.hydrate(hits, X.documents_as_chunks(t)))

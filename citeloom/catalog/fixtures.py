@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.catalog.registry import Tables
+from citeloom.plans import keyword_index as K
+from citeloom.plans.keyword_index import KeywordIndex
+from citeloom.session import scratch_path
 
 
 def file_of(doc_id: str = "doc_id", source: str = "source") -> Column:
@@ -31,6 +34,19 @@ page_rows AS (
 )"""
 
 
+_INDEXES: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def keyword_index(t: Tables) -> KeywordIndex:
+    """The index of the documents of a folder, built when first asked for and kept for the application."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _INDEXES:
+        index = KeywordIndex(scratch_path(t.spark, "keywords"))
+        K.add(index, documents_as_items(t))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def documents_as_items(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("id"), "text")
 

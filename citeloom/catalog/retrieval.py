@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from citeloom.catalog import fixtures as X
 from citeloom.catalog.registry import Tables, query
 from citeloom.operators import retrieval as R
+from citeloom.plans import keyword_index as K
+from citeloom.session import scratch_path
 
 _ALL_SELF = "(SELECT vec_id AS qid, embedding AS vector FROM embeddings)"
 
@@ -25,7 +27,8 @@ WITH d AS (SELECT doc_id AS id, {X.TOKENS.format('text')} AS ws FROM documents),
 p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM d) GROUP BY ALL)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term""")
 def bm25_index(t: Tables):
-    return R.term_statistics(R.postings(X.documents_as_items(t)))
+    """Words of the built index."""
+    return R.term_statistics(K.read_postings(t.spark, X.keyword_index(t)))
 
 
 @query("term_statistics", f"""
@@ -40,7 +43,19 @@ def term_statistics(t: Tables):
 WITH {X.bm25_sql(X.QUERY_TEXTS, X.DOC_TEXTS, 24)}
 SELECT qid, id, rank0, round(score, 5) AS score FROM text_hits""")
 def bm25_topk(t: Tables):
-    hits = R.bm25_topk(X.benchmark_queries(t), X.documents_as_items(t), 24)
+    hits = K.topk(X.keyword_index(t), X.benchmark_queries(t), 24)
+    return hits.select("qid", "id", "rank0", F.round("score", 5).alias("score"))
+
+
+@query("keyword_index_add", f"""
+WITH {X.bm25_sql(X.QUERY_TEXTS, X.DOC_TEXTS, 12)}
+SELECT qid, id, rank0, round(score, 5) AS score FROM text_hits""")
+def keyword_index_add(t: Tables):
+    """An index filled in two additions answers like one filled at once."""
+    index = K.KeywordIndex(scratch_path(t.spark, "keywords-added"))
+    for part in (0, 1):
+        K.add(index, X.documents_as_items(t).filter(F.col("id") % 2 == part))
+    hits = K.topk(index, X.benchmark_queries(t), 12)
     return hits.select("qid", "id", "rank0", F.round("score", 5).alias("score"))
 
 
@@ -72,5 +87,5 @@ _PROJECTION = r"""
 WITH {X.vector_sql(X.QUERY_VECTORS, X.ITEM_VECTORS, 36)}, {X.bm25_sql(X.QUERY_TEXTS, X.DOC_TEXTS, 36)}, {X.rrf_sql(12)},
 {X.CHUNKS_SQL} {_PROJECTION}""")
 def hybrid_search(t: Tables):
-    hits = R.hybrid_search(X.benchmark_vectors(t), X.documents_as_items(t), X.vectors(t), 12)
+    hits = R.hybrid_search(X.benchmark_vectors(t), None, X.vectors(t), 12, K.searcher(X.keyword_index(t)))
     return R.hit_projection(R.hydrate(hits, X.documents_as_chunks(t)))

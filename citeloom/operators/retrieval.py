@@ -9,6 +9,7 @@ word or cluster that holds a third of all rows is spread over all slices.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -291,11 +292,18 @@ def hit_projection(hits: DataFrame) -> DataFrame:
     )
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 12) -> DataFrame:
-    """queries(qid, text, vector), docs(id, text), vectors(id, vector) → fused best ``k`` per query."""
+TextSearch = Callable[[DataFrame, int], DataFrame]
+
+
+def hybrid_search(queries: DataFrame, docs: DataFrame | None, vectors: DataFrame, k: int = 12, text_search: TextSearch | None = None) -> DataFrame:
+    """queries(qid, text, vector), docs(id, text), vectors(id, vector) → fused best ``k`` per query.
+
+    ``text_search`` asks a built keyword index; without one ``docs`` is indexed for this search alone.
+    """
     depth = 3 * k
     by_vector = vector_topk(queries.filter(F.col("vector").isNotNull()).select("qid", "vector"), vectors, depth)
-    by_text = bm25_topk(queries.select("qid", "text"), docs, depth)
+    asked = queries.select("qid", "text")
+    by_text = text_search(asked, depth) if text_search else bm25_topk(asked, docs, depth)
     return rrf_fuse(by_vector, by_text, k)
 
 

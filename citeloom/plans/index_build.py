@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citeloom.operators import chunking, figures, resume
 from citeloom.operators.backfill import Embedder, backfill
-from citeloom.operators.retrieval import bm25_weights, corpus_statistics, postings
+from citeloom.plans import keyword_index
 from citeloom.sources import sinks
 
 
@@ -23,8 +23,8 @@ class Index:
         return f"{self.root}/chunks"
 
     @property
-    def weights(self) -> str:
-        return f"{self.root}/keyword_weights"
+    def keywords(self) -> keyword_index.KeywordIndex:
+        return keyword_index.KeywordIndex(f"{self.root}/keywords")
 
     @property
     def vectors(self) -> str:
@@ -49,11 +49,9 @@ def _tag(rows: DataFrame, origin: str) -> DataFrame:
     return rows.withColumn("origin", F.lit(origin))
 
 
-def build_keywords(index: Index, spark: SparkSession, files: int = 64) -> None:
-    """Weights of all (passage, word) pairs, clustered by word so that a query reads few row groups."""
-    docs = spark.read.parquet(index.chunks).select("id", "text")
-    weights = bm25_weights(postings(docs), corpus_statistics(docs))
-    weights.repartitionByRange(files, "term", "id").sortWithinPartitions("term").write.mode("overwrite").parquet(index.weights)
+def add_keywords(index: Index, passages: DataFrame) -> None:
+    """Append passages(id, text) to the keyword index; a first call builds it."""
+    keyword_index.add(index.keywords, passages.select("id", "text"))
 
 
 def build_vectors(index: Index, spark: SparkSession, version: int, embed: Embedder, dim: int) -> str:

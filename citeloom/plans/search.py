@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citeloom.operators import retrieval as R
+from citeloom.plans import keyword_index
 from citeloom.plans.index_build import Index
 
 
 def search(spark: SparkSession, index: Index, vectors: str, queries: DataFrame, k: int = 12) -> DataFrame:
     """queries(qid, text, vector) → response rows; ``vectors`` is the vector table version to use."""
     chunks = spark.read.parquet(index.chunks)
-    weights = spark.read.parquet(index.weights)
     items = spark.read.parquet(vectors).select("id", F.col("embedding").alias("vector"))
-    depth = 3 * k
-    words = R.query_words(queries.select("qid", "text"))
-    by_text = R.keyword_topk(words, weights, chunks.count(), queries.count(), depth)
-    by_vector = R.vector_topk(queries.filter(F.col("vector").isNotNull()).select("qid", "vector"), items, depth)
-    return R.hit_projection(R.hydrate(R.rrf_fuse(by_vector, by_text, k), chunks))
+    hits = R.hybrid_search(queries, None, items, k, keyword_index.searcher(index.keywords))
+    return R.hit_projection(R.hydrate(hits, chunks))
