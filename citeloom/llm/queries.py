@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citeloom.llm import chat_format, embedding_dedup, mixing, ngram_join, packing, quality_rules, secret_scans, token_counts, url_filters, warc
+from citeloom.llm import chat_format, embedding_dedup, mixing, ngram_join, oracles, packing, quality_rules, secret_scans, token_counts, url_filters, warc
 from citeloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,18 +42,18 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op3_warc")
+@query("op3_warc", oracles.WARC)
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     archive, index = warc.write_archive(read_table(spark, folder, "pages"))
     return warc.read_archive(archive, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op4_ngram_join")
+@query("op4_ngram_join", oracles.NGRAM_JOIN)
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link(read_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-@query("op5_secret_scans")
+@query("op5_secret_scans", oracles.SECRET_SCANS)
 def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scans.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
     spans = F.col("secrets")
@@ -63,7 +63,7 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
         secret_scans.span_list(spans).alias("spans"))
 
 
-@query("op6_chat_format")
+@query("op6_chat_format", oracles.CHAT_FORMAT)
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"  # fixed value of the contract
@@ -78,7 +78,7 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.col("formatted_chars").cast("bigint").alias("formatted_chars"))
 
 
-@query("op7_embedding_dedup")
+@query("op7_embedding_dedup", oracles.EMBEDDING_DEDUP)
 def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, folder, "embeddings"))
 
@@ -95,7 +95,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", oracles.QUALITY_RULES)
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
