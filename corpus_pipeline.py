@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citeloom.llm import mixing, ngram_join, packing, quality_rules, secret_scans
-from citeloom.llm.common import materialize, prepare, read_table
+from citeloom.llm.common import materialize, read_table, ready
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -20,31 +20,31 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the bounds of their language and source."""
-    prepare(spark)
+    ready(spark)
     return quality_rules.kept_documents(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles have a similarity of 0.8 or more."""
-    prepare(spark)
+    ready(spark)
     return ngram_join.keep_one(docs.select(*COLUMNS), words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark and ``n_chars`` counted anew."""
-    prepare(spark)
+    ready(spark)
     return secret_scans.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
-    prepare(spark)
+    ready(spark)
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
-    prepare(spark)
+    ready(spark)
     return packing.pack_documents(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"))
 
 
