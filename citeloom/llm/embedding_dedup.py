@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from citeloom.llm.common import materialize
+from citeloom.llm.common import in_pieces, materialize
 from citeloom.llm.components import connected
 
 SIMILARITY = 0.98
@@ -31,6 +31,11 @@ class Model:
     books: list[np.ndarray]   # per subspace: codes x dimensions
     edges: list[int]          # where subspaces start, and the end
 
+    def apart(self) -> np.ndarray:
+        """Distances between centres."""
+        c = self.centres
+        return np.sqrt(np.maximum(1e-30, (c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1)[None]))
+
     def nearest(self, x: np.ndarray) -> np.ndarray:
         """Squared distances to all centres."""
         return np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ self.centres.T + (self.centres * self.centres).sum(1)[None])
@@ -120,7 +125,8 @@ def _placed(classes: DataFrame, model: Model, similarity: float) -> DataFrame:
     margin = reach * min(1.0, 4 / np.sqrt(model.width)) + 1e-9
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        between = model.apart()
+        for batch in in_pieces(batches, 256 << 10):  # each vector may be copied to many lists
             width = batch.column(2).to_numpy(zero_copy_only=False)
             for w in np.unique(width):
                 rows = np.flatnonzero(width == w)
@@ -135,8 +141,7 @@ def _placed(classes: DataFrame, model: Model, similarity: float) -> DataFrame:
                     own = far.argmin(1)
                     codes_, missed = model.encode(x - model.centres[own])
                     codes = [c.tobytes() for c in codes_]
-                    apart = np.sqrt(np.maximum(1e-30, ((model.centres[own][:, None] - model.centres[None]) ** 2).sum(2)))
-                    plane = (far - far[np.arange(n), own][:, None]) / (2 * apart)
+                    plane = (far - far[np.arange(n), own][:, None]) / (2 * between[own])
                     plane[np.arange(n), own] = 0
                     probes = [np.nonzero(plane <= margin)]
                 asks, cells = probes[0]
