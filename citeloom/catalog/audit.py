@@ -262,6 +262,35 @@ def adjudication_precision(t: Tables):
     return out.withColumn("real_rate", F.round("real_rate", 5)).withColumn("false_rate", F.round("false_rate", 5))
 
 
+_RULINGS_SQL = """
+WITH r AS (SELECT CASE WHEN quality = 1 THEN 'CONTRADICTED' ELSE 'PARTIAL' END AS verdict,
+    CASE WHEN toxic = 1 THEN 'real' WHEN doc_id % 7 = 0 THEN 'uncertain' ELSE 'false' END AS ruling, quality = 0 AND doc_id % 5 > 0 AS benign FROM labels)"""
+
+
+def _rulings(t: Tables):
+    verdict = F.when(F.col("quality") == 1, "CONTRADICTED").otherwise("PARTIAL")
+    ruling = F.when(F.col("toxic") == 1, "real").when(F.col("doc_id") % 7 == 0, "uncertain").otherwise("false")
+    return t.labels.select(verdict.alias("verdict"), ruling.alias("ruling"), ((F.col("quality") == 0) & (F.col("doc_id") % 5 > 0)).alias("benign"))
+
+
+@query("adjudication_by_verdict", _RULINGS_SQL + """
+SELECT verdict, count(*) AS flagged, count(*) FILTER (WHERE ruling = 'real') AS real, count(*) FILTER (WHERE ruling = 'false') AS false_flags,
+  count(*) FILTER (WHERE ruling = 'uncertain') AS uncertain,
+  round(CAST(count(*) FILTER (WHERE ruling = 'real') AS DOUBLE) / count(*), 5) AS real_rate,
+  round(CAST(count(*) FILTER (WHERE ruling = 'false') AS DOUBLE) / count(*), 5) AS false_rate FROM r WHERE NOT benign GROUP BY verdict""")
+def adjudication_by_verdict(t: Tables):
+    """Rulings per verdict class; screened partial verdicts that are benign were not adjudicated."""
+    out = A.adjudication_precision(_rulings(t).filter(~F.col("benign")), ("verdict",))
+    return out.withColumn("real_rate", F.round("real_rate", 5)).withColumn("false_rate", F.round("false_rate", 5))
+
+
+@query("partial_triage", _RULINGS_SQL + """
+SELECT verdict, count(*) AS screened, count(*) FILTER (WHERE benign) AS benign, count(*) FILTER (WHERE NOT benign) AS adjudicated,
+  count(*) FILTER (WHERE NOT benign AND ruling = 'real') AS real FROM r WHERE verdict = 'PARTIAL' GROUP BY verdict""")
+def partial_triage(t: Tables):
+    return A.triage(_rulings(t).filter(F.col("verdict") == "PARTIAL"), ("verdict",))
+
+
 @query("share_of_total", """
 SELECT user_id, event_type, round(sum(value), 4) AS total, round(sum(value) / sum(sum(value)) OVER (PARTITION BY user_id), 5) AS share
 FROM events GROUP BY user_id, event_type""")
@@ -322,10 +351,10 @@ def answer_citation_join(t: Tables):
     return V.answer_citations(answers, sources)
 
 
-_CONV_QUERIES = """(SELECT conv_id * 1000 + turn AS qid, trim(concat_ws(' ', prior, text), E' \\n\\t\\r') AS text FROM (
+_CONV_QUERIES = """(SELECT conv_id * 1048576 + turn AS qid, trim(concat_ws(' ', prior, text), E' \\n\\t\\r') AS text FROM (
   SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (
     PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM conversations) WHERE role = 'user')"""
-_CONV_VECTORS = "(SELECT conv_id * 1000 + turn AS qid, embedding AS vector FROM conversations JOIN embeddings ON vec_id = conv_id WHERE role = 'user')"
+_CONV_VECTORS = "(SELECT conv_id * 1048576 + turn AS qid, embedding AS vector FROM conversations JOIN embeddings ON vec_id = conv_id WHERE role = 'user')"
 
 
 @query("conversational_query", f"""
@@ -333,7 +362,7 @@ WITH {X.vector_sql(_CONV_VECTORS, X.ITEM_VECTORS, 36)}, {X.bm25_sql(_CONV_QUERIE
 SELECT qid, id, rank0, round(score, 5) AS score FROM fused""")
 def conversational_query(t: Tables):
     """Every user turn, folded with the user turn before it, through hybrid search."""
-    qid = (F.col("conv_id") * 1000 + F.col("turn")).alias("qid")
+    qid = (F.col("conv_id") * 1_048_576 + F.col("turn")).alias("qid")
     texts = V.retrieval_queries(t.conversations).select(qid, "conv_id", F.col("query").alias("text"))
     vectors = t.embeddings.select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
     # Questions are read several times by the search; written once, they are not derived again each time.

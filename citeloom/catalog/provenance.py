@@ -195,15 +195,25 @@ def canonical_url(t: Tables):
                           PF.url_tier(url, _TIERS).alias("tier"))
 
 
-@query("cited_in", f"""
+_CITATIONS_SQL = f"""
 WITH {_CANON_SQL},
-c AS (SELECT regexp_replace(key, '\\?.*$', '') AS key, d FROM tiers, (SELECT unnest([0, 3, 7]) AS off), LATERAL (SELECT 'doc' || ((page_id + off) % 17) AS d))
-SELECT regexp_replace(key, '[0-9]+(\\.html)?/?$', '') AS key, 4 AS tier, string_agg(DISTINCT d, ', ' ORDER BY d) AS cited_in, count(DISTINCT d) AS n_docs
-FROM c GROUP BY ALL""")
-def cited_in(t: Tables):
-    """Works are page addresses without their number; each is cited by three documents."""
+c AS (SELECT regexp_replace(regexp_replace(key, '\\?.*$', ''), '[0-9]+(\\.html)?/?$', '') AS key, 'doc' || ((page_id + off) % 17) AS doc
+  FROM tiers, (SELECT unnest([0, 3, 7]) AS off))"""
+
+
+def _citations(t: Tables):
+    """Works are page addresses without their number; each page is cited by three documents."""
     n = F.col("page_id")
     work = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"[0-9]+(\.html)?/?$", "")
     pairs = t.pages.select(work.alias("url"), F.explode(F.array(F.lit(0), F.lit(3), F.lit(7))).alias("off"), n)
-    out = P.cited_in(pairs.select("url", F.concat(F.lit("doc"), ((n + F.col("off")) % 17).cast("string")).alias("doc")))
-    return out.withColumn("key", F.concat("key", F.lit("/")))
+    return pairs.select("url", F.concat(F.lit("doc"), ((n + F.col("off")) % 17).cast("string")).alias("doc"))
+
+
+@query("cited_in", _CITATIONS_SQL + " SELECT DISTINCT key, 4 AS tier, doc FROM c")
+def cited_in(t: Tables):
+    return P.cited_in(_citations(t)).withColumn("key", F.concat("key", F.lit("/")))
+
+
+@query("citing_counts", _CITATIONS_SQL + " SELECT key, 4 AS tier, count(DISTINCT doc) AS n_docs FROM c GROUP BY key")
+def citing_counts(t: Tables):
+    return P.citing_counts(_citations(t)).withColumn("key", F.concat("key", F.lit("/")))

@@ -22,6 +22,19 @@ def vector_topk(t: Tables):
     return hits.select("qid", "id", "rank0", F.round("score", 5).alias("score"))
 
 
+@query("vector_topk_l2", f"""
+SELECT qid, id, rank0, round(d, 4) AS distance FROM (
+  SELECT qid, id, d, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) - 1 AS INTEGER) AS rank0
+  FROM (SELECT q.qid, i.id, list_distance(CAST(q.vector AS DOUBLE[]), CAST(i.vector AS DOUBLE[])) AS d FROM {_ALL_SELF} q, {X.ITEM_VECTORS} i
+        WHERE q.qid <> i.id)) WHERE rank0 < 10""")
+def vector_topk_l2(t: Tables):
+    """Nearest other vectors by distance."""
+    items = X.vectors(t)
+    hits = R.vector_topk(items.withColumnRenamed("id", "qid"), items, 11, "l2").filter(F.col("qid") != F.col("id"))
+    ranked = R.rank_hits(hits.select("qid", "id", "score"), 10)
+    return ranked.select("qid", "id", "rank0", F.round(-F.col("score"), 4).alias("distance"))
+
+
 @query("bm25_index", f"""
 WITH d AS (SELECT doc_id AS id, {X.TOKENS.format('text')} AS ws FROM documents),
 p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM d) GROUP BY ALL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citeloom.functions.discharge import is_no_discharge, parse_event_date, volume_mg
+from citeloom.session import small_side
 
 
 def normalise(raw: DataFrame, gallon_stations: list[str]) -> DataFrame:
@@ -54,8 +55,11 @@ def row_type_counts(log: DataFrame) -> DataFrame:
 
 
 def out_of_domain(log: DataFrame, stations: DataFrame) -> DataFrame:
-    """stations(station, opened date): events before the opening and rows without a date get flags; nothing is dropped."""
-    joined = log.join(stations, "station", "left")
+    """stations(station, opened date): events before the opening and rows without a date get flags; nothing is dropped.
+
+    Stations are few against the log, so the log is not shuffled by station while a count shows that they are.
+    """
+    joined = log.join(small_side(stations), "station", "left")
     extra = F.array_compact(F.array(
         F.when(F.col("date_iso") < F.col("opened"), "before-opening"), F.when(F.col("date_iso").isNull(), "dateless")))
     return joined.withColumn("flags", F.array_union("flags", extra)).withColumn(

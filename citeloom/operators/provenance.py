@@ -90,12 +90,11 @@ def unmatched(files: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def cited_in(citations: DataFrame) -> DataFrame:
-    """citations(url, doc) → one row per work: key, tier, sorted citing documents.
-
-    Documents are made distinct before they are gathered, so a list is as long as the documents that cite a work.
-    """
+    """citations(url, doc) → a row per work and document that cites it: key, tier, doc. A work is never one long row."""
     keyed = citations.select(canonical_url(F.col("url")).alias("key"), url_tier(F.col("url")).alias("tier"), "doc")
-    pairs = keyed.groupBy("key", "doc").agg(F.min("tier").alias("tier"))
-    return pairs.groupBy("key").agg(
-        F.min("tier").alias("tier"), F.array_join(F.sort_array(F.collect_list("doc")), ", ").alias("cited_in"),
-        F.count(F.lit(1)).alias("n_docs"))
+    return keyed.groupBy("key", "doc").agg(F.min("tier").alias("tier")).select("key", "tier", "doc")
+
+
+def citing_counts(citations: DataFrame) -> DataFrame:
+    """citations(url, doc) → how many documents cite each work: key, tier, n_docs."""
+    return cited_in(citations).groupBy("key").agg(F.min("tier").alias("tier"), F.count(F.lit(1)).alias("n_docs"))

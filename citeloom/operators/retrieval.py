@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from citeloom.functions.text import index_length, index_tokens, query_terms
@@ -67,8 +68,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float32())
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    """Vectors as rows; a null vector, a null component or another width is an error, not a shift of all that follow."""
+    widths = pa.compute.unique(pa.compute.list_value_length(column)).to_pylist()
+    flat = column.combine_chunks().flatten()
+    if len(widths) != 1 or widths[0] is None or flat.null_count:
+        raise ValueError(f"vectors must be present and of one width, found widths {widths}")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, widths[0])
 
 
 def _hit_table(qids, ids, scores, schema: pa.Schema) -> pa.Table:

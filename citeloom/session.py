@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 # Settings the library wants when nobody else has chosen them.
 DEFAULTS = {
@@ -85,6 +86,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """``rows``, marked for broadcast if a count shows at most ``most`` of them; a longer table is joined as usual."""
+    return broadcast(rows) if rows.count() <= most else rows
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance a table that arrives in fewer splits than there are workers; larger inputs pass unchanged.
 
