@@ -69,11 +69,12 @@ def grams() -> Column:
     return F.concat(of("host", "h"), of("path", "p"))
 
 
-def train(labelled: DataFrame, features: int = FEATURES, most: int = MAX_LABELLED) -> PipelineModel:
+def train(labelled: DataFrame, features: int = FEATURES, most: int = MAX_LABELLED) -> PipelineModel | None:
     """Fit on ``labelled(host, path, label)``; label 1 means block.
 
     ``most`` bounds the table that is read for training: half of it per label, the rows of smallest hash. The bounded
-    sample is put in one partition in a fixed order, so the same table gives the same model.
+    sample is put in one partition in a fixed order, so the same table gives the same model. Without any labelled url there
+    is no model (None).
     """
     sample = None
     for label in (0, 1):
@@ -81,16 +82,18 @@ def train(labelled: DataFrame, features: int = FEATURES, most: int = MAX_LABELLE
             F.xxhash64("host", "path"), "host", "path").limit(most // 2)
         sample = part if sample is None else sample.unionByName(part)
     sample = sample.coalesce(1).withColumn("grams", grams())
+    if sample.isEmpty():
+        return None
     hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True)
     fitted = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.001, maxIter=50, standardization=False).fit(
         hashing.transform(sample))
     return PipelineModel([hashing, fitted])
 
 
-def judge(pages: DataFrame, model: PipelineModel, rules: tuple[Rule, ...] = RULES, url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, model: PipelineModel | None, rules: tuple[Rule, ...] = RULES, url_col: str = "url") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict, block_score``.
 
-    The longest fitting rule decides; where none fits, the model does: block at a score of 0.5 or more. Every row is
+    The longest fitting rule decides; where none fits, the model does: block at a score of 0.5 or more (0 without a model). Every row is
     judged in place, without a shuffle; the model's weights are the only thing sent to the tasks and their number is
     fixed by ``train``.
 
@@ -100,7 +103,8 @@ def judge(pages: DataFrame, model: PipelineModel, rules: tuple[Rule, ...] = RULE
     """
     rows = with_parts(wrapped(pages, url=F.col(url_col))).withColumns({
         "rule": rule_of(rules, "text"), "ruled": rule_of(rules, "verdict"), "grams": grams()})
-    scored = model.transform(rows).withColumn("block_score", vector_to_array("probability")[1])
+    score = vector_to_array("probability")[1] if model else F.lit(0.0)
+    scored = (model.transform(rows) if model else rows).withColumn("block_score", score)
     decided = F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     kept = [F.col(f"row.`{c}`").alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
     return scored.withColumn("verdict", decided).select(*kept, "host", "path", "rule", "verdict", "block_score")

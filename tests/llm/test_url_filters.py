@@ -37,6 +37,8 @@ def test_rules_and_parts(spark):
         assert rows[i].features == 1
         assert rows[i].verdict == (found.verdict if found else "block" if rows[i].block_score >= 0.5 else "allow")
     assert uf.judge(pages.limit(0), uf.train(labelled)).count() == 0
+    assert uf.train(labelled.limit(0)) is None
+    assert {r.verdict for r in uf.judge(pages, None, rules=()).collect()} == {"allow"}
 
 
 def test_held_out_accuracy(spark):
