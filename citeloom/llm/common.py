@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from citeloom.session import materialize, prepare, scratch_path
 
-__all__ = ["BoundedCache", "binary_array", "let", "materialize", "prepare", "read_table", "scratch_path", "text_of",
+__all__ = ["BoundedCache", "binary_array", "let", "materialize", "prepare", "read_table", "ready", "scratch_path", "text_of",
            "word_count", "wrapped"]
 
 # Fixed value: what the contracts take for white space between words.
@@ -19,9 +19,15 @@ SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Session settings of this subpackage: Arrow batches of a few MB, so that long texts do not fill Python workers."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
+    return spark
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of ``folder``."""
-    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+    return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

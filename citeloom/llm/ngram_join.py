@@ -23,6 +23,7 @@ HOT_ROWS = 100_000     # documents that share a signature before its rows are de
 BLOCK = 2048           # documents of a signature that are compared in one task
 PARITY_WORDS = 16      # 64-bit words of a document's parity bitmap
 TOKEN_BYTES = 6        # of a shingle hash kept for verification
+SMALL_ROWS = 1_000_000 # rows of (id, key) up to which a side is broadcast: at most some 50 MB; longer ones are shuffled
 
 _MIX = [np.uint64(xxhash.xxh64_intdigest(bytes([i])) | 1) for i in range(16)]
 _FINAL = np.uint64(xxhash.xxh64_intdigest(b"final") | 1)
@@ -43,7 +44,7 @@ class Shingler:
 
     def __init__(self, words: int = SHINGLE_WORDS):
         self.words = words
-        self.hashes = BoundedCache(xxhash.xxh64_intdigest)
+        self.hashes = BoundedCache(xxhash.xxh64_intdigest, 60_000)
 
     def tokens(self, text: str) -> np.ndarray:
         """Sorted distinct 64-bit hashes. ASCII letters are lowered, white space is ASCII white space."""
@@ -76,26 +77,27 @@ def shingler(words: int) -> Shingler:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, words: int, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """``doc_id, text_key, key, check, n_shingles, sketch``: a row per document, and per task one with a sketch alone.
+    """``doc_id, text_key, key, check, n_shingles, bits, sketch``: a row per document, and per task one with a sketch alone.
 
-    ``key`` stands for the set (null for an empty one), ``check`` is a second hash of it. The sketch counts, per bucket
+    ``key`` stands for the set (null for an empty one), ``check`` is a second hash of it, ``bits`` its parity bitmap. The sketch counts, per bucket
     of token hashes, the sets that a task saw for the first time.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
     mask = np.uint64((1 << sketch_bits) - 1)
-    names = ["doc_id", "text_key", "key", "check", "n_shingles", "sketch"]
+    names = ["doc_id", "text_key", "key", "check", "n_shingles", "bits", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, seen = shingler(words), set()
         counts = np.zeros(1 << sketch_bits, dtype=np.uint64)
-        for batch in in_pieces(batches):
-            keys, checks, sizes, fresh = [], [], [], []
+        for batch in in_pieces(batches, 2 << 20):
+            keys, checks, sizes, bits, fresh = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 tokens = tool.tokens(text)
                 key = set_key(tokens) if len(tokens) else None
                 keys.append(key)
                 checks.append(set_key(tokens, 1) if len(tokens) else None)
                 sizes.append(len(tokens))
+                bits.append(parity(tokens) if len(tokens) else None)
                 if len(tokens) and key not in seen:
                     seen.add(key)
                     fresh.append(tokens)
@@ -104,12 +106,12 @@ def describe(docs: DataFrame, id_col: str, text_col: str, words: int, sketch_bit
             if len(seen) > 1_000_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (keys, checks, sizes)),
-                                              pa.nulls(len(keys), pa.binary())], names=names)
+                                              pa.array(bits, pa.binary()), pa.nulls(len(keys), pa.binary())], names=names)
         if counts.any():
             none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([pa.compress(counts.tobytes(), "zstd", asbytes=True)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none] * 5 + [pa.nulls(1, pa.binary()), pa.array([pa.compress(counts.tobytes(), "zstd", asbytes=True)], pa.binary())], names=names)
 
-    return source.mapInArrow(run, "doc_id bigint, text_key bigint, key bigint, check bigint, n_shingles bigint, sketch binary")
+    return source.mapInArrow(run, "doc_id bigint, text_key bigint, key bigint, check bigint, n_shingles bigint, bits binary, sketch binary")
 
 
 def _unpacked(data: bytes, sketch_bits: int) -> np.ndarray:
@@ -217,7 +219,7 @@ def signatures(docs: DataFrame, text_col: str, words: int, signer: Signer) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, seen = shingler(words), set()
-        for batch in in_pieces(batches, 4 << 20):
+        for batch in in_pieces(batches, 2 << 20):
             parts: list[list[np.ndarray]] = [[] for _ in names]
             for text in batch.column(0).to_pylist():
                 tokens = tool.tokens(text)
@@ -303,42 +305,56 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def small_side(rows: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``rows``, marked for broadcast if a count shows them to be few; a longer table is left to an ordinary join."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``key, tokens, bits`` of the sets in ``wanted(doc_id, key)``, whose texts are fetched by document id."""
-    right = wanted.select(F.col("doc_id").alias("_wanted"), F.col("key").alias("_key"))
+    """``key, tokens`` of the sets in ``wanted(doc_id, key)``, whose texts are fetched by document id."""
+    right = small_side(wanted.select(F.col("doc_id").alias("_wanted"), F.col("key").alias("_key")))
     source = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("_text")).join(
         right, F.col("_id").eqNullSafe(F.col("_wanted"))).select("_key", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = shingler(words)
-        for batch in in_pieces(batches):
-            keys, sets, bits = [], [], []
+        for batch in in_pieces(batches, 2 << 20):
+            keys, sets = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = tool.tokens(text)
                 if len(tokens) and set_key(tokens) == key:
                     keys.append(key)
                     sets.append(_short(tokens))
-                    bits.append(parity(tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), pa.array(bits, pa.binary())], names=["key", "tokens", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "tokens"])
 
-    return source.mapInArrow(run, "key bigint, tokens binary, bits binary")
+    return source.mapInArrow(run, "key bigint, tokens binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets link, by their exact overlap. A pair is dropped on its bitmaps before whole sets move."""
-    narrow = sets.select("key", "bits", (F.octet_length("tokens") / TOKEN_BYTES).cast("int").alias("n"))
-    left, right = (narrow.select(F.col("key").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that their bitmaps do not rule out, with the bits in which these differ (``apart``)."""
+    left, right = (classes.select(F.col("key").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY_WORDS) for c in ("bits_a", "bits_b"))
                 total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
-                fits = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= total - 2 * -(-percent * total // (100 + percent))
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fits)) for c in ("a", "b")], names=["a", "b"])
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                fits = pa.array(apart <= total - 2 * -(-percent * total // (100 + percent)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(fits) for c in ("a", "b")), pa.array(apart).filter(fits)], names=["a", "b", "apart"])
+
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint, apart bigint")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets link, by their exact overlap. Only sets of the pairs are made."""
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = materialize(keys.join(classes, "key").select(F.col("least").alias("doc_id"), "key"), "ngram-wanted")
+    sets = materialize(token_sets(docs, wanted, id_col, text_col, words), "ngram-tokens")
+    left, right = (sets.select(F.col("key").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_pieces(batches, 4 << 20):
             keep = []
             for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
                 both = np.concatenate([_long(x), _long(y)])
@@ -347,9 +363,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    rough = materialize(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(likely, "a bigint, b bigint"), "ngram-likely")
-    whole = [sets.select(F.col("key").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
-    return rough.join(whole[0], "a").join(whole[1], "b").mapInArrow(exact, "a bigint, b bigint")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -408,9 +422,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     Two documents link when 100 * overlap >= ``percent`` * union of their sets of ``words``-word shingles. Documents of
     equal sets are one class from the start. Classes that share a signature are candidates; instead of all their pairs,
 
-    1. each is verified against one likely centre per signature (``stars``), and components are formed;
-    2. in signatures whose members still belong to different components, the pairs across components are compared by
-       bitmap in blocks, and those that may link are verified (``across``).
+    1. each is paired with one likely centre per signature (``stars``); pairs that size or bitmap rule out go, the closest
+       centre of each class is verified, and components are formed;
+    2. pairs of step 1 that join different components, and, in signatures whose members still belong to different
+       components, the pairs across components that bitmaps do not rule out (``across``), are verified.
 
     A pair left out was already connected, so no component is lost and no group is expanded into all its pairs. A
     signature of very many documents is dealt to several tasks by a salt; the centres of the parts are then linked.
@@ -422,24 +437,25 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     described = materialize(describe(docs, id_col, text_col, words, sketch_bits), "ngram-sets")
     rows = described.filter(F.col("n_shingles").isNotNull()).drop("sketch")
     classes = materialize(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.min("check").alias("low"), F.max("check").alias("high")), "ngram-classes")
+        F.min("doc_id").alias("least"), F.min("check").alias("low"), F.max("check").alias("high"),
+        F.min("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits")), "ngram-classes")
     if not classes.filter(F.col("low") != F.col("high")).isEmpty():
         raise RuntimeError("two sets share a 64-bit key")
     signer = Signer(frequencies(described.filter(F.col("sketch").isNotNull()), sketch_bits), percent, hot_rows)
+    linking = lambda pairs: verify(pairs, docs, classes, id_col, text_col, words, percent)
 
     members = materialize(stars(signatures(docs, text_col, words, signer)), "ngram-members")
-    wanted = members.select("key").distinct().join(classes, "key").select(F.col("least").alias("doc_id"), "key")
-    sets = materialize(token_sets(docs, wanted, id_col, text_col, words), "ngram-tokens")
-
-    ends = [F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")]
-    fitting = members.filter((F.col("key") != F.col("pivot")) & _sizes_fit("n", "pivot_n", percent)).select(*ends)
     heads = members.filter(F.col("salt") >= 0).select(
         "sig", F.lit(-1).alias("salt"), F.col("pivot").alias("key"), F.col("pivot_n").alias("n"), F.lit(0).alias("rare")).distinct()
-    between = stars(heads).filter((F.col("key") != F.col("pivot")) & _sizes_fit("n", "pivot_n", percent)).select(*ends)
-    first = materialize(verify(fitting.unionByName(between).distinct(), sets, percent), "ngram-links")
-    roots = connected(first)
+    starred = members.unionByName(stars(heads)).filter((F.col("key") != F.col("pivot")) & _sizes_fit("n", "pivot_n", percent))
+    close = materialize(likely(starred.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), classes, percent), "ngram-likely")
+    nearest = close.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
+    first = materialize(linking(materialize(nearest, "ngram-nearest")), "ngram-links")
+    known = materialize(connected(first).select(F.col("node").alias("key"), "root"), "ngram-known")
+    root_of = lambda s: known.select(F.col("key").alias(s), F.col("root").alias(f"root_{s}"))
+    with_roots = lambda pairs: pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        "a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
 
-    known = roots.select(F.col("node").alias("key"), "root")
     placed = materialize(members.select("sig", "key", "n").distinct().join(known, "key", "left").withColumn(
         "root", F.coalesce("root", "key")), "ngram-placed")
     mixed = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("all"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter(
@@ -447,14 +463,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     spread = placed.join(mixed, "sig").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "n", "root")
-    pairs = materialize(across(spread.join(sets.select("key", "bits"), "key"), percent).distinct(), "ngram-across")
-    second = verify(pairs, sets, percent)
-    root_of = lambda s: known.select(F.col("key").alias(s), F.col("root").alias(f"root_{s}"))
-    merged = second.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
-        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    later = connected(merged).select(F.col("node").alias("root"), F.col("root").alias("final"))
-
-    settled = classes.join(known, "key", "left").withColumn("root", F.coalesce("root", "key")).join(later, "root", "left").select(
+    open_ = with_roots(close.join(nearest, ["a", "b"], "left_anti")).filter(F.col("root_a") != F.col("root_b")).select("a", "b")
+    pairs = across(spread.join(classes.select("key", "bits"), "key"), percent).unionByName(open_.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    second = linking(materialize(pairs, "ngram-across"))
+    later = connected(with_roots(second).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(
+        F.col("node").alias("root"), F.col("root").alias("final"))
+
+    settled = classes.select("key", "least").join(known, "key", "left").withColumn("root", F.coalesce("root", "key")).join(later, "root", "left").select(
         "key", "least", F.coalesce("final", "root").alias("root"))
     settled = materialize(settled, "ngram-roots")
     least = settled.groupBy("root").agg(F.min("least").alias("component_id"))
