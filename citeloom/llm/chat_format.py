@@ -43,11 +43,15 @@ def reply_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
         "tree", "node", F.col("_n").alias("up"), F.lit(1).cast("bigint").alias("steps"), F.col("score").cast("double").alias("sum"))
     rounds = [materialize(linked, "chat-round")]
     while not rounds[-1].filter(F.col("up").isNotNull()).isEmpty():
+        if len(rounds) > 48:  # no path is 2 ** 48 nodes long
+            raise ValueError("a node of a reply tree is its own ancestor")
         now = rounds[-1]
+        going = now.filter(F.col("up").isNotNull())  # ways that have met their root are not joined again
         other = now.select(*[F.col(c).alias(f"_{c}") for c in now.columns])
-        rounds.append(materialize(now.join(other, same("tree", "_tree") & (F.col("up") == F.col("_node")), "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum")), "chat-round"))
+        longer = going.join(other, same("tree", "_tree") & (F.col("up") == F.col("_node"))).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"),
+            (F.col("sum") + F.col("_sum")).alias("sum"))
+        rounds.append(materialize(longer.unionByName(now.filter(F.col("up").isNull())), "chat-round"))
     full = rounds[-1]  # every way ends at its root: steps is the depth, sum the score of the path
     inner = linked.filter(F.col("up").isNotNull()).select(F.col("tree").alias("_t"), F.col("up").alias("_n")).distinct()
     leaves = full.join(inner, same("tree", "_t") & (F.col("node") == F.col("_n")), "left_anti")
