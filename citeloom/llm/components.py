@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm.common import materialize
+from citeloom.session import small_side
+
+SMALL_ROWS = 1_000_000  # nodes up to which a round's table is broadcast, some 30 MB; larger graphs are joined by shuffles
 
 
 def connected(edges: DataFrame, seed: int = 4, most_rounds: int = 60) -> DataFrame:
@@ -26,8 +29,9 @@ def connected(edges: DataFrame, seed: int = 4, most_rounds: int = 60) -> DataFra
         near = both.groupBy("node").agg(F.min("m").alias("m"))
         point = materialize(near.select("node", F.least("m", mark("node"))["id"].alias("to")), "graph-step")
         steps.append(point)
-        left = point.select(F.col("node").alias("a"), F.col("to").alias("_a"))
-        right = point.select(F.col("node").alias("b"), F.col("to").alias("_b"))
+        few = small_side(point, SMALL_ROWS)
+        left = few.select(F.col("node").alias("a"), F.col("to").alias("_a"))
+        right = few.select(F.col("node").alias("b"), F.col("to").alias("_b"))
         moved = now.join(left, "a").join(right, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
         now = materialize(moved.filter(F.col("a") != F.col("b")).distinct(), "graph-edges")
     if not steps:

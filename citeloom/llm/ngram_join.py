@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm.common import BoundedCache, in_pieces, materialize, text_of, wrapped
 from citeloom.llm.components import connected
+from citeloom.session import small_side
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -242,49 +243,66 @@ def signatures(docs: DataFrame, text_col: str, words: int, signer: Signer) -> Da
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """``sig, salt, key, n, pivot, pivot_n``: every set that shares a signature, with the signature's first set.
+    """``sig, salt, key, n, pivot, pivot_n, several``: every set that shares a signature, with the signature's first set.
 
     The first is the one with the fewest rare tokens: what copies of a text have in common is frequent, what was changed
-    in each is rare, so that is the likely centre of a group. Rows come sorted, so a task keeps one row in mind, not a
+    in each is rare, so that is the likely centre of a group. Rows come sorted, so a task keeps two rows in mind, not a
     signature's members. A signature with a single set is left out, unless other tasks hold sets of it (salt 0 or more).
+    ``several`` tells whether there may be more than two sets; two are fully compared by their one pair.
     """
-    names = ["sig", "salt", "key", "n", "pivot", "pivot_n"]
+    names = ["sig", "salt", "key", "n", "pivot", "pivot_n", "several"]
+    kinds = ("int64", "int32", "int64", "int32", "int64", "int32", "bool")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (sig, salt, key, pivot, pivot_n, whether the pivot's own row is out)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, salt, key, n = (batch.column(c).to_numpy() for c in ("sig", "salt", "key", "n"))
-            same = np.zeros(len(sig), dtype=bool)
-            same[1:] = (sig[1:] == sig[:-1]) & (salt[1:] == salt[:-1])
+        held = None  # rows of the last signature while it has fewer than three sets
+        long = None  # (sig, salt, key, pivot, pivot_n) of the last signature once it has three
+
+        def cut(columns: list[np.ndarray], last: bool) -> pa.RecordBatch | None:
+            nonlocal held, long
+            sig, salt, key, n = columns
+            first = np.ones(len(sig), dtype=bool)
+            first[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
+            before = long
+            goes_on = before is not None and len(sig) > 0 and before[0] == sig[0] and before[1] == salt[0]
             twice = np.zeros(len(sig), dtype=bool)
-            twice[1:] = same[1:] & (key[1:] == key[:-1])
-            going = last is not None and last[0] == sig[0] and last[1] == salt[0]
-            if going:
-                same[0], twice[0] = True, last[2] == key[0]
-            start = np.maximum.accumulate(np.where(same, -1, np.arange(len(sig))))
-            pivot, pivot_n = key[start], n[start]
-            if going:
-                held = start < 0
-                pivot, pivot_n = np.where(held, last[3], pivot), np.where(held, last[4], pivot_n)
-            follows = same & ~twice
-            keep = follows | (~same & (salt >= 0))
-            lone = ~same & (salt < 0)
-            joined = np.zeros(len(sig), dtype=bool)
-            joined[start[follows & (start >= 0)]] = True
-            keep |= lone & joined
-            out = [c[keep] for c in (sig, salt, key, n, pivot, pivot_n)]
-            if going and not last[5] and follows[start < 0].any():
-                out = [np.concatenate([[v], c]) for v, c in zip((last[0], last[1], last[3], last[4], last[3], last[4]), out)]
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(out, ("int64", "int32", "int64", "int32", "int64", "int32"))], names=names)
-            begun = int(start[-1])
-            out_already = bool(salt[-1] >= 0 or (joined[begun] if begun >= 0 else last[5] or follows[start < 0].any()))
-            last = (sig[-1], salt[-1], key[-1], pivot[-1], pivot_n[-1], out_already)
+            twice[1:] = ~first[1:] & (key[1:] == key[:-1])
+            if goes_on:
+                twice[0] = before[2] == key[0]
+            last_key = key[-1]
+            last_spot = (sig[-1], salt[-1])
+            run_of = np.cumsum(first) - 1
+            starts = np.flatnonzero(first)
+            pivot, pivot_n = key[starts], n[starts]
+            sizes = np.bincount(run_of, weights=~twice, minlength=len(starts)).astype(np.int64)
+            if goes_on:
+                pivot[0], pivot_n[0] = before[3], before[4]
+                sizes[0] += 3
+            open_run = len(starts) - 1
+            waits = not last and sizes[open_run] < 3
+            long = None if sizes[open_run] < 3 else (*last_spot, last_key, pivot[open_run], pivot_n[open_run])
+            held = [c[starts[open_run]:][~twice[starts[open_run]:]] for c in columns] if waits else None
+            keep = ~twice & ((sizes[run_of] > 1) | (salt >= 0))
+            if waits:
+                keep &= run_of != open_run
+            several = (sizes[run_of] > 2) | (salt >= 0)
+            out = [c[keep] for c in (sig, salt, key, n, pivot[run_of], pivot_n[run_of], several)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(out, kinds)], names=names) if len(out[0]) else None
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("sig", "salt", "key", "n")]
+            if held is not None:
+                columns = [np.concatenate(pair) for pair in zip(held, columns)]
+            if len(columns[0]):
+                made = cut(columns, False)
+                if made:
+                    yield made
+        if held is not None:
+            made = cut(held, True)
+            if made:
+                yield made
 
     dealt = rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "rare", "key")
-    return dealt.mapInArrow(run, "sig bigint, salt int, key bigint, n int, pivot bigint, pivot_n int")
+    return dealt.mapInArrow(run, "sig bigint, salt int, key bigint, n int, pivot bigint, pivot_n int, several boolean")
 
 
 def _short(tokens: np.ndarray) -> bytes:
@@ -305,14 +323,9 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def small_side(rows: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """``rows``, marked for broadcast if a count shows them to be few; a longer table is left to an ordinary join."""
-    return F.broadcast(rows) if rows.count() <= limit else rows
-
-
 def token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """``key, tokens`` of the sets in ``wanted(doc_id, key)``, whose texts are fetched by document id."""
-    right = small_side(wanted.select(F.col("doc_id").alias("_wanted"), F.col("key").alias("_key")))
+    right = small_side(wanted.select(F.col("doc_id").alias("_wanted"), F.col("key").alias("_key")), SMALL_ROWS)
     source = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("_text")).join(
         right, F.col("_id").eqNullSafe(F.col("_wanted"))).select("_key", "_text")
 
@@ -452,14 +465,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     nearest = close.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
     first = materialize(linking(materialize(nearest, "ngram-nearest")), "ngram-links")
     known = materialize(connected(first).select(F.col("node").alias("key"), "root"), "ngram-known")
-    root_of = lambda s: known.select(F.col("key").alias(s), F.col("root").alias(f"root_{s}"))
+    few = small_side(known, SMALL_ROWS)
+    root_of = lambda s: few.select(F.col("key").alias(s), F.col("root").alias(f"root_{s}"))
     with_roots = lambda pairs: pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
         "a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
 
-    placed = materialize(members.select("sig", "key", "n").distinct().join(known, "key", "left").withColumn(
+    # the same set may stand in two parts of a salted signature only by way of two tasks; comparing it twice does no harm
+    placed = materialize(members.filter("several").select("sig", "key", "n").join(few, "key", "left").withColumn(
         "root", F.coalesce("root", "key")), "ngram-placed")
     mixed = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("all"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter(
         (F.col("all") > 2) & (F.col("_low") != F.col("_high"))).select("sig", F.ceil(F.col("all") / block).cast("int").alias("blocks"))
+    mixed = small_side(materialize(mixed, "ngram-mixed"), SMALL_ROWS)
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     spread = placed.join(mixed, "sig").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "n", "root")
