@@ -181,7 +181,10 @@ class PrefixCounter:
         return out
 
     def _run(self, part: str, done: int) -> list[int]:
-        encoded = self.words[self._byte_word(part)]
+        word = self._byte_word(part)
+        if not word:  # white space that is not cut at, such as non-breaking spaces: no token
+            return [done] * len(part)
+        encoded = self.words[word]
         ends = np.cumsum([len(ch.lower().encode("utf-8")) for ch in part])
         return [done + encoded[e - 1] for e in ends]
 

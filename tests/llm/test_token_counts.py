@@ -37,6 +37,22 @@ def test_every_prefix_of_any_text(text):
     assert got(text) == want(text)
 
 
+BLANKS = "\xa0\u3000\x0c\x0b\x85\u2003\u2028\u1680"
+
+
+@pytest.mark.parametrize("blank", BLANKS)
+def test_long_runs_of_other_white_space(blank):
+    for text in (blank * 4, "a" + blank * 4 + "b", "don" + blank * 5 + "'t", "!" + blank * 40 + "!", "é" + blank * 4 + "İx",
+                 blank * 4 + "<|endoftext|>" + blank * 4, blank * 2 + BLANKS + "日" + BLANKS):
+        assert got(text) == want(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "it's", "!", "é", "1", " ", "\n", "<|endoftext|>", BLANKS, *(b * 4 for b in BLANKS), *BLANKS]), max_size=12))
+def test_every_prefix_with_other_white_space(parts):
+    assert got("".join(parts)) == want("".join(parts))
+
+
 def test_whole_table_and_budget_questions(spark, small_docs):
     table = tc.prefix_table(small_docs, PATH).join(small_docs.select("doc_id", "text"), "doc_id")
     asked = tc.longest_within(tc.tokens_at(table.withColumn("k", F.lit(100)).withColumn("budget", F.lit(37)), "k"), "budget")
