@@ -16,7 +16,8 @@ SYMBOLS = "#*$%&|<>"
 class Fence:
     """An adaptive bound: a quantile of the group plus ``reach`` times the group's spread and a fixed ``slack``.
 
-    ``low`` and ``high`` are the quantiles whose distance is the spread; ``upper`` says on which side the bound lies.
+    ``low`` and ``high`` are the quantiles whose distance is the spread; ``upper`` says on which side the bound lies;
+    ``most`` is the largest bound, for metrics that end at 10,000; ``grain`` the least spread, as a part of ``high``.
     """
 
     metric: str
@@ -25,6 +26,8 @@ class Fence:
     reach: float
     slack: int
     upper: bool
+    most: int | None = None
+    grain: float = 0.0
 
 
 #: Metrics are whole numbers: hundredths of a character, or rows per ten thousand.
@@ -35,6 +38,15 @@ FENCES = (
     Fence("dup_lines", 0.10, 0.90, 3.0, 5000, True),
     Fence("repeats", 0.10, 0.90, 3.0, 2500, True),
 )
+#: Bounds that junk in up to a third of a group does not move: both quantiles lie among the other documents. For a normal
+#: metric they reach as far as those of ``FENCES``. A sketch bucket is a sixteenth wide, so no spread is taken to be less. What more than a third of a group shows is usual there.
+STEADY = (
+    Fence("word_length", 0.35, 0.65, 11.0, 100, True, grain=1 / 16),
+    Fence("word_length", 0.35, 0.65, 11.0, 50, False, grain=1 / 16),
+    Fence("symbols", 0.35, 0.65, 11.0, 1000, True, grain=1 / 16),
+    Fence("dup_lines", 0.35, 0.65, 11.0, 5000, True, 9000, 1 / 16),
+    Fence("repeats", 0.35, 0.65, 11.0, 2500, True, 9000, 1 / 16),
+)
 MIN_DOCS = 200
 
 
@@ -107,33 +119,34 @@ def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
         F.col("bucket").isNotNull()).groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quantiles(cells: DataFrame, keys: list[str]) -> DataFrame:
+def _quantiles(cells: DataFrame, keys: list[str], fences: tuple[Fence, ...]) -> DataFrame:
     """Bounds from sketches: ``*keys, _docs, _bounds`` with a bound per fence."""
     group = [*keys, "metric"]
     running = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group)
-    wanted = sorted({q for f in FENCES for q in (f.low, f.high)})
+    wanted = sorted({q for f in fences for q in (f.low, f.high)})
     placed = cells.withColumns({"_upto": F.sum("n").over(running), "_all": F.sum("n").over(whole)})
     found = placed.groupBy(*group).agg(
         F.max("_all").alias("_docs"),
         *[bucket_top(F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * q), F.col("bucket")))).alias(f"_q{i}") for i, q in enumerate(wanted)])
     bounds = []
-    for f in FENCES:
+    for f in fences:
         low, high = (F.col(f"_q{wanted.index(q)}") for q in (f.low, f.high))
-        reach = f.reach * (high - low) + f.slack
-        bounds.append(F.max(F.when(F.col("metric") == f.metric, (high + reach) if f.upper else (low - reach))))
+        reach = f.reach * (F.greatest(high - low, high * f.grain) if f.grain else high - low) + f.slack
+        bound = (high + reach) if f.upper else (low - reach)
+        bounds.append(F.max(F.when(F.col("metric") == f.metric, bound if f.most is None else F.least(bound, F.lit(float(f.most))))))
     return found.groupBy(*keys).agg(F.max("_docs").alias("_docs"), F.array(*bounds).alias("_bounds"))
 
 
-def thresholds(measured: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def thresholds(measured: DataFrame, min_docs: int = MIN_DOCS, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
     """A row per language and source: ``lang, source, _bounds``. Groups of fewer than ``min_docs`` documents take the
     bounds of their language's merged sketch, and languages that small those of all documents."""
     cells = materialize(sketch(measured, ["lang", "source"]), "quality-sketch")
     by_lang = cells.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
-    own = _quantiles(cells, ["lang", "source"])
-    lang = _quantiles(by_lang, ["lang"]).select(F.col("lang").alias("_l"), F.col("_docs").alias("_ld"), F.col("_bounds").alias("_lb"))
-    every = _quantiles(overall.withColumn("_one", F.lit(1)), ["_one"]).select(F.lit(1).alias("_o"), F.col("_bounds").alias("_ob"))
+    own = _quantiles(cells, ["lang", "source"], fences)
+    lang = _quantiles(by_lang, ["lang"], fences).select(F.col("lang").alias("_l"), F.col("_docs").alias("_ld"), F.col("_bounds").alias("_lb"))
+    every = _quantiles(overall.withColumn("_one", F.lit(1)), ["_one"], fences).select(F.lit(1).alias("_o"), F.col("_bounds").alias("_ob"))
     return own.join(lang, F.col("lang").eqNullSafe(F.col("_l")), "left").withColumn("_one", F.lit(1)).join(
         every, F.col("_one") == F.col("_o"), "left").select(
         F.col("lang").alias("_tl"), F.col("source").alias("_ts"),
@@ -145,12 +158,14 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-          min_docs: int = MIN_DOCS) -> DataFrame:
+          min_docs: int = MIN_DOCS, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
     """A verdict per document: ``doc_id, lang, source, _text_key``, the measures, ``base_failed, kept``.
 
     Texts are measured once, in the row; a narrow table of the measures is written. Its sketches give every language
     and source bounds of its own, which are joined back. A document is kept if the base rules pass and each metric lies
-    within its group's bounds. Thresholds adapt: a source in which symbols are usual tolerates more of them.
+    within its group's bounds. Thresholds adapt: a source in which symbols are usual tolerates more of them. With
+    ``FENCES``, as the SQL of the query has them, junk in more than a tenth of a group loosens its bounds; with ``STEADY``
+    it does not up to a third.
 
     Nulls: a null text has no words and fails; null languages and sources are groups of their own; a null id is kept.
     Repeated rows give repeated rows. An empty table gives an empty result. Other columns are not read.
@@ -160,11 +175,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
         F.xxhash64(text).alias("_text_key"), let(text, measures).alias("_m"))
     measured = materialize(rows.select("doc_id", "lang", "source", "_text_key", "_m.*"), "quality-measures")
-    bounds = thresholds(measured, min_docs)
+    bounds = thresholds(measured, min_docs, fences)
     joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("_tl")) & F.col("source").eqNullSafe(F.col("_ts")), "left")
     values = metrics()
     outside = F.lit(False)
-    for i, fence in enumerate(FENCES):
+    for i, fence in enumerate(fences):
         bound = F.get("_bounds", F.lit(i))
         value = values[fence.metric]
         outside = outside | F.coalesce(value > bound if fence.upper else value < bound, F.lit(False))

@@ -1,4 +1,6 @@
 import brute
+import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from citeloom.llm import quality_rules as qr
@@ -53,3 +55,14 @@ def test_edges(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == sorted((r.doc_id or 0) for r in rows if r.kept)
     assert qr.judge(no_docs).count() == 0 and qr.kept_documents(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.12, 0.2, 0.3])
+def test_junk_does_not_loosen_its_source(spark, share):
+    """Junk in 12 to 30 % of a source is rejected by the pipeline's stage; what most of a source shows stays usual."""
+    n = round(300 * share)
+    clean = plain(300 - n, 0, "dirty") + plain(300, 1000, "code", "x=#&#")
+    junk = [(3000 + i, " | ".join(t.split()), lang, s) for i, t, lang, s in plain(n, 0, "dirty")]
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs.withColumn("n_chars", F.length("text")), "").collect()}
+    assert kept == {r[0] for r in clean}
