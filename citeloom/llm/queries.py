@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citeloom.llm import chat_format, embedding_dedup, mixing, ngram_join, oracles, packing, quality_rules, secret_scans, token_counts, url_filters, warc
+from citeloom.llm import (chat_format, embedding_dedup, html_text, importance, mixing, ngram_join, oracles, packing, quality_rules, secret_scans,
+                          token_alignment, token_counts, url_filters, warc)
 from citeloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +100,20 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op11_html_extraction")
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read_table(spark, folder, "pages"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_importance_resampling")
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
