@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from citeloom.llm.common import in_pieces, materialize, text_of
 from citeloom.llm.packing import byte_alphabet
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+UNITS_AT_ONCE = 4096  # an encoding of the library takes about a thousand bytes
 
 #: A unit starts at a blank or line feed after a character that is no white space. Tokens of neither vocabulary cross
 #: such a place, so units are encoded by themselves. Other white space stays inside its unit.
@@ -27,6 +29,7 @@ class Vocabularies:
     """Both tokenizers, the bytes of each of their ids, and the identity map from A ids to B ids of the same bytes."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -89,20 +92,27 @@ def _offsets(owner: np.ndarray, size: int) -> np.ndarray:
 
 
 class Aligned:
-    """Tokens, groups and links of distinct units.
+    """Tokens, groups and links of distinct units, worked out ``UNITS_AT_ONCE`` at a time.
 
     ``shape`` has a row per unit: A tokens, B tokens, groups, links. One-to-one groups of equal bytes are named by their A
-    id (``same``), links of all other groups by a packed pair (``pairs``); both lists are in order of their units.
+    id (``same``), links of all other groups by a packed pair (``pairs``); both lists are in order of their units, and
+    ``same_at`` and ``pairs_at`` tell where each unit's stretch begins. ``broken`` units are not given back by their tokens.
     """
 
     def __init__(self, tools: Vocabularies, units: list[str]):
+        parts = [self._some(tools, units[at:at + UNITS_AT_ONCE]) for at in range(0, len(units), UNITS_AT_ONCE)]
+        self.broken, self.shape, self.same, same_n, self.pairs, pairs_n = (np.concatenate(c) for c in zip(*(p[:-1] for p in parts)))
+        self.same_at, self.pairs_at = (np.concatenate([[0], np.cumsum(n)]) for n in (same_n, pairs_n))
+        self.texts = list(chain.from_iterable(p[-1] for p in parts))
+
+    def _some(self, tools: Vocabularies, units: list[str]) -> tuple:
         ids_a, ids_b = tools.ids_a(units), tools.ids_b(units)
         bytes_a, bytes_b = tools.bytes_a, tools.bytes_b
-        self.broken = np.zeros(len(units), bool)
+        broken = np.zeros(len(units), bool)
         for i, unit in enumerate(units):
             raw = unit.encode()
             if b"".join([bytes_a[x] for x in ids_a[i]]) != raw or b"".join([bytes_b[x] for x in ids_b[i]]) != raw:
-                self.broken[i], ids_a[i], ids_b[i] = True, [], []
+                broken[i], ids_a[i], ids_b[i] = True, [], []
         n_a, n_b = (np.fromiter(map(len, x), "int64", len(units)) for x in (ids_a, ids_b))
         a = np.fromiter(chain.from_iterable(ids_a), "int64", int(n_a.sum()))
         b = np.fromiter(chain.from_iterable(ids_b), "int64", int(n_b.sum()))
@@ -113,18 +123,16 @@ class Aligned:
         group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
         in_a, in_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
         first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
-        unit_of = np.repeat(np.arange(len(units)), n_a)[first_a] if len(ends) else np.zeros(0, "int64")
+        unit_of = np.repeat(np.arange(len(units)), n_a)[first_a]
         single = (in_a == 1) & (in_b == 1)
         single[single] = tools.identity[a[first_a[single]]] == b[first_b[single]]
-        self.same, self.same_at = a[first_a[single]], _offsets(unit_of[single], len(units))
         odd = ~single[group_a]
         low, high = np.searchsorted(end_b, start_a[odd], "right"), np.searchsorted(start_b, end_a[odd], "left")
-        self.pairs = np.repeat(a[odd], high - low) << 32 | b[_ranges(low, high - low)]
-        pair_unit = np.repeat(unit_of[group_a[odd]], high - low)
-        self.pairs_at = _offsets(pair_unit, len(units))
-        links = np.diff(self.same_at) + np.diff(self.pairs_at)
-        self.shape = np.stack([n_a, n_b, np.bincount(unit_of, minlength=len(units)), links], axis=1)
-        self.texts = self._texts(ids_a, ids_b, unit_of, in_a, in_b)
+        pairs = np.repeat(a[odd], high - low) << 32 | b[_ranges(low, high - low)]
+        same_n = np.bincount(unit_of[single], minlength=len(units))
+        pairs_n = np.bincount(np.repeat(unit_of[group_a[odd]], high - low), minlength=len(units))
+        shape = np.stack([n_a, n_b, np.bincount(unit_of, minlength=len(units)), same_n + pairs_n], axis=1)
+        return broken, shape, a[first_a[single]], same_n, pairs, pairs_n, self._texts(ids_a, ids_b, unit_of, in_a, in_b)
 
     @staticmethod
     def _texts(ids_a, ids_b, unit_of, in_a, in_b) -> list[str]:
