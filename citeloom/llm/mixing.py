@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from citeloom.llm.common import materialize, text_of, word_count, wrapped
+from citeloom.llm.common import materialize, text_of, word_count
 
 MAX_REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -62,51 +62,55 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows are separate documents. A source without words has target 0 and none of its documents is taken. An empty table
     gives an empty result. Columns other than the three named are not read.
     """
+    rows = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    return _placed(rows, rows, weights, max_repeats, seed).select("doc_id", "source", "size", "source_size", "target", "copies", "_text_key")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
     text = text_of(text_col)
-    rows = materialize(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
-        F.xxhash64(text).alias("_text_key"),
-    ), "mix-sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
-    targets = source_targets(totals, weights, max_repeats)
-    # size classes double every eight steps; the class is only a place in the order
-    cells = rows.withColumns({
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
+                       F.xxhash64(text).alias("_text_key"), *more)
+
+
+_CELL = ("_none", "_name", "_class", "_range")
+
+
+def _in_cells(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows with the cell they stand in. Size classes double every eight steps; the class is only a place in the order."""
+    return rows.withColumns({
+        "_none": F.col("source").isNull(), "_name": F.coalesce("source", F.lit("")),
         "_class": F.floor(F.log2(F.col("size") + 1) * 8).cast("int"),
         "_hash": F.xxhash64(F.lit(seed), "doc_id", "_text_key"),
     }).withColumn("_range", F.shiftrightunsigned("_hash", 56).cast("int") % HASH_RANGES)
-    keys = ["source", "_class", "_range"]
-    before = Window.partitionBy("source").orderBy("_class", "_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+
+
+def _placed(rows: DataFrame, sizes: DataFrame, weights: tuple[float, ...], max_repeats: int, seed: int) -> DataFrame:
+    """``rows`` with ``source_size, target, copies``; ``sizes`` are the same rows without what need not be counted.
+
+    The shuffle that brings the rows of a cell together also brings the cell's carried count, so rows move once.
+    """
+    targets = source_targets(sizes.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size")), weights, max_repeats)
+    before = Window.partitionBy("_none", "_name").orderBy("_class", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = _in_cells(sizes, seed).groupBy("source", *_CELL).agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     same = F.col("_s").eqNullSafe(F.col("source"))
-    carried = counts.join(targets.withColumnRenamed("source", "_s"), same, "left").select(
-        F.col("source").alias("_cs"), F.col("_class").alias("_cc"), F.col("_range").alias("_cr"), "_before", "source_size", "target")
-    inside = Window.partitionBy(*keys).orderBy("size", "_hash", "doc_id")
-    ranked = cells.withColumn("_rank", F.row_number().over(inside))
-    on = F.col("source").eqNullSafe(F.col("_cs")) & (F.col("_class") == F.col("_cc")) & (F.col("_range") == F.col("_cr"))
+    carried = counts.join(targets.withColumnRenamed("source", "_s"), same, "left").select(*_CELL, "_before", "source_size", "target")
+    inside = Window.partitionBy(*_CELL).orderBy("size", "_hash", "doc_id")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    through = F.col("_before") + F.col("_rank")
-    placed = ranked.join(carried, on, "left").withColumns({"_rate": rate, "_through": through, "_u": _start(F.col("source"), seed)})
+    through = F.col("_before") + F.row_number().over(inside)
+    placed = _in_cells(rows, seed).join(carried, list(_CELL), "left").withColumns({
+        "_rate": rate, "_through": through, "_u": _start(F.col("source"), seed)})
     copies = F.floor(F.col("_through") * F.col("_rate") + F.col("_u")) - F.floor((F.col("_through") - 1) * F.col("_rate") + F.col("_u"))
-    return placed.select("doc_id", "source", "size", "source_size", "target",
-                         F.least(copies.cast("bigint"), F.lit(max_repeats)).alias("copies"), "_text_key")
+    return placed.withColumn("copies", F.least(copies.cast("bigint"), F.lit(max_repeats)))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 8) -> DataFrame:
     """The documents themselves, each repeated as often as the mix takes it; columns as in ``docs``.
 
-    Rows equal in id, source and text cannot be told apart by value: what they take together is dealt to them evenly.
+    Sizes are counted first; then every row travels once, to its cell, where it is ranked and emitted.
     """
-    id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    taken = materialize(mix(docs, **options).groupBy("doc_id", "source", "_text_key").agg(
-        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter(F.col("copies") > 0), "mix-copies")
-    right = taken.select(*[F.col(c).alias(f"_{c}") for c in taken.columns])
-    keyed = wrapped(docs, id=F.col(id_col), source=F.col(source_col), text=F.xxhash64(text_of(text_col)))
-    on = (F.col("id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("text") == F.col("__text_key")))
-    joined = keyed.join(right, on, "inner")
-    single = joined.filter(F.col("_rows") == 1).withColumn("times", F.col("_copies"))
-    equal = Window.partitionBy("id", "source", "text").orderBy("text")
-    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.row_number().over(equal) <= F.col("_copies") % F.col("_rows")).cast("bigint")
-    repeated = joined.filter(F.col("_rows") > 1).withColumn("times", share)
-    every = single.unionByName(repeated).filter(F.col("times") > 0)
-    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    sizes = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    placed = _placed(_sized(docs, id_col, text_col, source_col, whole), sizes, weights, max_repeats, seed).filter(F.col("copies") > 0)
+    return placed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from citeloom.llm.common import SPACE, SPACE_CHARS, let, materialize, text_of, wrapped
+from citeloom.llm.common import SPACE, SPACE_CHARS, let, materialize, text_of
+from citeloom.session import small_side
 
 RUN = 8  # words in a window
 SYMBOLS = "#*$%&|<>"
@@ -17,7 +18,7 @@ class Fence:
     """An adaptive bound: a quantile of the group plus ``reach`` times the group's spread and a fixed ``slack``.
 
     ``low`` and ``high`` are the quantiles whose distance is the spread; ``upper`` says on which side the bound lies;
-    ``most`` is the largest bound, for metrics that end at 10,000; ``grain`` the least spread, as a part of ``high``.
+    ``most`` is the largest bound, for metrics that end at 10,000.
     """
 
     metric: str
@@ -27,27 +28,20 @@ class Fence:
     slack: int
     upper: bool
     most: int | None = None
-    grain: float = 0.0
 
 
-#: Metrics are whole numbers: hundredths of a character, or rows per ten thousand.
+GRAIN = 1 / 16  # a sketch bucket is a sixteenth wide, so no spread is taken to be less than that part of ``high``
+
+#: Metrics are whole numbers: hundredths of a character, or rows per ten thousand. Both quantiles lie among the other
+#: documents while junk makes up to a third of a group, which thus does not move the bound; for a normal metric 11 times
+#: the middle 30 % reaches beyond four deviations. What more than a third of a group shows is usual there.
 FENCES = (
-    Fence("word_length", 0.10, 0.90, 3.0, 100, True),
-    Fence("word_length", 0.10, 0.90, 3.0, 50, False),
-    Fence("symbols", 0.10, 0.90, 3.0, 1000, True),
-    Fence("dup_lines", 0.10, 0.90, 3.0, 5000, True),
-    Fence("repeats", 0.10, 0.90, 3.0, 2500, True),
-)
-#: Bounds that junk in up to a third of a group does not move: both quantiles lie among the other documents. For a normal
-#: metric they reach as far as those of ``FENCES``. A sketch bucket is a sixteenth wide, so no spread is taken to be less. What more than a third of a group shows is usual there.
-STEADY = (
-    Fence("word_length", 0.35, 0.65, 11.0, 100, True, grain=1 / 16),
-    Fence("word_length", 0.35, 0.65, 11.0, 50, False, grain=1 / 16),
-    Fence("symbols", 0.35, 0.65, 11.0, 1000, True, grain=1 / 16),
-    Fence("dup_lines", 0.35, 0.65, 11.0, 5000, True, 9000, 1 / 16),
-    Fence("repeats", 0.35, 0.65, 11.0, 2500, True, 9000, 1 / 16),
+    Fence("word_length", 0.35, 0.65, 11.0, 100, True),
+    Fence("word_length", 0.35, 0.65, 11.0, 50, False),
+    Fence("symbols", 0.35, 0.65, 11.0, 1000, True),
+    Fence("dup_lines", 0.35, 0.65, 11.0, 5000, True, 9000),
+    Fence("repeats", 0.35, 0.65, 11.0, 2500, True, 9000),
 )
-MIN_DOCS = 200
 
 
 def _repeated(words: Column) -> Column:
@@ -119,63 +113,39 @@ def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
         F.col("bucket").isNotNull()).groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quantiles(cells: DataFrame, keys: list[str], fences: tuple[Fence, ...]) -> DataFrame:
-    """Bounds from sketches: ``*keys, _docs, _bounds`` with a bound per fence."""
-    group = [*keys, "metric"]
+def thresholds(measured: DataFrame, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
+    """A row per language and source, with a bound per fence: ``_tl, _ts, _bounds``. A group's own sketch decides, whatever
+    the number of its documents: the bounds depend on the shares of values alone, so they stay when a table is repeated."""
+    group = ["lang", "source", "metric"]
+    cells = materialize(sketch(measured, ["lang", "source"]), "quality-sketch")
     running = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
     wanted = sorted({q for f in fences for q in (f.low, f.high)})
-    placed = cells.withColumns({"_upto": F.sum("n").over(running), "_all": F.sum("n").over(whole)})
-    found = placed.groupBy(*group).agg(
-        F.max("_all").alias("_docs"),
-        *[bucket_top(F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * q), F.col("bucket")))).alias(f"_q{i}") for i, q in enumerate(wanted)])
+    placed = cells.withColumns({"_upto": F.sum("n").over(running), "_all": F.sum("n").over(Window.partitionBy(*group))})
+    found = placed.groupBy(*group).agg(*[
+        bucket_top(F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * q), F.col("bucket")))).alias(f"_q{i}") for i, q in enumerate(wanted)])
     bounds = []
     for f in fences:
         low, high = (F.col(f"_q{wanted.index(q)}") for q in (f.low, f.high))
-        reach = f.reach * (F.greatest(high - low, high * f.grain) if f.grain else high - low) + f.slack
+        reach = f.reach * F.greatest(high - low, high * GRAIN) + f.slack
         bound = (high + reach) if f.upper else (low - reach)
         bounds.append(F.max(F.when(F.col("metric") == f.metric, bound if f.most is None else F.least(bound, F.lit(float(f.most))))))
-    return found.groupBy(*keys).agg(F.max("_docs").alias("_docs"), F.array(*bounds).alias("_bounds"))
-
-
-def thresholds(measured: DataFrame, min_docs: int = MIN_DOCS, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
-    """A row per language and source: ``lang, source, _bounds``. Groups of fewer than ``min_docs`` documents take the
-    bounds of their language's merged sketch, and languages that small those of all documents."""
-    cells = materialize(sketch(measured, ["lang", "source"]), "quality-sketch")
-    by_lang = cells.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
-    overall = by_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
-    own = _quantiles(cells, ["lang", "source"], fences)
-    lang = _quantiles(by_lang, ["lang"], fences).select(F.col("lang").alias("_l"), F.col("_docs").alias("_ld"), F.col("_bounds").alias("_lb"))
-    every = _quantiles(overall.withColumn("_one", F.lit(1)), ["_one"], fences).select(F.lit(1).alias("_o"), F.col("_bounds").alias("_ob"))
-    return own.join(lang, F.col("lang").eqNullSafe(F.col("_l")), "left").withColumn("_one", F.lit(1)).join(
-        every, F.col("_one") == F.col("_o"), "left").select(
-        F.col("lang").alias("_tl"), F.col("source").alias("_ts"),
-        F.when(F.col("_docs") >= min_docs, F.col("_bounds")).when(F.col("_ld") >= min_docs, F.col("_lb")).otherwise(F.col("_ob")).alias("_bounds"))
+    return found.groupBy(F.col("lang").alias("_tl"), F.col("source").alias("_ts")).agg(F.array(*bounds).alias("_bounds"))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-          min_docs: int = MIN_DOCS, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
-    """A verdict per document: ``doc_id, lang, source, _text_key``, the measures, ``base_failed, kept``.
+def _measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, *more: Column) -> DataFrame:
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
+                       F.xxhash64(text).alias("_text_key"), let(text, measures).alias("_m"), *more)
+    return materialize(rows.select(*[c for c in rows.columns if c != "_m"], "_m.*"), "quality-measures")
 
-    Texts are measured once, in the row; a narrow table of the measures is written. Its sketches give every language
-    and source bounds of its own, which are joined back. A document is kept if the base rules pass and each metric lies
-    within its group's bounds. Thresholds adapt: a source in which symbols are usual tolerates more of them. With
-    ``FENCES``, as the SQL of the query has them, junk in more than a tenth of a group loosens its bounds; with ``STEADY``
-    it does not up to a third.
 
-    Nulls: a null text has no words and fails; null languages and sources are groups of their own; a null id is kept.
-    Repeated rows give repeated rows. An empty table gives an empty result. Other columns are not read.
-    """
-    text = text_of(text_col)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
-        F.xxhash64(text).alias("_text_key"), let(text, measures).alias("_m"))
-    measured = materialize(rows.select("doc_id", "lang", "source", "_text_key", "_m.*"), "quality-measures")
-    bounds = thresholds(measured, min_docs, fences)
+def _verdicts(measured: DataFrame, fences: tuple[Fence, ...]) -> DataFrame:
+    """``measured`` with ``base_failed, kept``; the bounds, a row per language and source, are sent to the rows."""
+    bounds = small_side(materialize(thresholds(measured, fences), "quality-bounds"))
     joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("_tl")) & F.col("source").eqNullSafe(F.col("_ts")), "left")
     values = metrics()
     outside = F.lit(False)
@@ -186,13 +156,22 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return joined.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & ~outside).alias("kept"))
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, unchanged. A verdict is found again by id, language, source and text."""
-    id_col, text_col, lang_col, source_col = (options.get(k, v) for k, v in (
-        ("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang"), ("source_col", "source")))
-    rejected = materialize(judge(docs, **options).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_rd"), F.col("lang").alias("_rl"), F.col("source").alias("_rs"), F.col("_text_key").alias("_rk")).distinct(), "quality-rejected")
-    keyed = wrapped(docs, id=F.col(id_col), lang=F.col(lang_col), source=F.col(source_col), text=F.xxhash64(text_of(text_col)))
-    on = (F.col("id").eqNullSafe(F.col("_rd")) & F.col("lang").eqNullSafe(F.col("_rl"))
-          & F.col("source").eqNullSafe(F.col("_rs")) & (F.col("text") == F.col("_rk")))
-    return keyed.join(rejected, on, "left_anti").select("row.*")
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+          fences: tuple[Fence, ...] = FENCES) -> DataFrame:
+    """A verdict per document: ``doc_id, lang, source, _text_key``, the measures, ``base_failed, kept``.
+
+    Texts are measured once, in the row; a narrow table of the measures is written. Its sketches give every language
+    and source bounds of its own. A document is kept if the base rules pass and each metric lies within its group's bounds.
+    Thresholds adapt: a source in which symbols are usual tolerates more of them; junk in up to a third of it loosens none.
+
+    Nulls: a null text has no words and fails; null languages and sources are groups of their own; a null id is kept.
+    Repeated rows give repeated rows. An empty table gives an empty result. Other columns are not read.
+    """
+    return _verdicts(_measured(docs, id_col, text_col, lang_col, source_col), fences)
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+                   fences: tuple[Fence, ...] = FENCES) -> DataFrame:
+    """The documents that pass, unchanged. Each row is written once beside its measures, and decided where it lies."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return _verdicts(_measured(docs, id_col, text_col, lang_col, source_col, whole), fences).filter("kept").select("row.*")

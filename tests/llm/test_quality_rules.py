@@ -30,7 +30,7 @@ def plain(n, doc, source, word="word"):
 
 
 def test_bounds_adapt_to_the_source(spark):
-    """Marks that are usual in one source are kept there and rejected where they are rare; small groups borrow bounds."""
+    """Marks that are usual in one source are kept there and rejected where they are rare."""
     rows = plain(300, 0, "prose") + plain(300, 1000, "code", "x=#&#") + plain(2, 2000, "tiny") + plain(2, 3000, "tiny2", "##$$%")
     rows += plain(3, 4000, "prose", "x=#&#")
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -59,10 +59,20 @@ def test_edges(edge_docs, no_docs):
 
 @pytest.mark.parametrize("share", [0.12, 0.2, 0.3])
 def test_junk_does_not_loosen_its_source(spark, share):
-    """Junk in 12 to 30 % of a source is rejected by the pipeline's stage; what most of a source shows stays usual."""
+    """Junk in 12 to 30 % of a source is rejected by the query's rules and the pipeline's stage; what most of a source shows
+    stays usual."""
     n = round(300 * share)
     clean = plain(300 - n, 0, "dirty") + plain(300, 1000, "code", "x=#&#")
     junk = [(3000 + i, " | ".join(t.split()), lang, s) for i, t, lang, s in plain(n, 0, "dirty")]
     docs = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs.withColumn("n_chars", F.length("text")), "").collect()}
-    assert kept == {r[0] for r in clean}
+    assert kept == {r[0] for r in clean} == {r.doc_id for r in qr.judge(docs).collect() if r.kept}
+
+
+def test_no_count_of_documents_turns_a_verdict(spark):
+    """The same documents three times over, under new ids, are judged as before; so are small sources beside large ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    once = {r.doc_id: r.kept for r in qr.judge(docs).collect()}
+    thrice = docs.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).withColumn("doc_id", F.col("doc_id") * 3 + F.col("k"))
+    assert {r.doc_id: r.kept for r in qr.judge(thrice).collect()} == {3 * i + k: v for i, v in once.items() for k in range(3)}
+    assert 0.5 < sum(once.values()) / len(once) < 1
