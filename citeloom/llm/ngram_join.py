@@ -22,8 +22,7 @@ MERGE_TASKS = 8
 TOKENS_PER_GROUP = 4   # frequent tokens of a document that one combination group should hold
 HOT_ROWS = 100_000     # documents that share a signature before its rows are dealt to several tasks
 BLOCK = 2048           # documents of a signature that are compared in one task
-PARITY_WORDS = 16      # 64-bit words of a document's parity bitmap
-TOKEN_BYTES = 6        # of a shingle hash kept for verification
+PARITY_BITS = 256      # of the smallest parity bitmap; a larger set has a bit per token, at least
 SMALL_ROWS = 1_000_000 # rows of (id, key) up to which a side is broadcast: at most some 50 MB; longer ones are shuffled
 
 _MIX = [np.uint64(xxhash.xxh64_intdigest(bytes([i])) | 1) for i in range(16)]
@@ -305,42 +304,28 @@ def stars(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "sig bigint, salt int, key bigint, n int, pivot bigint, pivot_n int, several boolean")
 
 
-def _short(tokens: np.ndarray) -> bytes:
-    return tokens.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
-
-
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // TOKEN_BYTES, 8), dtype=np.uint8)
-    out[:, :TOKEN_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
-    return out.reshape(-1).view(np.uint64)
-
-
 def parity(tokens: np.ndarray) -> bytes:
     """Bitmap whose bit i tells whether an odd number of tokens hash to i. Two sets differ in at least as many tokens as
-    their bitmaps in bits, so a pair whose bitmaps differ too much is ruled out for certain."""
-    width = 64 * PARITY_WORDS
-    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % width, minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    their bitmaps in bits, so a pair whose bitmaps differ too much is ruled out for certain. Its width is a power of two
+    and grows with the set, so that long texts are told apart, too; a wider one is folded onto a narrower."""
+    width = max(PARITY_BITS, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``key, tokens`` of the sets in ``wanted(doc_id, key)``, whose texts are fetched by document id."""
-    right = small_side(wanted.select(F.col("doc_id").alias("_wanted"), F.col("key").alias("_key")), SMALL_ROWS)
-    source = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("_text")).join(
-        right, F.col("_id").eqNullSafe(F.col("_wanted"))).select("_key", "_text")
+def folded(bitmaps: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps of one width as rows of ``words`` 64-bit words; parts of a wider bitmap are added modulo two."""
+    return np.bitwise_xor.reduce(np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1, words), axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = shingler(words)
-        for batch in in_pieces(batches, 2 << 20):
-            keys, sets = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = tool.tokens(text)
-                if len(tokens) and set_key(tokens) == key:
-                    keys.append(key)
-                    sets.append(_short(tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "tokens"])
 
-    return source.mapInArrow(run, "key bigint, tokens binary")
+def bits_apart(x: bytes, y: bytes) -> int:
+    words = min(len(x), len(y)) // 8
+    return int(np.bitwise_count(folded([x], words) ^ folded([y], words)).sum())
+
+
+def most_apart(total, percent: int):
+    """In how many tokens two sets that link may differ, if their sizes add up to ``total``."""
+    return total - 2 * -(-percent * total // (100 + percent))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -348,35 +333,78 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     left, right = (classes.select(F.col("key").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY_WORDS) for c in ("bits_a", "bits_b"))
-                total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                fits = pa.array(apart <= total - 2 * -(-percent * total // (100 + percent)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(fits) for c in ("a", "b")), pa.array(apart).filter(fits)], names=["a", "b", "apart"])
+        for batch in in_pieces(batches):
+            apart = np.array([bits_apart(x, y) for x, y in zip(*(batch.column(f"bits_{s}").to_pylist() for s in "ab"))], np.int64)
+            total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            fits = pa.array(apart <= most_apart(total, percent))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(fits) for c in ("a", "b")), pa.array(apart).filter(fits)], names=["a", "b", "apart"])
 
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint, apart bigint")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets link, by their exact overlap. Only sets of the pairs are made."""
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = materialize(keys.join(classes, "key").select(F.col("least").alias("doc_id"), "key"), "ngram-wanted")
-    sets = materialize(token_sets(docs, wanted, id_col, text_col, words), "ngram-tokens")
-    left, right = (sets.select(F.col("key").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+def _sent_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``to, part, centre, key, tokens``: the sets of ``wanted(doc_id, key, uses)``, once for each of its uses."""
+    right = small_side(wanted.select(F.col("doc_id").alias("_wanted"), F.col("key").alias("_key"), F.col("uses").alias("_uses")), SMALL_ROWS)
+    source = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("_text")).join(
+        right, F.col("_id").eqNullSafe(F.col("_wanted"))).select("_key", "_text", "_uses")
+    names = ["to", "part", "centre", "key", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches, 4 << 20):
-            keep = []
-            for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
-                both = np.concatenate([_long(x), _long(y)])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+        tool = shingler(words)
+        for batch in in_pieces(batches, 2 << 20):
+            rows, held = [], 0
+            for key, text, uses in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = tool.tokens(text)
+                if not len(tokens) or set_key(tokens) != key:
+                    continue
+                data = tokens.tobytes()
+                for use in uses:
+                    rows.append((use["to"], use["part"], use["centre"], key, data))
+                    held += len(data)
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+    return source.mapInArrow(run, "to bigint, part int, centre boolean, key bigint, tokens binary")
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """The pairs ``a, b`` whose sets link, by their exact overlap. Only sets of the pairs are made.
+
+    A pair is compared where the set of its ``b`` is: each set moves once per partner, whole 64-bit hashes and all, in one
+    shuffle. Partners of a set beyond ``block`` are dealt to several parts, each with a copy of that set.
+    """
+    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    dealt = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    use = lambda centre: F.struct(F.col("b").alias("to"), "part", F.lit(centre).alias("centre"))
+    members = dealt.select(F.col("a").alias("key"), use(False).alias("use"))
+    centres = dealt.select("b", "part").distinct().select(F.col("b").alias("key"), use(True).alias("use"))
+    uses = members.unionByName(centres).groupBy("key").agg(F.collect_set("use").alias("uses"))
+    wanted = materialize(uses.join(classes, "key").select(F.col("least").alias("doc_id"), "key", "uses"), "ngram-wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre = None, None
+        for batch in batches:
+            found = []
+            for to, part, is_centre, key, data in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = np.frombuffer(data, np.uint64)
+                if is_centre:
+                    at, centre = (to, part), tokens
+                elif at == (to, part):
+                    both = np.concatenate([centre, tokens])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (len(both) - shared):
+                        found.append((key, to))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    sent = _sent_sets(docs, wanted, id_col, text_col, words).select("to", "part", "centre", "key", "tokens")
+    ordered = sent.repartition("to", "part").sortWithinPartitions("to", "part", F.col("centre").desc())
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -390,22 +418,28 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     one block, or of two, never a whole frequent signature, and gives only pairs that may link.
     """
     def compare(rows_: list[tuple], low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        block, key, n, root, bits = (np.array(c) if i < 4 else np.frombuffer(b"".join(c), np.uint64).reshape(-1, PARITY_WORDS)
-                                     for i, c in enumerate(zip(*rows_)))
-        n = n.astype(np.int64)
-        for start in range(0, len(key), 64):
-            some = slice(start, start + 64)
-            total = n[some, None] + n[None]
-            fits = (root[some, None] != root[None]) & (key[some, None] < key[None])
-            fits &= 100 * np.minimum(n[some, None], n[None]) >= percent * np.maximum(n[some, None], n[None])
-            if low != high:
-                fits &= block[some, None] != block[None]
-            i, j = np.nonzero(fits)
-            if len(i):
-                apart = np.bitwise_count(bits[some][i] ^ bits[j]).sum(1, dtype=np.int64)
-                whole = total[i, j]
-                close = apart <= whole - 2 * -(-percent * whole // (100 + percent))
-                yield key[some][i[close]], key[j[close]]
+        block, key, n, root = (np.array(c, np.int64) for c in list(zip(*rows_))[:4])
+        bits = [r[4] for r in rows_]
+        width = np.array([len(b) // 8 for b in bits])
+        for words in np.unique(width).tolist():
+            # a set is compared with sets of its own width and with wider ones, which are folded
+            left, right = np.flatnonzero(width == words), np.flatnonzero(width >= words)
+            narrow = np.zeros((len(rows_), words), np.uint64)
+            for other in np.unique(width[right]).tolist():
+                own = np.flatnonzero(width == other)
+                narrow[own] = folded([bits[i] for i in own.tolist()], words)
+            for start in range(0, len(left), 64):
+                some = left[start:start + 64]
+                total = n[some, None] + n[right]
+                fits = (root[some, None] != root[right]) & ((width[right] > words) | (key[some, None] < key[right]))
+                fits &= 100 * np.minimum(n[some, None], n[right]) >= percent * np.maximum(n[some, None], n[right])
+                if low != high:
+                    fits &= block[some, None] != block[right]
+                i, j = np.nonzero(fits)
+                if len(i):
+                    x, y = some[i], right[j]
+                    close = np.bitwise_count(narrow[x] ^ narrow[y]).sum(1, dtype=np.int64) <= most_apart(total[i, j], percent)
+                    yield np.minimum(key[x], key[y])[close], np.maximum(key[x], key[y])[close]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -455,7 +489,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     if not classes.filter(F.col("low") != F.col("high")).isEmpty():
         raise RuntimeError("two sets share a 64-bit key")
     signer = Signer(frequencies(described.filter(F.col("sketch").isNotNull()), sketch_bits), percent, hot_rows)
-    linking = lambda pairs: verify(pairs, docs, classes, id_col, text_col, words, percent)
+    linking = lambda pairs: verify(pairs, docs, classes, id_col, text_col, words, percent, block)
 
     members = materialize(stars(signatures(docs, text_col, words, signer)), "ngram-members")
     heads = members.filter(F.col("salt") >= 0).select(

@@ -68,8 +68,17 @@ def test_parity_bound():
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 1 << 40, 300, dtype=np.uint64)) for _ in range(2))
         b = np.union1d(a[:rng.integers(1, 300)], b[:rng.integers(1, 60)])
-        bits = [np.unpackbits(np.frombuffer(nj.parity(x), np.uint8)) for x in (a, b)]
-        assert (bits[0] != bits[1]).sum() <= len(np.setxor1d(a, b))
+        assert nj.bits_apart(nj.parity(a), nj.parity(b)) <= len(np.setxor1d(a, b))
+    wide, narrow = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (5000, 40))
+    assert len(nj.parity(wide)) > len(nj.parity(narrow)) and nj.bits_apart(nj.parity(wide), nj.parity(narrow)) <= len(np.setxor1d(wide, narrow))
+
+
+def test_long_copies(spark):
+    """Sets whose bitmaps have different widths, near the bound."""
+    texts = copies(7, 14, 60, size=1030, base_words=900) + copies(8, 14, 12, size=258, base_words=300) + copies(9, 10, 200, size=4100, base_words=3000)
+    texts += [" ".join(t.split()[:k]) for t, k in zip(texts[::5], (960, 1000, 1020, 240, 250, 4000, 3700, 4090))]
+    check(spark, dict(enumerate(texts, 1)))
+    check(spark, dict(enumerate(texts, 1)), block=3)
 
 
 def test_edges_and_keeping_one(spark, edge_docs, no_docs):
