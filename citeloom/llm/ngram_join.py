@@ -22,7 +22,8 @@ MERGE_TASKS = 8
 TOKENS_PER_GROUP = 4   # frequent tokens of a document that one combination group should hold
 HOT_ROWS = 100_000     # documents that share a signature before its rows are dealt to several tasks
 BLOCK = 2048           # documents of a signature that are compared in one task
-PARITY_BITS = 256      # of the smallest parity bitmap; a larger set has a bit per token, at least
+PARITY_BITS = 1024     # of the smallest parity bitmap; a larger set has a bit per token, at least
+PARTNERS = 256         # of one set that are verified in one task
 SMALL_ROWS = 1_000_000 # rows of (id, key) up to which a side is broadcast: at most some 50 MB; longer ones are shuffled
 
 _MIX = [np.uint64(xxhash.xxh64_intdigest(bytes([i])) | 1) for i in range(16)]
@@ -371,13 +372,13 @@ def _sent_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     return source.mapInArrow(run, "to bigint, part int, centre boolean, key bigint, tokens binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, percent: int, partners: int = PARTNERS) -> DataFrame:
     """The pairs ``a, b`` whose sets link, by their exact overlap. Only sets of the pairs are made.
 
     A pair is compared where the set of its ``b`` is: each set moves once per partner, whole 64-bit hashes and all, in one
-    shuffle. Partners of a set beyond ``block`` are dealt to several parts, each with a copy of that set.
+    shuffle. Partners of a set beyond ``partners`` are dealt to several parts, each with a copy of that set.
     """
-    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / partners).cast("int").alias("parts"))
     dealt = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     use = lambda centre: F.struct(F.col("b").alias("to"), "part", F.lit(centre).alias("centre"))
     members = dealt.select(F.col("a").alias("key"), use(False).alias("use"))
@@ -489,7 +490,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     if not classes.filter(F.col("low") != F.col("high")).isEmpty():
         raise RuntimeError("two sets share a 64-bit key")
     signer = Signer(frequencies(described.filter(F.col("sketch").isNotNull()), sketch_bits), percent, hot_rows)
-    linking = lambda pairs: verify(pairs, docs, classes, id_col, text_col, words, percent, block)
+    linking = lambda pairs: verify(pairs, docs, classes, id_col, text_col, words, percent, min(block, PARTNERS))
 
     members = materialize(stars(signatures(docs, text_col, words, signer)), "ngram-members")
     heads = members.filter(F.col("salt") >= 0).select(
