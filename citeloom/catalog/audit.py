@@ -157,7 +157,7 @@ ev AS (
 def union_candidates(t: Tables):
     queries = X.benchmark_vectors(t)
     v = R.vector_topk(queries.filter(F.col("vector").isNotNull()).select("qid", "vector"), X.vectors(t), 12)
-    x = R.bm25_topk(queries.select("qid", "text"), X.documents_as_items(t), 12, 4)
+    x = K.topk(X.keyword_index(t), queries.select("qid", "text"), 12, 4)
     return A.union_candidates(v, x)
 
 

@@ -34,15 +34,18 @@ page_rows AS (
 )"""
 
 
-_INDEXES: dict[tuple[str, str], KeywordIndex] = {}
+_INDEXES: dict[tuple, KeywordIndex] = {}
 
 
 def keyword_index(t: Tables) -> KeywordIndex:
-    """The index of the documents of a folder, built when first asked for and kept for the application."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    """The index of the documents of a folder, built when first asked for and kept for the application as long as the
+    table's files stay as they are."""
+    files = t.spark.read.parquet(f"{t.folder}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    key = (t.spark.sparkContext.applicationId, t.folder, tuple(sorted(map(tuple, files.distinct().collect()))))
     if key not in _INDEXES:
         index = KeywordIndex(scratch_path(t.spark, "keywords"))
-        K.add(index, documents_as_items(t))
+        K.add(index, documents_as_items(t), 0)
+        K.refresh(t.spark, index)
         _INDEXES[key] = index
     return _INDEXES[key]
 

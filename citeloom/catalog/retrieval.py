@@ -40,8 +40,8 @@ WITH d AS (SELECT doc_id AS id, {X.TOKENS.format('text')} AS ws FROM documents),
 p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM d) GROUP BY ALL)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term""")
 def bm25_index(t: Tables):
-    """Words of the built index."""
-    return R.term_statistics(K.read_postings(t.spark, X.keyword_index(t)))
+    """Words of the built index, from its dictionary."""
+    return K.dictionary(t.spark, X.keyword_index(t))
 
 
 @query("term_statistics", f"""
@@ -64,10 +64,17 @@ def bm25_topk(t: Tables):
 WITH {X.bm25_sql(X.QUERY_TEXTS, X.DOC_TEXTS, 12)}
 SELECT qid, id, rank0, round(score, 5) AS score FROM text_hits""")
 def keyword_index_add(t: Tables):
-    """An index filled in two additions answers like one filled at once."""
-    index = K.KeywordIndex(scratch_path(t.spark, "keywords-added"))
-    for part in (0, 1):
-        K.add(index, X.documents_as_items(t).filter(F.col("id") % 2 == part))
+    """An index that took in wrong texts and surplus documents, a batch twice, corrections and removals, merged half-way,
+    answers like one filled at once."""
+    index, docs = K.KeywordIndex(scratch_path(t.spark, "keywords-added")), X.documents_as_items(t)
+    wrong = docs.withColumn("text", F.when(F.col("id") % 4 == 0, F.reverse("text")).otherwise(F.col("text")))
+    surplus = docs.filter(F.col("id") % 8 == 0).withColumn("id", -1 - F.col("id"))
+    K.add(index, wrong.filter(F.col("id") % 2 == 0).unionByName(surplus), 0)
+    for _ in range(2):
+        K.add(index, docs.filter(F.col("id") % 2 == 1), 1)
+    K.merge(t.spark, index)
+    K.add(index, docs.filter(F.col("id") % 4 == 0), 2)
+    K.remove(index, surplus, 3)
     hits = K.topk(index, X.benchmark_queries(t), 12)
     return hits.select("qid", "id", "rank0", F.round("score", 5).alias("score"))
 
@@ -85,7 +92,7 @@ def topk_per_query(t: Tables):
 WITH {X.vector_sql(X.QUERY_VECTORS, X.ITEM_VECTORS, 24)}, {X.bm25_sql(X.QUERY_TEXTS, X.DOC_TEXTS, 24)}, {X.rrf_sql(8)}
 SELECT qid, id, rank0, round(score, 5) AS score FROM fused""")
 def rrf_fuse(t: Tables):
-    hits = R.hybrid_search(X.benchmark_vectors(t), X.documents_as_items(t), X.vectors(t), 8)
+    hits = R.hybrid_search(X.benchmark_vectors(t), None, X.vectors(t), 8, K.searcher(X.keyword_index(t)))
     return hits.select("qid", "id", "rank0", F.round("score", 5).alias("score"))
 
 

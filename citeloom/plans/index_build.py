@@ -49,9 +49,9 @@ def _tag(rows: DataFrame, origin: str) -> DataFrame:
     return rows.withColumn("origin", F.lit(origin))
 
 
-def add_keywords(index: Index, passages: DataFrame) -> None:
-    """Append passages(id, text) to the keyword index; a first call builds it."""
-    keyword_index.add(index.keywords, passages.select("id", "text"))
+def add_keywords(index: Index, passages: DataFrame, batch: int) -> None:
+    """Take passages(id, text) into the keyword index as batch ``batch``; a first call builds it, a repeated one replaces itself."""
+    keyword_index.add(index.keywords, passages.select("id", "text"), batch)
 
 
 def build_vectors(index: Index, spark: SparkSession, version: int, embed: Embedder, dim: int) -> str:

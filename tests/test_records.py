@@ -162,8 +162,8 @@ def test_index_and_search_end_to_end(spark, tmp_path):
     index_build.build_chunks(index, synthesis, pages)  # a text rebuild keeps the figure
     assert spark.read.parquet(index.chunks).groupBy("origin").count().count() == 3
     built = spark.read.parquet(index.chunks)
-    index_build.add_keywords(index, built.filter("origin = 'source'"))
-    index_build.add_keywords(index, built.filter("origin <> 'source'"))
+    index_build.add_keywords(index, built.filter("origin = 'source'"), 0)
+    index_build.add_keywords(index, built.filter("origin <> 'source'"), 1)
     embed = letter_embedder("abcdefghijklmnop")
     path = index_build.build_vectors(index, spark, 0, embed, 16)
     assert spark.read.parquet(index_build.build_vectors(index, spark, 1, embed, 16)).count() == spark.read.parquet(path).count() == 3
