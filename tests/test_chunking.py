@@ -89,3 +89,52 @@ def test_first_corpus_wins(spark):
     a = spark.createDataFrame([("x", 1), ("x", 2)], "file string, v int")
     b = spark.createDataFrame([("x", 3), ("y", 4)], "file string, v int")
     assert sorted(r["v"] for r in C.union_corpora(a, b).collect()) == [1, 2, 4]
+
+
+def odd_files(rng):
+    """Texts without any mark, of blanks inside pages, of runs of line ends, with wide characters, and of tiny pages."""
+    yield "plain", ["".join(rng.choice(["word ", "end. ", "é", "\U0001f600. ", ". "]) for _ in range(900)) for _ in range(30)]
+    yield "no marks", ["x" * 90_000]
+    yield "blank inside", ["a" * 3000 + "\n" * 9000 + "b. " * 2000, "\x0b" * 9000, "c"]
+    yield "tiny pages", ["z"] * 9000
+    yield "line ends", ["p\n\n\nq. \n\n" * 4000]
+    yield "exactly one", ["y" * 2798]
+    yield "one more", ["y" * 2799]
+    yield "near a border", ["w" * (8192 - 2), "v" * 2500]
+
+
+def test_many_tasks_cut_a_file_as_one_does(spark):
+    files = list(odd_files(random.Random(8)))
+    pages = spark.createDataFrame([(f, i, t) for f, ts in files for i, t in enumerate(ts, 1)], "file string, page int, text string")
+    one = C.chunk_pages(pages, long=10**9)
+    columns = ["file", "n", "id", "page_start", "page_end", "text", "start_at", "end_at"]
+    want = sorted(map(tuple, one.select(columns).collect()))
+    assert sorted(map(tuple, C._with_ids(C.cut_in_parallel(pages, width=8192)).select(columns).collect())) == want
+    assert sorted(map(tuple, C.chunk_pages(pages, long=30_000).select(columns).collect())) == want
+
+
+def test_long_documents_and_groups_of_segments(spark, monkeypatch):
+    monkeypatch.setattr(C, "_GROUP", 3)
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(f"d{i}", "\n".join("".join(rng.choices(["word ", "end. ", "é "], k=60)) for _ in range(n)))
+                                  for i, n in enumerate((3, 400, 1500))], "file string, text string")
+    columns = ["file", "n", "page_start", "page_end", "text", "start_at", "end_at"]
+    pages = docs.select("file", F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    want = sorted(map(tuple, C.chunk_documents(docs).select(columns).collect()))
+    assert sorted(map(tuple, C.cut_in_parallel(pages, width=8192 * 2).select(columns).collect())) == want
+    assert sorted(map(tuple, C.chunk_documents(docs, long=5000).select(columns).collect())) == want
+
+
+def test_segments_of_one_file_are_many_tasks(spark):
+    narrow = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in narrow}
+    try:
+        for k, v in narrow.items():
+            spark.conf.set(k, v)
+        pages = spark.range(60).select(F.lit("f").alias("file"), F.col("id").cast("int").alias("page"),
+                                       F.concat_ws(". ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.hash(i, "id").cast("string"))).alias("text"))
+        tasks = C.cut_in_parallel(pages, width=8192 * 4).groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 0.5 * sum(r["count"] for r in tasks)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
