@@ -17,11 +17,13 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from citeloom.functions.text import index_length, index_tokens, query_terms
+from citeloom.session import materialize
 
 RANK_DIGITS = 9  # scores are compared after rounding to this many digits, then by id
 # One cell scores at most about BLOCK_ROWS x SLICE_ROWS pairs as doubles: 64 MB. Wider blocks copy candidates less often.
 BLOCK_ROWS = 1024
 SLICE_ROWS = 8192
+FEW_SLICES = 64  # slices that are all scored rather than bounded
 
 # Keyword weighting and rank fusion.
 K1, B = 1.2, 0.75
@@ -127,10 +129,17 @@ def vector_kernel(k: int, metric: str, schema: pa.Schema):
 
 def vector_topk(
     queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
-    slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS,
+    slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS, few: int = FEW_SLICES,
+    seen: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Exact nearest items: queries(qid, vector), items(id, vector) → qid, id, score, rank0."""
+    """Exact nearest items: queries(qid, vector), items(id, vector) → qid, id, score, rank0.
+
+    Up to ``few`` slices of items are all scored in one go. Beyond that slices are cells around pivots, and distances
+    between queries and pivots rule out most of them (``_pruned_topk``, which also calls ``seen``).
+    """
     slices, blocks = _cells(queries, items, slice_rows, block_rows)
+    if slices > few:
+        return _pruned_topk(queries, items, k, metric, slices, slice_rows, seen)
     schema, arrow = _hit_schemas(queries, items)
     left = queries.select("qid", "vector", _bucket("qid", blocks).alias("block"),
                           F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
@@ -143,6 +152,135 @@ def vector_topk(
     return rank_hits(hits, k)
 
 
+# Pivots, and the bounds of the rings around them, are sent to every task; so many of each at most.
+MOST_PIVOTS, MOST_RINGS = 4096, 16
+ASKING_ROWS = 65_536  # queries that meet one slice in one task
+FIRST_SLICES = 2
+_REACH_SLACK = 1e-7  # distances are rounded sums; a bound must not lose a hit to that
+
+
+def _points(vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Points whose distances order items as the metric does: unit vectors for the cosine."""
+    if metric != "cosine":
+        return vectors
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+
+def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    squares = (points * points).sum(1)[:, None] - 2 * (points @ pivots.T) + (pivots * pivots).sum(1)[None, :]
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def _pick_pivots(items: DataFrame, n: int, metric: str) -> np.ndarray:
+    """``n`` vectors of items with the smallest hashes: the same whatever the partitioning, and never more than that."""
+    rows = items.select("vector").orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(n).collect()
+    return _points(np.array([r["vector"] for r in rows], np.float64), metric)
+
+
+def _near_pivots(items: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
+    """items(item, item_vector) with the pivot nearest to each, the distance to it, and whether the vector has a direction,
+    without which no distance tells its cosine."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shared = items.sparkSession.sparkContext.broadcast(pivots)
+    schema = T.StructType([*items.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("away", T.DoubleType()),
+                           T.StructField("solid", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                points = _points(_matrix(pa.chunked_array([batch.column("item_vector")])), metric)
+                away = _distances(points, shared.value)
+                best = away.argmin(1)
+                solid = np.full(len(best), True) if metric != "cosine" else points.any(1)
+                made = [pa.array(best.astype(np.int32)), pa.array(away[np.arange(len(best)), best]), pa.array(solid)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, *made], arrow)], schema=arrow)
+
+    return items.mapInArrow(run, schema)
+
+
+def _reachable(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, k: int, metric: str) -> DataFrame:
+    """qid, cell, least, place: the cells that may hold one of a query's ``k`` nearest, as far as distances to pivots tell.
+
+    ``cells`` has rows (pivot, near, far, n), n without vectors that have no direction. A cell's items are all within away + far, so the nearest cells that hold ``k``
+    items bound the k-th distance; a cell whose least distance is beyond that is left out at once.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shared = queries.sparkSession.sparkContext.broadcast((pivots, cells))
+    schema = T.StructType([queries.schema["qid"], *T._parse_datatype_string("cell int, least double, place int").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        centre, table = shared.value
+        pivot, near, far, n = table[:, 0].astype(np.int64), table[:, 1], table[:, 2], table[:, 3]
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                points = _points(_matrix(pa.chunked_array([batch.column("vector")])), metric)
+                away = _distances(points, centre)[:, pivot]
+                least = np.maximum(np.maximum(away - far, near - away), 0)
+                within = away + far
+                order = np.argsort(within, axis=1)
+                enough = np.cumsum(n[order], axis=1) >= k
+                first = np.where(enough.any(1), enough.argmax(1), len(n) - 1)
+                rows = np.arange(len(order))
+                known = enough.any(1) & (points.any(1) if metric == "cosine" else True)
+                limit = np.where(known, within[rows, order[rows, first]], np.inf)
+                q, cell = np.nonzero(least <= limit[:, None] + _REACH_SLACK)
+                place = np.argsort(np.argsort(least + 1e-9 * away, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(
+                    [batch.column("qid").take(pa.array(q)), pa.array(cell.astype(np.int32)), pa.array(least[q, cell]), pa.array(place[q, cell].astype(np.int32))], arrow)], schema=arrow)
+
+    return queries.select("qid", "vector").mapInArrow(run, schema)
+
+
+def _pruned_topk(queries: DataFrame, items: DataFrame, k: int, metric: str, slices: int, slice_rows: int,
+                 seen: Callable[[DataFrame], None] | None) -> DataFrame:
+    """Exact search that skips slices. By the triangle inequality no item of a slice is nearer to a query than the query's
+    distance to the pivot less the slice's reach, nor nearer than the slice's least distance less that of the query. Each
+    query first meets its nearest slices; the k-th best found there is a threshold, and only slices that may hold better are
+    met after. Items move once per phase, whatever the number of queries; lists of ``k`` are cut in each slice and
+    again in each task before they are merged.
+    """
+    schema, arrow = _hit_schemas(queries, items)
+    pivots = _pick_pivots(items, min(MOST_PIVOTS, slices), metric)
+    placed = materialize(_near_pivots(items.select(F.col("id").alias("item"), F.col("vector").alias("item_vector")), pivots, metric), "placed-items")
+    # a crowded cell is cut into rings around its pivot, so that rings differ in their distances, and rings into cuts
+    counts = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high"))
+    rings = counts.select("pivot", F.least(F.ceil(F.col("n") / slice_rows), F.lit(MOST_RINGS)).cast("int").alias("rings"), "low", "high")
+    share = (F.col("away") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300))
+    ringed = placed.join(F.broadcast(rings), "pivot").withColumn("ring", F.least(F.floor(share * F.col("rings")).cast("int"), F.col("rings") - 1))
+    found = ringed.groupBy("pivot", "ring").agg(F.min("away").alias("near"), F.max("away").alias("far"), F.count(F.lit(1)).alias("n"), F.count_if("solid").alias("solid")).collect()
+    numbers = items.sparkSession.createDataFrame([(r["pivot"], r["ring"], c, math.ceil(r["n"] / slice_rows)) for c, r in enumerate(found)], "pivot int, ring int, cell int, cuts int")
+    ringed = ringed.join(F.broadcast(numbers), ["pivot", "ring"]).select(
+        "item", "item_vector", "cell", F.pmod(F.xxhash64("item"), F.col("cuts")).cast("int").alias("cut"))
+    cells = np.array([(r["pivot"], r["near"], r["far"], r["solid"]) for r in found], np.float64).reshape(-1, 4)
+    reached = materialize(_reachable(queries, pivots, cells, k, metric), "reached-cells")
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        wide = pairs.join(F.broadcast(numbers.select("cell", "cuts")), "cell").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        crowd = materialize(wide.groupBy("cell", "cut").agg(F.ceil(F.count(F.lit(1)) / ASKING_ROWS).cast("int").alias("groups")), "asked-slices")
+        keys = ("cell", "cut", "group")
+        left = wide.join(crowd, ["cell", "cut"]).withColumn("group", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int")).join(
+            queries.select("qid", "vector"), "qid").select("qid", "vector", *keys)
+        right = ringed.join(crowd, ["cell", "cut"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(
+            "item", "item_vector", *(F.col(c).alias(f"_{c}") for c in keys))
+        return left.groupBy(*keys).cogroup(right.groupBy(*(f"_{c}" for c in keys))).applyInArrow(vector_kernel(k, metric, arrow), schema)
+
+    first = reached.filter(F.col("place") < FIRST_SLICES)
+    hits = materialize(meet(first), "first-hits")
+    # a score as a distance between points
+    apart = F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))) if metric == "cosine" else -F.col("score")
+    kth = rank_hits(hits, k).filter(F.col("rank0") == k - 1).select("qid", (apart + _REACH_SLACK).alias("reach"))
+    rest = reached.filter(F.col("place") >= FIRST_SLICES).join(kth, "qid", "left").filter(F.col("reach").isNull() | (F.col("least") <= F.col("reach")))
+    rest = materialize(rest.select("qid", "cell"), "open-cells")
+    if seen:
+        seen(first.select("qid", "cell").unionByName(rest))
+    return rank_hits(hits if rest.isEmpty() else hits.unionByName(meet(rest)), k)
+
+
 # ---------------------------------------------------------------- keyword index
 
 def document_words(docs: DataFrame) -> DataFrame:

@@ -32,6 +32,23 @@ def test_grid_of_many_cells_equals_brute_force(spark, metric):
         assert [rows[(qid, k)] for k in range(5)] == [b[0] for b in best]
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_bounded_slices_equal_the_grid(spark, metric):
+    """Clusters, copies, a cluster of a third of all items, opposite and zero vectors: the same rows, fewer slices met."""
+    rng = random.Random(12)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in centres[0 if i % 3 == 0 else rng.randrange(12)]]) for i in range(900)]
+    rows += [(1000 + i, list(rows[0][1])) for i in range(15)] + [(1500 + i, [0.0] * 8) for i in range(9)] + [(2001, [-x for x in centres[0]])]
+    items = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    queries = spark.createDataFrame([(q, v) for q, v in rows[:40]] + [(5000, [0.0] * 8), (5001, centres[3]), (5002, [-x for x in centres[5]])], "qid bigint, vector array<double>")
+    met = []
+    want = R.vector_topk(queries, items, 7, metric)
+    got = R.vector_topk(queries, items, 7, metric, slice_rows=30, few=1, seen=lambda p: met.append((p.count(), p.select("cell").distinct().count())))
+    rounded = lambda rows: sorted((r["qid"], r["rank0"], r["id"], round(r["score"], 6)) for r in rows.collect())
+    assert rounded(got) == rounded(want)
+    assert met[0][0] < 0.6 * 43 * met[0][1]
+
+
 def test_keyword_scores_by_hand(spark):
     docs = [("a", "river river lock"), ("b", "lock gate"), ("c", "Écluse gate x"), ("d", "pump")]
     queries = [(1, "river lock AND river"), (2, "ecluse"), (3, "zz !!")]
