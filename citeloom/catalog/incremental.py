@@ -9,7 +9,7 @@ from citeloom.catalog.corpus import CHUNK_CTE, SLUG_SQL
 from citeloom.catalog.registry import Tables, query
 from citeloom.functions import text as TX, udfs
 from citeloom.functions.ids import hash_shard
-from citeloom.operators import ann, backfill as B, figures as G, resume as Q, retrieval as R
+from citeloom.operators import ann, backfill as B, figures as G, neighbour_graph, resume as Q, retrieval as R
 from citeloom.session import scratch_path
 from citeloom.sources import sinks as K
 from citeloom.streaming import jobs as J
@@ -150,10 +150,22 @@ def embedding_backfill(t: Tables):
     return out.select("id", F.array_join(F.transform("embedding", lambda x: x.cast("bigint").cast("string")), ",").alias("embedding"))
 
 
-@query("vector_topk_ann", f"""
+_NEAREST = f"""
 WITH {X.vector_sql("(SELECT vec_id AS qid, embedding AS vector FROM embeddings)", X.ITEM_VECTORS, 10)}
-SELECT qid, id, rank0, round(score, 5) AS score FROM vector_hits""")
+SELECT qid, id, rank0, round(score, 5) AS score FROM vector_hits"""
+
+
+@query("vector_topk_ann", _NEAREST)
 def vector_topk_ann(t: Tables):
+    """Search over a neighbour graph, each question keeping fewer nodes than there are; tests measure its recall."""
+    items = X.vectors(t)
+    nodes, edges = neighbour_graph.neighbour_graph(items)
+    found = neighbour_graph.graph_topk(items.withColumnRenamed("id", "qid"), nodes, edges, 10)
+    return found.select("qid", "id", "rank0", F.round("score", 5).alias("score"))
+
+
+@query("vector_topk_cells", _NEAREST)
+def vector_topk_cells(t: Tables):
     """With every cell probed the cell search is exact; tests measure its recall with fewer probes."""
     items = X.vectors(t)
     found = ann.vector_topk_ann(items.withColumnRenamed("id", "qid"), items, 10, ann.fit_cells(items, 16), probes=16)

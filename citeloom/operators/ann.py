@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from citeloom.operators.retrieval import (
-    BLOCK_ROWS, SLICE_ROWS, _bucket, _hit_schemas, rank_hits, vector_kernel,
+    BLOCK_ROWS, SLICE_ROWS, _bucket, _distances, _hit_schemas, _matrix, rank_hits, vector_kernel,
 )
 
 
@@ -36,15 +38,7 @@ def vector_topk_ann(queries: DataFrame, items: DataFrame, k: int, model: KMeansM
     assigned = model.transform(unit(items).withColumn("features", array_to_vector("vector"))).select(
         "id", "vector", F.col("prediction").alias("cell"))
     widths = assigned.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SLICE_ROWS), F.lit(1)).cast("int").alias("width"))
-    # Probes: score each query against the centres (k of them) and keep the nearest cells.
-    centres = F.array(*[
-        F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("centre"))
-        for i, c in enumerate(model.clusterCenters())])
-    scored = F.transform(centres, lambda c: F.struct(
-        F.aggregate(F.zip_with(c["centre"], F.col("vector"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x).alias("d"),
-        c["cell"].alias("cell")))
-    probed = unit(queries).select("qid", "vector", F.explode(F.transform(
-        F.slice(F.array_sort(scored), 1, probes), lambda x: x["cell"])).alias("cell"))
+    probed = _probed(unit(queries).select("qid", "vector"), np.array(model.clusterCenters(), np.float64), probes)
     blocks = max(1, math.ceil(queries.count() / BLOCK_ROWS))
     left = probed.join(widths, "cell").select(
         "qid", "vector", "cell", _bucket("qid", blocks).alias("block"),
@@ -58,6 +52,25 @@ def vector_topk_ann(queries: DataFrame, items: DataFrame, k: int, model: KMeansM
     return rank_hits(hits, k)
 
 
+def _probed(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """qid, vector, cell: each query with its ``probes`` nearest centres, which are sent to the tasks as one matrix."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shared = queries.sparkSession.sparkContext.broadcast(centres)
+    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                near = np.argsort(_distances(_matrix(pa.chunked_array([batch.column("vector")])), shared.value), axis=1, kind="stable")[:, :probes]
+                row = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                cell = pa.array(near.ravel().astype(np.int32))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*(x.take(row) for x in batch.columns), cell], arrow)], schema=arrow)
+
+    return queries.mapInArrow(run, schema)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that were found, per query."""
     hit = found.select("qid", "id", F.lit(1).alias("hit"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators import ann, retrieval as R
+from citeloom.operators import ann, neighbour_graph, retrieval as R
 
 
 def vec_rows(n, dim, seed):
@@ -110,6 +110,30 @@ def test_recall_on_given_vectors(spark):
     assert ann.recall(found, R.vector_topk(q, items, 10)).agg(F.avg("recall")).first()[0] > 0.7
 
 
+def test_graph_search_finds_nearly_all(spark):
+    """Uneven clusters, copies and few neighbours kept; a question keeps 40 of 1,200 nodes and looks at few of them."""
+    rng = random.Random(21)
+    centres = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(20)]
+    rows = [(i, [x + rng.gauss(0, 0.4) for x in centres[0 if i % 3 == 0 else rng.randrange(20)]]) for i in range(1200)]
+    rows += [(5000 + i, list(rows[7][1])) for i in range(5)]
+    items = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    queries = spark.createDataFrame(rows[::30], "qid bigint, vector array<double>")
+    nodes, edges = neighbour_graph.neighbour_graph(items, k=10, rounds=4, group_rows=64)
+    assert edges.groupBy("a").count().agg(F.max("count")).first()[0] == 10 and edges.filter("a = b").isEmpty()
+    exact = R.vector_topk(items.withColumnRenamed("id", "qid"), items, 11).filter(F.col("qid") != F.col("id"))
+    near = edges.select(F.col("a").alias("qid"), F.col("b").alias("id"))
+    assert ann.recall(near, R.rank_hits(exact, 10)).agg(F.avg("recall")).first()[0] > 0.9
+    found = neighbour_graph.graph_topk(queries, nodes, edges, 10, beam=40)
+    assert ann.recall(found, R.vector_topk(queries, items, 10)).agg(F.avg("recall")).first()[0] >= 0.95
+
+
+def test_graph_of_few_items(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1])], "id bigint, vector array<double>")
+    nodes, edges = neighbour_graph.neighbour_graph(items)
+    found = neighbour_graph.graph_topk(items.withColumnRenamed("id", "qid"), nodes, edges, 2)
+    assert {(r["qid"], r["rank0"]): r["id"] for r in found.collect()} == {(1, 0): 1, (1, 1): 3, (2, 0): 2, (2, 1): 3, (3, 0): 3, (3, 1): 1}
+
+
 @pytest.mark.parametrize("key", ["vector_topk", "bm25_topk", "hybrid_search", "retrieve_evidence", "section_search",
                                  "companion_inherit", "flow_at", "milestone_asof", "active_over_years", "cited_source_priority"])
 def test_no_cross_join(spark, key):
