@@ -11,7 +11,7 @@ from citeloom.functions import text as TX, udfs
 from citeloom.functions.ids import hash_shard
 from citeloom.operators import ann, backfill as B, figures as G, neighbour_graph, resume as Q, retrieval as R
 from citeloom.session import scratch_path
-from citeloom.sources import sinks as K
+from citeloom.sources import keyed_table as KT, sinks as K
 from citeloom.streaming import jobs as J
 
 
@@ -77,13 +77,14 @@ def sink_chunks_overwrite(t: Tables):
 @query("sink_index_upsert", """
 SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
 def sink_index_upsert(t: Tables):
-    """Version 0 holds the even ids; version 1 replaces and adds every third. Writing version 1 twice changes nothing."""
-    root = scratch_path(t.spark, "index")
+    """Batch 0 holds the even ids; batch 1 replaces and adds every third. Taking batch 1 in twice changes nothing."""
+    table = KT.KeyedTable(scratch_path(t.spark, "index"), ("id",))
     rows = t.embeddings.select(F.col("vec_id").alias("id"), "label")
-    K.upsert_version(t.spark, root, 0, rows.filter("id % 2 = 0"))
+    KT.upsert(t.spark, table, 0, rows.filter("id % 2 = 0"))
     new = rows.filter("id % 3 = 0").withColumn("label", F.col("label") + 100)
-    K.upsert_version(t.spark, root, 1, new)
-    return t.spark.read.parquet(K.upsert_version(t.spark, root, 1, new))
+    for _ in range(2):
+        KT.upsert(t.spark, table, 1, new)
+    return KT.read(t.spark, table)
 
 
 # ---------------------------------------------------------------- figures
@@ -160,7 +161,7 @@ def vector_topk_ann(t: Tables):
     """Search over a neighbour graph, each question keeping fewer nodes than there are; tests measure its recall."""
     items = X.vectors(t)
     nodes, edges = neighbour_graph.neighbour_graph(items)
-    found = neighbour_graph.graph_topk(items.withColumnRenamed("id", "qid"), nodes, edges, 10)
+    found = neighbour_graph.graph_topk(items.withColumnRenamed("id", "qid"), nodes, edges, 10, beam=192, expand=64)
     return found.select("qid", "id", "rank0", F.round("score", 5).alias("score"))
 
 
@@ -205,42 +206,34 @@ def stream_ingest_chunks(t: Tables):
 
 @query("stream_dedupe_by_id", "SELECT event_id, event_type FROM events")
 def stream_dedupe_by_id(t: Tables):
-    """Every event arrives twice; one copy stays."""
+    """Every event arrives twice, and every third once more after its state has ended; one copy stays."""
     source, target, mark = (scratch_path(t.spark, x) for x in ("events-in", "events-out", "mark"))
     rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    rows.unionByName(rows).repartition(4).write.parquet(source)
-    stream = J.read_stream(t.spark, source, "event_id bigint, ts timestamp, event_type string", files_per_batch=2)
-    J.write_stream(J.dedupe_by_id(stream, horizon="60 days"), target, mark).awaitTermination()
+    for part in (rows.unionByName(rows).repartition(2), rows.filter("event_id % 3 = 0").repartition(1)):
+        part.write.mode("append").parquet(source)
+        stream = J.read_stream(t.spark, source, "event_id bigint, ts timestamp, event_type string")
+        J.dedupe_to_table(stream, target, mark, horizon="0 days", keep_ms=1).awaitTermination()
     return t.spark.read.parquet(target).select("event_id", "event_type")
 
 
 @query("stream_event_rollup", """
 SELECT event_type AS station, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS events, round(sum(value), 4) AS volume FROM events GROUP BY ALL""")
 def stream_event_rollup(t: Tables):
-    """Daily volume per station, upserted as late rows change a day; the last version of each day is the answer."""
+    """Daily volume per station; rows of a day arrive in any micro-batch."""
     source, root, mark = (scratch_path(t.spark, x) for x in ("log-in", "rollup", "mark"))
     t.events.select(F.col("event_type").alias("station"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("volume")) \
         .repartition(4).write.parquet(source)
-    stream = J.read_stream(t.spark, source, "station string, ts timestamp, volume double", files_per_batch=2)
-    daily = J.volume_rollup(stream, late="60 days").withColumn("id", F.concat_ws("|", "station", F.date_format("start", "yyyy-MM-dd")))
-    query_ = daily.writeStream.outputMode("update").foreachBatch(
-        lambda b, i: K.upsert_version(b.sparkSession, root, i, b) and None
-    ).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    last = t.spark.read.option("basePath", root).parquet(root)
-    newest = last.agg(F.max("v").alias("v")).scalar()
-    return last.filter(F.col("v") == newest).select(
-        "station", F.date_format("start", "yyyy-MM-dd").alias("day"), "events", F.round("volume", 4).alias("volume"))
+    job, table = J.rollup_stream(J.read_stream(t.spark, source, "station string, ts timestamp, volume double", files_per_batch=2), root, mark)
+    job.awaitTermination()
+    return KT.read(t.spark, table).select("station", F.date_format("start", "yyyy-MM-dd").alias("day"), "events", F.round("volume", 4).alias("volume"))
 
 
 @query("stream_index_upsert", """
 SELECT vec_id AS id, CAST(max(label) AS INTEGER) AS label FROM embeddings GROUP BY vec_id""")
 def stream_index_upsert(t: Tables):
-    """Vectors arrive in six files; each micro-batch upserts one table version."""
+    """Vectors arrive in six files; each micro-batch is a batch of the table."""
     source, root, mark = (scratch_path(t.spark, x) for x in ("vec-in", "vec-index", "mark"))
     t.embeddings.select(F.col("vec_id").alias("id"), "label").repartition(6).write.parquet(source)
-    stream = J.read_stream(t.spark, source, "id bigint, label int", files_per_batch=2)
-    J.upsert_stream(stream, root, mark).awaitTermination()
-    versions = t.spark.read.option("basePath", root).parquet(root)
-    newest = versions.agg(F.max("v").alias("v")).scalar()
-    return versions.filter(F.col("v") == newest).select("id", "label")
+    job, table = J.upsert_stream(J.read_stream(t.spark, source, "id bigint, label int", files_per_batch=2), root, mark)
+    job.awaitTermination()
+    return KT.read(t.spark, table).select("id", "label")

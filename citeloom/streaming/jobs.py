@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from citeloom.operators.chunking import chunk_documents
-from citeloom.sources.sinks import upsert_version
+from citeloom.session import materialize
+from citeloom.sources.keyed_table import KeyedTable, upsert
 
 
 def read_stream(spark: SparkSession, folder: str, ddl: str, kind: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -24,11 +30,78 @@ def dedupe_by_id(events: DataFrame, key: str = "event_id", time: str = "ts", hor
     return events.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def volume_rollup(events: DataFrame, time: str = "ts", width: str = "1 day", late: str = "7 days") -> DataFrame:
-    """Events and volume per station and day, refreshed as late confirmations arrive."""
-    return events.withWatermark(time, late).groupBy("station", F.window(time, width)).agg(
-        F.count(F.lit(1)).alias("events"), F.sum("volume").alias("volume")
-    ).select("station", F.col("window.start").alias("start"), "events", "volume")
+class _FirstCopy(StatefulProcessor):
+    """Hands on the earliest row of an id that its state does not know; the state of an id ends after its time to live."""
+
+    def __init__(self, time: str, keep_ms: int):
+        self.time, self.keep_ms = time, keep_ms
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "n int", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        first = pd.concat([r.sort_values(self.time, kind="stable").iloc[:1] for r in rows]).sort_values(self.time, kind="stable").iloc[:1]
+        if not self.seen.exists():
+            yield first
+        self.seen.update((1,))
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_to_table(events: DataFrame, target: str, checkpoint: str, key: str = "event_id", time: str = "ts",
+                    horizon: str = "1 day", keep_ms: int = 172_800_000) -> StreamingQuery:
+    """One row of each id in a table below ``target``, however late its copies come; copies carry the time of their event.
+
+    Keyed state, kept in the state store on disk, drops copies for ``keep_ms`` after an id was last seen; no watermark hides a
+    late row. Rows at least ``horizon`` older than the newest of their batch may be copies of ids whose state has ended: they
+    are looked up in the written table, in the days of their own events alone. A batch writes a folder of its own, so a
+    repeated batch replaces itself.
+    """
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(batch.withColumn("day", F.to_date(time)), "first-copies")
+        newest = rows.agg((F.max(time) - F.expr(f"INTERVAL {horizon}")).alias("t")).first()["t"]
+        old = rows.filter(F.col(time) <= F.lit(newest)) if newest is not None else rows.limit(0)
+        days = [r[0] for r in old.select("day").distinct().collect()]
+        try:
+            written = spark.read.schema(f"{key} {rows.schema[key].dataType.simpleString()}, batch bigint, day date").parquet(target)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            written = None
+        if days and written is not None:
+            before = written.filter(F.col("day").isin(days) & (F.col("batch") != batch_id)).select(key)
+            known = old.join(before, key, "left_semi").select(key)
+            rows = rows.join(known, key, "left_anti")
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{target}/batch={batch_id}")
+
+    firsts = events.groupBy(key).transformWithStateInPandas(_FirstCopy(time, keep_ms), events.schema, "Append", "ProcessingTime")
+    # a time to live would have Spark start batches without data again and again, which a run over what is there never ends
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+                "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return firsts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def rollup_stream(events: DataFrame, root: str, checkpoint: str, time: str = "ts") -> tuple[StreamingQuery, KeyedTable]:
+    """Events and volume per station and day. Every micro-batch adds its own sums to a keyed table, so a row counts however
+    late it comes, nothing is held in memory, and a repeated batch counts once."""
+    table = KeyedTable(root, ("station", "start"), ("events", "volume"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy("station", F.date_trunc("day", time).alias("start")).agg(
+            F.count(F.lit(1)).alias("events"), F.sum("volume").alias("volume"))
+        upsert(batch.sparkSession, table, batch_id, sums)
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), table
 
 
 def write_stream(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -37,13 +110,16 @@ def write_stream(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuer
         .trigger(availableNow=True).start()
 
 
-def upsert_stream(rows: DataFrame, root: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """Each micro-batch writes table version ``batch id``: repeating a batch rewrites the same version."""
+def arrivals(stream: DataFrame) -> DataFrame:
+    """Rows of a file stream with their place of arrival (``_arrived``): time of the file, its name, place inside it."""
+    return stream.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.row_index").alias("_arrived"))
+
+
+def upsert_stream(rows: DataFrame, root: str, checkpoint: str, key: str = "id") -> tuple[StreamingQuery, KeyedTable]:
+    """Each micro-batch of a file stream is a batch of a keyed table: repeating it changes nothing, and of rows with one key the one that arrived last holds."""
+    table = KeyedTable(root, (key,))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Within one batch the last writer is not defined by arrival, so one row per key is kept by value order.
-        others = [c for c in batch.columns if c != key]
-        single = batch.groupBy(key).agg(F.max(F.struct(*others)).alias("_r")).select(key, "_r.*").select(*batch.columns)
-        upsert_version(batch.sparkSession, root, batch_id, single, key)
+        upsert(batch.sparkSession, table, batch_id, batch, "_arrived")
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return arrivals(rows).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), table
