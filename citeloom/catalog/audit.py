@@ -8,7 +8,8 @@ from citeloom.catalog import fixtures as X
 from citeloom.catalog.registry import Tables, query
 from citeloom.functions import text as TX
 from citeloom.operators import audit as A, conversation as V, retrieval as R
-from citeloom.plans import keyword_index as K
+from citeloom.operators.backfill import embed_texts
+from citeloom.plans import claim_audit as CA, keyword_index as K
 from citeloom.session import materialize, scratch_path
 from citeloom.sources import readers as S
 
@@ -165,10 +166,10 @@ def union_candidates(t: Tables):
 SELECT qid, id, rank0 FROM (
   SELECT item_id AS qid, doc_id AS id, CAST(row_number() OVER (PARTITION BY item_id
     ORDER BY CASE WHEN contains({X.FILE_SQL}, 'sources/src' || (item_id % 20) || '/') THEN 0 ELSE 1 END, doc_id) - 1 AS INTEGER) AS rank0
-  FROM documents JOIN benchmark ON doc_id % 97 = item_id) WHERE rank0 < 8""")
+  FROM documents JOIN benchmark ON doc_id % (SELECT count(*) FROM benchmark) = item_id) WHERE rank0 < 8""")
 def cited_source_priority(t: Tables):
     claims = _claims_with_vectors(t).select("qid", "cited_files")
-    docs = t.documents.select((F.col("doc_id") % 97).alias("qid"), F.col("doc_id").alias("id"), X.file_of().alias("file"),
+    docs = t.documents.select((F.col("doc_id") % t.benchmark.count()).alias("qid"), F.col("doc_id").alias("id"), X.file_of().alias("file"),
                               F.col("doc_id").alias("ordinal"))
     return A.prioritise(docs.join(claims, "qid")).select("qid", "id", "rank0")
 
@@ -208,6 +209,30 @@ def batch_verdicts(t: Tables):
     return A.batch_verdicts(work, judged, length_judge)
 
 
+@query("claim_audit", f"""
+WITH {CLAIMS_SQL}
+SELECT substring(sha1(doc || ':' || i || ':' || claim), 1, 16) AS cid, doc, claim, array_to_string(cites, ',') AS cites,
+  CASE length(claim) % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'PARTIAL' ELSE 'NOT_FOUND' END AS verdict, CAST(length(claim) AS VARCHAR) AS issue
+FROM claim_rows""")
+def claim_audit(t: Tables):
+    """Both steps of the audit, run over a third of the documents and then over all, with the logs between: what was done
+    is not done again, and the log ends as if it had been written in one go."""
+    docs, embed = cited_docs(t), X.letter_embedder("etaoin")
+    items = X.documents_as_items(t)
+    vectors = embed_texts(items, embed, 6).select("id", F.col("embedding").alias("vector"))
+    vectors = materialize(vectors, "audit-vectors")
+    retrieved = judged = None
+    for some in (docs.filter(F.col("doc").cast("bigint") % 3 == 0), docs):
+        known = retrieved if retrieved is not None else t.spark.createDataFrame([], "cid string")
+        new = CA.retrieve_step(some, known, X.documents_as_chunks(t), vectors, embed, 6, K.searcher(X.keyword_index(t), 4))
+        new = materialize(new, "audit-retrieved")
+        retrieved = new if retrieved is None else retrieved.unionByName(new)
+        done = judged if judged is not None else t.spark.createDataFrame([], "cid string")
+        new = materialize(CA.judge_step(retrieved, done, length_judge), "audit-judged")
+        judged = new if judged is None else judged.unionByName(new)
+    return judged.select("cid", "doc", "claim", F.array_join(F.col("cites").cast("array<string>"), ",").alias("cites"), "verdict", "issue")
+
+
 _REPLIES_SQL = """
 replies AS (
   SELECT event_id, event_id % 6 AS kind, CASE event_type WHEN 'error' THEN 'CONTRADICTED' WHEN 'view' THEN 'NOT_FOUND' WHEN 'click' THEN 'PARTIAL' ELSE 'SUPPORTED' END AS v,
@@ -340,13 +365,15 @@ def history_window(t: Tables):
 WITH a AS (SELECT conv_id, turn, regexp_replace(text, '\. ', ' [' || (turn * 3 + conv_id % 7) || ']. ', 'g') AS text FROM conversations WHERE role = 'assistant'),
 m AS (SELECT conv_id, turn, CAST(unnest(generate_series(1, len(ns))) - 1 AS INTEGER) AS pos, CAST(unnest(ns) AS INTEGER) AS ordinal
       FROM (SELECT conv_id, turn, regexp_extract_all(text, '\[(\d+)\]', 1) AS ns FROM a)),
-s AS (SELECT doc_id % 100 AS qid, CAST(doc_id // 100 + 1 AS INTEGER) AS ordinal, source AS file FROM documents)
+c AS (SELECT max(conv_id) + 1 AS n FROM conversations),
+s AS (SELECT doc_id % n AS qid, CAST(doc_id // n + 1 AS INTEGER) AS ordinal, source AS file FROM documents, c)
 SELECT conv_id AS qid, turn, pos, m.ordinal, file FROM m LEFT JOIN s ON s.qid = conv_id AND s.ordinal = m.ordinal""")
 def answer_citation_join(t: Tables):
     mark = F.concat(F.lit(" ["), (F.col("turn") * 3 + F.col("conv_id") % 7).cast("string"), F.lit("]. "))
     answers = t.conversations.filter(F.col("role") == "assistant").select(
         F.col("conv_id").alias("qid"), "turn", F.regexp_replace(F.col("text"), F.lit(r"\. "), mark).alias("text"))
-    sources = t.documents.select((F.col("doc_id") % 100).alias("qid"), (F.floor(F.col("doc_id") / 100) + 1).cast("int").alias("ordinal"),
+    n = t.conversations.agg(F.max("conv_id") + 1).first()[0]
+    sources = t.documents.select((F.col("doc_id") % n).alias("qid"), (F.floor(F.col("doc_id") / n) + 1).cast("int").alias("ordinal"),
                                  F.col("source").alias("file"))
     return V.answer_citations(answers, sources)
 

@@ -138,13 +138,6 @@ def chunk_ordinal(t: Tables):
     return C.chunk_pages(X.page_rows(t)).select("file", "n", "start_at", "end_at")
 
 
-@query("corpus_stats", f"""
-WITH RECURSIVE {CHUNK_CTE}
-SELECT count(DISTINCT file) AS docs, count(*) AS chunks, CAST(0 AS BIGINT) AS figures FROM chunks""")
-def corpus_stats(t: Tables):
-    return C.corpus_totals(all_chunks(t))
-
-
 @query("page_at_offset", f"""
 WITH RECURSIVE {CHUNK_CTE}
 SELECT file, start_at AS at, page_start AS page FROM chunks""")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.catalog import fixtures as X
-from citeloom.catalog.corpus import CHUNK_CTE, SLUG_SQL
+from citeloom.catalog.corpus import CHUNK_CTE, SLUG_SQL, all_chunks
 from citeloom.catalog.registry import Tables, query
 from citeloom.functions import text as TX, udfs
 from citeloom.functions.ids import hash_shard
-from citeloom.operators import ann, backfill as B, figures as G, neighbour_graph, resume as Q, retrieval as R
+from citeloom.operators import ann, backfill as B, chunking as C, figures as G, neighbour_graph, resume as Q, retrieval as R
 from citeloom.session import scratch_path
 from citeloom.sources import keyed_table as KT, sinks as K
 from citeloom.streaming import jobs as J
@@ -100,10 +100,15 @@ cand AS (
 candidates AS (SELECT * FROM cand WHERE why IS NOT NULL)"""
 
 
-def candidates(t: Tables):
+def scanned_pages(t: Tables):
+    """Pages of the finished PDFs; every fourth names a figure."""
     pages = X.page_rows(t).withColumn("text", F.when(F.col("page") % 4 == 1, F.concat(F.lit("See Figure 3. "), "text")).otherwise(F.col("text")))
     done = t.documents.filter("doc_id % 2 = 0").select(X.file_of().alias("file"))
-    return G.figure_candidates(pages.drop("doc_id"), done)
+    return pages.drop("doc_id").filter(F.lower("file").endswith(".pdf")).join(done, "file", "left_semi")
+
+
+def candidates(t: Tables):
+    return G.figure_candidates(scanned_pages(t))
 
 
 @query("figure_candidates", f"WITH {FIGURE_SQL} SELECT id, file, page, why, ocr_snippet FROM candidates")
@@ -126,6 +131,21 @@ def prefix_figure_text(t: Tables):
     return G.figure_chunks(described.withColumn("status", G.description_status(F.col("description"))))
 
 
+@query("corpus_stats", f"""
+WITH RECURSIVE {CHUNK_CTE}, {FIGURE_SQL.replace(X.PAGES_SQL + ",", "")},
+kept_figures AS (SELECT file FROM candidates WHERE length(ocr_snippet) >= 40),
+every AS (SELECT file, false AS figure FROM chunks UNION ALL SELECT file, true FROM kept_figures)
+SELECT count(DISTINCT file) AS docs, count(*) AS chunks, count(*) FILTER (WHERE figure) AS figures,
+  (SELECT count(DISTINCT file) FROM marked) AS scanned_docs, (SELECT count(*) FROM marked) AS scanned_pages,
+  (SELECT count(*) FROM candidates) AS candidates FROM every""")
+def corpus_stats(t: Tables):
+    """Totals of an index with its figure passages, and of the scan that found them."""
+    described = candidates(t).withColumn("description", F.col("ocr_snippet"))
+    figures = G.figure_chunks(described.withColumn("status", G.description_status(F.col("description")))).select("id", "file")
+    index = all_chunks(t).select("id", "file").unionByName(figures)
+    return C.corpus_totals(index).join(C.scan_totals(scanned_pages(t), candidates(t)))
+
+
 @query("append_new_only", """
 SELECT doc_id AS id, 'old' AS origin FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 6 = 0""")
 def append_new_only(t: Tables):

@@ -8,7 +8,8 @@ from citeloom.catalog import fixtures as X
 from citeloom.catalog.registry import Tables, query
 from citeloom.functions import text as TX
 from citeloom.operators import sections as N
-from citeloom.session import materialize, scratch_path
+from citeloom.plans import section_index as SI
+from citeloom.session import scratch_path
 from citeloom.sources import sinks as K
 
 # Documents with front matter (every second), a level-1 heading (every third), sections and markup, from the given texts.
@@ -91,9 +92,17 @@ def heading_anchor(t: Tables):
     return t.part.select("p_partkey", TX.heading_anchor(heading).alias("anchor"))
 
 
-_ASKED_SQL = r"""
-asked AS (SELECT item_id AS qid, CASE WHEN item_id % 4 = 0 THEN regexp_extract(text, '([a-zA-Z]{7,})[a-z]{2}', 1)
-  ELSE text END AS text FROM benchmark)"""
+# Every benchmark text is a question; a word of it cut short is another, to meet the prefix fallback.
+_STEM = "([a-zA-Z]{7,})[a-z]{2}"
+_ASKED_SQL = f"""
+asked AS (SELECT item_id AS qid, text FROM benchmark
+  UNION ALL SELECT -1 - item_id, regexp_extract(text, '{_STEM}', 1) FROM benchmark WHERE regexp_matches(text, '{_STEM}'))"""
+
+
+def asked(t: Tables):
+    stem = F.regexp_extract("text", _STEM, 1)
+    stems = t.benchmark.select((-1 - F.col("item_id")).alias("qid"), stem.alias("text")).filter(F.col("text") != "")
+    return X.benchmark_queries(t).unionByName(stems)
 
 
 def _field_sql(field: str, boost: float) -> str:
@@ -107,7 +116,7 @@ def _field_sql(field: str, boost: float) -> str:
   FROM {f}_post JOIN {f}_df USING (term), {f}_stats)"""
 
 
-@query("section_search", f"""
+_SEARCH_SQL = f"""
 WITH {SECTIONS_SQL}, {_ASKED_SQL},
 recs AS (SELECT slug || '/' || ordinal AS id, section, doc, text FROM sections),
 {_field_sql('section', 5.0)}, {_field_sql('doc', 3.0)}, {_field_sql('text', 1.0)},
@@ -117,28 +126,34 @@ qw AS (SELECT qid, term, CAST(count(*) AS DOUBLE) AS times FROM (SELECT qid, unn
 known AS (SELECT * FROM qw WHERE term IN (SELECT term FROM dict)),
 used AS (SELECT * FROM known UNION ALL
   SELECT qid, d.term, sum(times) FROM qw JOIN dict d ON starts_with(d.term, qw.term) WHERE qid NOT IN (SELECT qid FROM known) GROUP BY qid, d.term),
-s AS (SELECT qid, id, sum(times * w) AS score FROM used JOIN w USING (term) GROUP BY qid, id)
-SELECT * FROM (SELECT qid, id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS INTEGER) AS rank0 FROM s) WHERE rank0 < 40""")
+s AS (SELECT qid, id, sum(times * w) AS score FROM used JOIN w USING (term) GROUP BY qid, id),
+hits AS (SELECT * FROM (SELECT qid, id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS INTEGER) AS rank0 FROM s) WHERE rank0 < 40)"""
+
+
+def section_hits(t: Tables):
+    index = SI.SectionIndex(scratch_path(t.spark, "section-index"))
+    SI.build(index, N.sections(markdown_docs(t)).select(
+        F.concat("slug", F.lit("/"), F.col("ordinal").cast("string")).alias("id"), "section", "doc", "text"))
+    return SI.search(index, asked(t))
+
+
+@query("section_search", f"{_SEARCH_SQL} SELECT qid, id, round(score, 5) AS score, rank0 FROM hits")
 def section_search(t: Tables):
-    """Each benchmark text as a question; every fourth query is one word cut short, to meet the prefix fallback."""
-    records = materialize(N.sections(markdown_docs(t)).select(
-        F.concat("slug", F.lit("/"), F.col("ordinal").cast("string")).alias("id"), "section", "doc", "text"), "sections")
-    asked = F.when(F.col("item_id") % 4 == 0, F.regexp_extract("text", "([a-zA-Z]{7,})[a-z]{2}", 1)) \
-        .otherwise(F.col("text"))
-    hits = N.section_search(t.benchmark.select(F.col("item_id").alias("qid"), asked.alias("text")), records)
-    return hits.select("qid", "id", F.round("score", 5).alias("score"), "rank0")
+    """Whole benchmark texts as questions, and a word of each cut short."""
+    return section_hits(t).select("qid", "id", F.round("score", 5).alias("score"), "rank0")
 
 
-@query("search_top40", """
-SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 40""")
+@query("search_top40", f"""
+{_SEARCH_SQL} SELECT qid, id, round(score, 5) AS score FROM hits ORDER BY hits.score DESC, qid, id LIMIT 40""")
 def search_top40(t: Tables):
-    """Best rows of one ranked list: a take-ordered, not a sort."""
-    return t.events.select("event_id", "value").orderBy(F.col("value").desc(), "event_id").limit(N.RESULTS)
+    """Best hits of all questions in one list: a take-ordered, not a sort."""
+    best = section_hits(t).orderBy(F.round("score", 9).desc(), "qid", "id").limit(N.RESULTS)
+    return best.select("qid", "id", F.round("score", 5).alias("score"))
 
 
 @query("match_snippet", r"""
 WITH q AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(trim(b.text, E' \n\t\r'), '\s+'), lambda w: regexp_replace(w, '[^a-zA-Z0-9_]', '', 'g')), lambda w: length(w) > 1) AS ts
-  FROM (SELECT doc_id, doc_id % 40 AS k, text FROM documents) d JOIN (SELECT item_id AS k, text FROM benchmark) b USING (k)),
+  FROM (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS k, text FROM documents) d JOIN (SELECT item_id AS k, text FROM benchmark) b USING (k)),
 h AS (SELECT doc_id, d_text AS text, ts, coalesce(list_filter(list_transform(ts, lambda w: strpos(lower(d_text), lower(w))), lambda p: p > 0)[1], 0) AS spot FROM (SELECT q.doc_id, d.text AS d_text, q.ts FROM q JOIN documents d USING (doc_id))),
 w AS (SELECT doc_id, ts, spot, CASE WHEN spot = 0 THEN substring(text, 1, 260) ELSE substring(text, greatest(spot - 90, 1), spot + 200 - greatest(spot - 90, 1)) END AS s FROM h),
 e AS (SELECT doc_id, ts, spot, replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS s FROM w)
@@ -146,6 +161,6 @@ SELECT doc_id, CASE WHEN spot > 91 THEN '… ' ELSE '' END
   || list_reduce(list_prepend(s, ts), lambda acc, x: regexp_replace(acc, '(?i)(' || x || ')', '<mark>\1</mark>', 'g')) || ' …' AS snippet FROM e""")
 def match_snippet(t: Tables):
     asked = t.benchmark.select(F.col("item_id").alias("k"), F.col("text").alias("q"))
-    rows = t.documents.withColumn("k", F.col("doc_id") % 40).join(asked, "k")
+    rows = t.documents.withColumn("k", F.col("doc_id") % t.benchmark.count()).join(asked, "k")
     terms = TX.search_terms(F.col("q"))
     return rows.select("doc_id", TX.match_snippet(F.col("text"), terms).alias("snippet"))

@@ -358,6 +358,12 @@ def corpus_totals(chunks: DataFrame) -> DataFrame:
     )
 
 
+def scan_totals(pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What a figure scan saw: its documents, pages, and figure candidates. One number each, so the rows of both are joined."""
+    seen = pages.agg(F.countDistinct("file").alias("scanned_docs"), F.count(F.lit(1)).alias("scanned_pages"))
+    return seen.join(candidates.agg(F.count(F.lit(1)).alias("candidates")))
+
+
 def page_at_offset(pages: DataFrame, offsets: DataFrame) -> DataFrame:
     """offsets(file, at) → page whose text covers the character: the last page start at or before it.
 
