@@ -53,19 +53,27 @@ def word_count(text: Column) -> Column:
 
 class BoundedCache(dict):
     """A dict that computes missing values. When it is full its content becomes the old half, and what is asked for
-    again moves back from there; at most twice ``limit`` entries are held."""
+    again moves back from there; at most twice ``limit`` entries, and twice ``max_bytes`` of keys and values as far as
+    they have a length, are held. Keys longer than ``longest`` are computed each time."""
 
-    def __init__(self, compute: Callable, limit: int = 250_000):
+    def __init__(self, compute: Callable, limit: int = 250_000, max_bytes: int = 24 << 20, longest: int = 1024):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
+        self.max_bytes, self.longest, self.held = max_bytes, longest, 0
 
     def __missing__(self, key):
+        sized = isinstance(key, (str, bytes))
+        if sized and len(key) > self.longest:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if len(self) >= self.limit or self.held >= self.max_bytes:
+            self.old, self.held = dict(self), 0
             self.clear()
+        if sized:
+            # numbers of a list take some eight bytes each
+            self.held += len(key) + (len(value) * (8 if isinstance(value, list) else 1) if hasattr(value, "__len__") else 0)
         self[key] = value
         return value
 

@@ -15,11 +15,13 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm.common import BoundedCache, in_pieces, text_of
+from citeloom.llm.packing import byte_alphabet
 
 #: A run of the common form: white space on which all engines agree, Latin letters that neither compose nor grow in lower
 #: case, then marks other than those of contractions and added tokens.
 COMMON = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ƿǍ-Ȳ]*)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)").fullmatch
 CUT = re.compile(r"[ \t\n\r]+|[^ \t\n\r]+").findall
+TAIL = 8  # characters of an open pre-token that tell whether what follows joins it
 
 
 class Merges:
@@ -44,6 +46,7 @@ class Merges:
                 self.inside.add_word(text, (len(text), number))
         self.inside.make_automaton()
         self.ending.make_automaton()
+        self.longest = max(map(len, self.names))
         self.pairs = BoundedCache(lambda key: self._stand(self.names[key >> 20], self.names[key & 0xFFFFF]), 1_000_000)
         self.whole = BoundedCache(lambda number: len(self._merge(self.names[number])) == 1, 200_000)
         self.edges = BoundedCache(self._edges, 200_000)
@@ -112,6 +115,43 @@ class Merges:
         return closed
 
 
+class _Growing:
+    """A pre-token that grows: its prefix tables go on from where they were, so a step costs as much as it adds."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.word, self.last, self.count = merges, "", [0], [0]
+
+    def _step(self, more: str) -> tuple[list[int], list[int], int]:
+        """Last tokens and counts at the places of ``more``, and the tokens if the pre-token ended after it."""
+        merges, known = self.merges, len(self.word)
+        tail = self.word[-merges.longest:]
+        base = known - len(tail)
+        last, count = self.last[base:] + [0] * len(more), self.count[base:] + [0] * len(more)
+        closed = 0
+        for table, ends in ((merges.inside, False), (merges.ending, True)):
+            found = -1
+            for at, (size, token) in table.iter(tail + more):
+                if at < len(tail) or at == found or (ends and at + 1 < len(tail) + len(more)):
+                    continue
+                i = at + 1 - size
+                if (base + i == 0 or merges.pairs[last[i] << 20 | token]) and merges.whole[token]:
+                    found = at
+                    if ends:
+                        closed = count[i] + 1
+                    else:
+                        last[at + 1], count[at + 1] = token, count[i] + 1
+        return last[len(tail) + 1:], count[len(tail) + 1:], closed
+
+    def closed(self, more: str) -> int:
+        return self._step(more)[2]
+
+    def push(self, more: str) -> None:
+        last, count, _ = self._step(more)
+        self.last += last
+        self.count += count
+        self.word += more
+
+
 class PrefixCounter:
     """Exact token counts of every prefix of a text, in code points of the text as given."""
 
@@ -122,6 +162,7 @@ class PrefixCounter:
         self.merges = Merges(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.find_special = regex.compile("|".join(map(regex.escape, self.special))).search if self.special else lambda _: None
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
         self.words = BoundedCache(self.merges.prefix_counts, 50_000)
         self.steps = BoundedCache(self._word)
         self.deltas = BoundedCache(self._deltas)
@@ -135,23 +176,49 @@ class PrefixCounter:
 
     def _plain(self, text: str) -> list[int]:
         """Counts after each code point of a run without white space and without added tokens."""
+        composes = any(end - start > 1 and not unicodedata.is_normalized("NFC", text[start:end]) for start, end in self._stable(text))
+        return self._grown(text) if composes else self._scan(text)
+
+    def _grown(self, text: str) -> list[int]:
+        """Counts after each code point of a run that composes, or grows in lower case. A stretch is normalised by itself; what
+        stands before it is kept as finished pre-tokens and an open one, and only the open one may change."""
         out: list[int] = []
+        done, tail, open_ = 0, "", _Growing(self.merges)
         for start, end in self._stable(text):
-            segment = text[start:end]
-            if end - start == 1 or unicodedata.is_normalized("NFC", segment):
-                out.extend([-1] * (end - start))
-            else:  # composes: each prefix is looked at by itself
-                out.extend(self._count(text[:k]) for k in range(start + 1, end + 1))
-        if all(v == -1 for v in out):
-            return self._scan(text)
-        whole = iter(self._scan(unicodedata.normalize("NFC", text)))
-        for start, end in self._stable(text):
-            made = len(unicodedata.normalize("NFC", text[start:end]))
-            values = [next(whole) for _ in range(made)]
-            if out[start] == -1:
-                out[start:end] = values
+            for k in range(start + 1, end + 1):
+                piece = self.library.normalizer.normalize_str(text[start:k])
+                # a pre-token depends on few characters before its end, so a tail of the open one tells where it ends
+                cuts = [(w, a, b) for w, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(tail + piece)]
+                joined, rest = "", cuts
+                if tail:
+                    joined, rest = (tail + piece)[len(tail):cuts[0][2]], cuts[1:]
+                grown = "".join(map(self.alphabet.__getitem__, joined.encode("utf-8")))
+                known = open_.closed(grown) if tail and grown else self._ended(open_) if tail else 0
+                out.append(done + known + sum(self.words[w][-1] for w, _, _ in rest if w))
+            if tail:
+                open_.push(grown)
+            if rest:
+                if tail:
+                    done += self._ended(open_)
+                done += sum(self.words[w][-1] for w, _, _ in rest[:-1] if w)
+                open_ = _Growing(self.merges)
+                open_.push(rest[-1][0])
+                tail = ""
+                last = (tail + piece)[-(rest[-1][2] - rest[-1][1]):]
+                tail = last[-TAIL:]
+            else:
+                tail = (tail + joined)[-TAIL:]
         return out
 
+    def _ended(self, open_: _Growing) -> int:
+        """Tokens of the open pre-token as it is."""
+        word = open_.word
+        if len(word) <= 64:
+            return self.words[word][-1]
+        shorter = _Growing(self.merges)
+        shorter.word, shorter.last, shorter.count = word[:-1], open_.last[:-1], open_.count[:-1]
+        return shorter.closed(word[-1])
+
     @staticmethod
     def _stable(text: str) -> list[tuple[int, int]]:
         """Stretches that compose on their own: each begins at a character that never joins what precedes it."""
@@ -252,7 +319,7 @@ class PrefixCounter:
             elif COMMON(run):
                 out.append(self.deltas[run])
             elif not run.isascii() and any(len(ch.lower()) > 1 for ch in run) and not self.find_special(run):
-                out.append(self._steps([self._count(run[:k]) for k in range(1, len(run) + 1)]))
+                out.append(self._steps(self._grown(run)))
             else:
                 out.append(self._steps(self._run_counts(run)))
         return b"".join(out)

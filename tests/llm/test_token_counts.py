@@ -1,3 +1,8 @@
+import itertools
+import random
+import time
+import unicodedata
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -6,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from citeloom.llm import token_counts as tc
+from citeloom.llm.common import BoundedCache
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -74,3 +80,34 @@ def test_edges(spark, edge_docs, no_docs):
     texts = sorted((r.doc_id or 0, r.text or "") for r in edge_docs.collect())
     found = sorted((r.doc_id or 0, r.n_tokens) for r in tc.prefix_table(edge_docs, PATH, stored=False).collect())
     assert found == sorted((i, len(LIBRARY.encode(t, add_special_tokens=False).ids)) for i, t in texts)
+
+
+LONG = {"kana": "がぱき", "hangul": unicodedata.normalize("NFD", "한국어각"), "dotted": "İ", "accents": "éö'a!́",
+        "mixed": "がİ1é!!́'sΣ"}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_runs_that_compose_or_grow(kind):
+    rng = random.Random(kind)
+    units = [u for u, _ in itertools.groupby(LONG[kind])]
+    for _ in range(12):
+        text = "".join(rng.choice(units) for _ in range(rng.randint(1, 60)))
+        assert got(text) == want(text)
+    text = LONG[kind] * 80
+    assert got(text)[::37] == [len(LIBRARY.encode(text[:k + 1], add_special_tokens=False).ids) for k in range(0, len(text), 37)]
+
+
+def test_long_runs_take_time_in_proportion():
+    for kind, unit in LONG.items():
+        text = unit * (100_000 // len(unit))
+        start = time.monotonic()
+        assert got(text)[-1] == len(LIBRARY.encode(text, add_special_tokens=False).ids)
+        assert time.monotonic() - start < 20, kind
+
+
+def test_caches_are_bounded_by_bytes():
+    cache = BoundedCache(lambda key: b"v" * len(key), 10**9, max_bytes=10_000, longest=500)
+    for i in range(2000):
+        assert cache[f"{i:0100d}"] == b"v" * 100
+    assert len(cache) + len(cache.old) <= 2 * 10_000 // 200 + 2
+    assert cache["x" * 501] == b"v" * 501 and "x" * 501 not in cache
