@@ -20,6 +20,7 @@ VECTORS_PER_CELL, MOST_CELLS = 64, 256
 SUBSPACES, CODES = 8, 16
 SLICE = 4096             # vectors of a list that one task holds at once
 QUERY_BLOCK = 512
+ROUGH = 2.0 ** -10 + 2.0 ** -13  # by how much the product of two unit vectors in half precision may miss the true one
 
 
 @dataclass
@@ -114,15 +115,14 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _placed(classes: DataFrame, model: Model, similarity: float) -> DataFrame:
-    """Index and query rows: ``label, width, cell, role, key, weight, unit, codes, missed``.
+    """Index and query rows: ``label, width, cell, role, key, weight, rough, codes, missed``.
 
     Role 0 is the vector in the list of its nearest centre, role 1 the same vector asking a list it probes. A vector
-    within ``reach`` of x lies in another cell only if x is within ``reach`` of the plane between both centres. A
-    difference of that length has a random direction, so its part across one plane is about reach / sqrt(width); lists
-    whose plane is within four times that (and at most the whole reach) are probed.
+    within ``reach`` of x lies in another cell only if x is within ``reach`` of the plane between both centres; all lists
+    whose plane is that near are probed. What travels is the vector in half precision (``rough``).
     """
     reach = float(np.sqrt(2 - 2 * similarity))
-    margin = reach * min(1.0, 4 / np.sqrt(model.width)) + 1e-9
+    margin = reach + 1e-9
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         between = model.apart()
@@ -147,14 +147,15 @@ def _placed(classes: DataFrame, model: Model, similarity: float) -> DataFrame:
                 asks, cells = probes[0]
                 take = pa.array(np.concatenate([np.arange(n), asks]))
                 both = part.take(take)
+                half = pa.array([h.tobytes() for h in _matrix(part.column(3), int(w)).astype("<f2")], pa.binary()).take(take)
                 yield pa.RecordBatch.from_arrays([
                     both.column(1), both.column(2), pa.array(np.concatenate([own, cells]).astype("int32")),
-                    pa.array(np.repeat([0, 1], [n, len(asks)]).astype("int32")), both.column(0), both.column(4), both.column(3),
+                    pa.array(np.repeat([0, 1], [n, len(asks)]).astype("int32")), both.column(0), both.column(4), half,
                     pa.array(codes + [None] * len(asks), pa.binary()), pa.array(np.concatenate([missed, np.zeros(len(asks))]))],
-                    names=["label", "width", "cell", "role", "key", "weight", "unit", "codes", "missed"])
+                    names=["label", "width", "cell", "role", "key", "weight", "rough", "codes", "missed"])
 
     return classes.select("key", "label", "width", "unit", "weight").mapInArrow(
-        place, "label string, width int, cell int, role int, key binary, weight bigint, unit binary, codes binary, missed double")
+        place, "label string, width int, cell int, role int, key binary, weight bigint, rough binary, codes binary, missed double")
 
 
 class _List:
@@ -166,7 +167,7 @@ class _List:
         self.parts: list[tuple] = []
 
     def add(self, batch: pa.RecordBatch) -> None:
-        self.parts.append((batch.column("key").to_pylist(), batch.column("weight").to_numpy(), batch.column("unit").to_pylist(),
+        self.parts.append((batch.column("key").to_pylist(), batch.column("weight").to_numpy(), batch.column("rough").to_pylist(),
                            batch.column("codes").to_pylist(), batch.column("missed").to_numpy()))
 
     def close(self) -> None:
@@ -175,31 +176,35 @@ class _List:
         self.group = np.arange(len(self.keys))
         if self.keys:
             self.weight = np.concatenate([p[1] for p in self.parts])
-            self.unit = np.frombuffer(b"".join(u for p in self.parts for u in p[2]), "float64").reshape(-1, self.width)
+            self.rough = np.frombuffer(b"".join(u for p in self.parts for u in p[2]), "<f2").reshape(-1, self.width).astype("float64")
             self.missed = np.concatenate([p[4] for p in self.parts])
             if self.cell >= 0:
                 self.codes = np.frombuffer(b"".join(c for p in self.parts for c in p[3]), "uint8").reshape(len(self.keys), -1)
         self.parts = []
 
-    def ask(self, keys: list[bytes], x: np.ndarray) -> Iterator[tuple[bytes, bytes, int]]:
-        """(query, linked vector, weight): the weights of a query's rows add up to its links here, and all rows together
-        connect what the links connect."""
+    def ask(self, keys: list[bytes], x: np.ndarray) -> Iterator[tuple[bytes, bytes, int, bool]]:
+        """(query, linked vector, weight, sure): the weights of a query's rows add up to its links here, and all rows
+        together connect what the links connect. A pair so near the bound that half precision cannot tell is not sure and a
+        row of its own."""
         if not self.keys:
             return
         if self.cell >= 0:
             near = np.zeros((len(x), len(self.keys)))
             for table, code in zip(self.model.tables(x - self.model.centres[self.cell]), self.codes.T):
                 near += table[:, code]
-            bound = self.reach + self.missed + 1e-6  # a linked vector's code is never farther
+            bound = self.reach + self.missed + ROUGH  # a linked vector's code is never farther
             rows, cols = np.nonzero(near <= (bound * bound)[None])
         else:
             rows, cols = np.nonzero(np.ones((len(x), len(self.keys)), dtype=bool))
-        linked = np.zeros(len(rows), dtype=bool)
+        score = np.zeros(len(rows))
         for at in range(0, len(rows), 65_536):
             some = slice(at, at + 65_536)
-            linked[some] = np.einsum("ij,ij->i", x[rows[some]], self.unit[cols[some]]) >= self.similarity
+            score[some] = np.einsum("ij,ij->i", x[rows[some]], self.rough[cols[some]])
         own = np.array([self.place.get(k, -1) for k in keys])
-        linked &= cols != own[rows]
+        band = ROUGH + 1e-7 * np.sqrt(self.width)
+        for open_ in np.flatnonzero((np.abs(score - self.similarity) <= band) & (cols != own[rows])).tolist():
+            yield keys[rows[open_]], self.keys[cols[open_]], int(self.weight[cols[open_]]), False
+        linked = (score > self.similarity + band) & (cols != own[rows])
         rows, cols = rows[linked], cols[linked]
         starts = np.searchsorted(rows, np.arange(len(x) + 1))
         for q in range(len(x)):
@@ -210,11 +215,11 @@ class _List:
                     self.group[np.isin(self.group, groups)] = groups[0]
                 total = int(self.weight[found].sum())
                 for i, first in enumerate(firsts):
-                    yield keys[q], self.keys[found[first]], total if i == 0 else 0
+                    yield keys[q], self.keys[found[first]], total if i == 0 else 0, True
 
 
 def _links(dealt: DataFrame, model: Model, similarity: float) -> DataFrame:
-    """``a, b, n`` out of rows sorted by list and role; a task holds one slice of a list and one block of queries."""
+    """``a, b, n, sure`` out of rows sorted by list and role; a task holds one slice of a list and one block of queries."""
     names = dealt.columns
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +239,26 @@ def _links(dealt: DataFrame, model: Model, similarity: float) -> DataFrame:
                     closed = True
                 for start in range(0, part.num_rows, QUERY_BLOCK):
                     block = part.slice(start, QUERY_BLOCK)
-                    found = list(current.ask(block.column("key").to_pylist(), _matrix(block.column("unit"), width)))
+                    x = np.frombuffer(b"".join(block.column("rough").to_pylist()), "<f2").reshape(-1, width).astype("float64")
+                    found = list(current.ask(block.column("key").to_pylist(), x))
                     if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.binary(), pa.int64()))],
-                                                         names=["a", "b", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.binary(), pa.int64(), pa.bool_()))],
+                                                         names=["a", "b", "n", "sure"])
 
-    return dealt.select(names).mapInArrow(ask, "a binary, b binary, n bigint")
+    return dealt.select(names).mapInArrow(ask, "a binary, b binary, n bigint, sure boolean")
+
+
+def _decided(open_: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b, n`` near the bound whose cosine in double precision reaches it; only their vectors are fetched."""
+    sides = [classes.select(F.col("key").alias(s), F.col("unit").alias(f"unit_{s}")) for s in "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_pieces(batches, 4 << 20):
+            x, y = (batch.column(f"unit_{s}").to_pylist() for s in "ab")
+            keep = pa.array([float(np.frombuffer(u, "float64") @ np.frombuffer(v, "float64")) >= similarity for u, v in zip(x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "n")], names=["a", "b", "n"])
+
+    return open_.select("a", "b", "n").join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a binary, b binary, n bigint")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -248,8 +267,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Equal vectors of a label become one class with a weight first. Classes go to the list of their nearest coarse
     centre as residual codes, and each asks all lists that may hold a link (see ``_placed``). A table look-up distance,
-    widened by the item's own coding error, rules vectors out without losing any; what is left is compared by cosine in
-    double precision. A list longer than ``slice_size`` is cut into slices, each asked by every query, so no task holds
+    widened by the item's own coding error, rules vectors out without losing any; what is left is compared in half
+    precision, and pairs that this cannot decide by cosine in double precision. A list longer than ``slice_size`` is cut into slices, each asked by every query, so no task holds
     a whole hot list. Links are counted, and only a spanning set of them leaves a task.
 
     The model is fitted on at most ``SAMPLE`` classes and ``SAMPLE_BYTES`` bytes, those of smallest hash; it decides
@@ -280,7 +299,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = sized.withColumn("slice", F.explode(F.when(
         F.col("role") == 0, F.array(F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))))
     dealt = dealt.repartition(*spot, "slice").sortWithinPartitions(*spot, "slice", "role")
-    links = materialize(_links(dealt, model, similarity), "pq-links")
+    made = materialize(_links(dealt, model, similarity), "pq-pairs")
+    links = materialize(made.filter("sure").select("a", "b", "n").unionByName(_decided(made.filter(~F.col("sure")), classes, similarity)), "pq-links")
 
     counts = links.groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("_a"), "n")
     roots = connected(links.select("a", "b")).select(F.col("node").alias("_node"), "root")
