@@ -204,10 +204,10 @@ def unescape_html(t: Tables):
 @query("chunk_text_udtf", f"""
 WITH RECURSIVE {CHUNK_CTE} SELECT file, n, page_start, page_end, text FROM chunks""")
 def chunk_text_udtf(t: Tables):
-    """The chunker called from SQL."""
+    """The chunker called from SQL over a table of pages."""
     udfs.register(t.spark)
-    t.documents.select(X.file_of().alias("file"), "text").createOrReplaceTempView("citeloom_docs")
-    return t.spark.sql("SELECT d.file, c.* FROM citeloom_docs d, LATERAL chunk_text(d.file, d.text) c")
+    X.page_rows(t).createOrReplaceTempView("citeloom_pages")
+    return t.spark.sql("SELECT * FROM chunk_text(TABLE(SELECT file, page, text FROM citeloom_pages) PARTITION BY file ORDER BY page)")
 
 
 # ---------------------------------------------------------------- streams

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
@@ -28,15 +30,41 @@ def html_to_text(html_text: Column) -> Column:
     return tidy_plain(unescape_html(strip_markup(html_text)))
 
 
-@F.udtf(returnType="n int, page_start int, page_end int, text string")
+@F.arrow_udtf(returnType="file string, n int, page_start int, page_end int, text string")
 class ChunkText:
-    """Lateral chunker: ``SELECT c.* FROM docs, LATERAL chunk_text(file, text) c``."""
-
-    def eval(self, file: str, text: str):
-        from citeloom.operators.chunking import document_chunks
-
-        for row in document_chunks(file, text):
-            yield row[1], row[2], row[3], row[4]
+    """Chunker over a table of pages, batches in and batches out:
+    ``SELECT * FROM chunk_text(TABLE(SELECT file, page, text FROM pages) PARTITION BY file ORDER BY page)``.
+
+    Blank pages are dropped and blanks squeezed, as everywhere. A window is kept from batch to batch and ends with its file.
+    """
+
+    def __init__(self):
+        self.window = None
+
+    def eval(self, pages: pa.RecordBatch) -> Iterator[pa.Table]:
+        from citeloom.operators.chunking import Window, tidy_line
+
+        rows = []
+        for file, page, text in zip(*(pages.column(c).to_pylist() for c in ("file", "page", "text"))):
+            if self.window is None or self.window.file != file:
+                rows += list(self.window.finish()) if self.window else []
+                self.window = Window(file)
+            line = tidy_line(text)
+            if line:
+                rows += self.window.add(page, line)
+        if rows:
+            yield self._table(rows)
+
+    def terminate(self) -> Iterator[pa.Table]:
+        rows = list(self.window.finish()) if self.window else []
+        if rows:
+            yield self._table(rows)
+
+    @staticmethod
+    def _table(rows: list[tuple]) -> pa.Table:
+        columns = list(zip(*rows))[:5]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "n", "page_start", "page_end", "text"])
 
 
 def register(spark: SparkSession) -> None:

@@ -68,7 +68,7 @@ def _with_ids(cut: DataFrame) -> DataFrame:
                       "page_start", "page_end", "text", "start_at", "end_at")
 
 
-class _Window:
+class Window:
     """Text not yet emitted of the file being read."""
 
     def __init__(self, file: str):
@@ -121,14 +121,14 @@ def _pack(rows: list[tuple]) -> pa.RecordBatch:
 
 def _page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Page rows in (file, page) order; a file may span batches."""
-    window: _Window | None = None
+    window: Window | None = None
     for batch in batches:
         rows: list[tuple] = []
         for file, page, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if window is None or window.file != file:
                 if window is not None:
                     rows.extend(window.finish())
-                window = _Window(file)
+                window = Window(file)
             rows.extend(window.add(page, text))
         if rows:
             yield _pack(rows)
@@ -304,11 +304,16 @@ def cut_in_parallel(pages: DataFrame, width: int = SEGMENT) -> DataFrame:
     return ready.mapInArrow(emit, f"file string, n int, {_CHUNK_FIELDS}")
 
 
+def tidy_line(text: str | None) -> str:
+    """A page as ``tidy_pages`` leaves it."""
+    return _BLANKS.sub(" ", text or "").strip(WHITESPACE)
+
+
 def document_chunks(file: str, text: str | None) -> Iterator[tuple]:
     """Passages of one text whose lines are pages."""
-    window = _Window(file)
+    window = Window(file)
     for number, line in enumerate((text or "").split("\n"), 1):
-        line = _BLANKS.sub(" ", line).strip(WHITESPACE)
+        line = tidy_line(line)
         if line:
             yield from window.add(number, line)
     yield from window.finish()

@@ -108,3 +108,20 @@ def test_embedder_width_is_checked(spark):
         raise AssertionError("width was not checked")
     except Exception as exc:
         assert "9 wide" in str(exc)
+
+
+def test_history_across_ranges(spark):
+    """Narrow ranges, gaps and long conversations give what one window over each conversation gives."""
+    rng = random.Random(4)
+    turns = []
+    for conv in range(6):
+        numbers = sorted(rng.sample(range(60), rng.randint(1, 40)))
+        turns += [(conv, n, rng.choice(["user", "assistant", "system", None]), rng.choice([f"t{n}", "", None])) for n in numbers]
+    frame = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
+    want = {}
+    for conv, n, _, _ in turns:
+        before = [t for t in turns if t[0] == conv and t[1] < n][-6:]
+        want[conv, n] = [(r, x) for _, _, r, x in before if r in ("user", "assistant") and x]
+    for width in (1, 3, 7, 4096):
+        found = {(r["conv_id"], r["turn"]): [tuple(h) for h in r["history"]] for r in V.history(frame, width=width).collect()}
+        assert found == want

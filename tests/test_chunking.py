@@ -138,3 +138,19 @@ def test_segments_of_one_file_are_many_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_table_function_in_small_batches(spark):
+    from citeloom.functions import udfs
+
+    pages = spark.createDataFrame([(f, i, t) for f, ts in list(odd_files(random.Random(3)))[:3] for i, t in enumerate(ts, 1)] + [("none", 1, None)],
+                                  "file string, page int, text string")
+    udfs.register(spark)
+    pages.createOrReplaceTempView("odd_pages")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        got = spark.sql("SELECT * FROM chunk_text(TABLE(odd_pages) PARTITION BY file ORDER BY page)").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, C.chunk_pages(pages).select("file", "n", "page_start", "page_end", "text").collect()))
