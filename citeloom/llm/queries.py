@@ -39,7 +39,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_url_filters")
 def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages").select("page_id", "url")
-    model = url_filters.train(url_filters.ruled_labels(pages))
+    model = url_filters.train(url_filters.labelled_urls(spark))
     return url_filters.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -8,9 +8,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from citeloom.llm.common import let, wrapped
+from citeloom.llm.labelled_urls import ALLOW, BLOCK
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = 1 << 14
@@ -110,6 +111,12 @@ def judge(pages: DataFrame, model: PipelineModel | None, rules: tuple[Rule, ...]
     return scored.withColumn("verdict", decided).select(*kept, "host", "path", "rule", "verdict", "block_score")
 
 
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The labelled url table of this subpackage: ``host, path, label``, 1 for urls to block."""
+    rows = [(u, label) for label, urls in ((1, BLOCK), (0, ALLOW)) for u in urls]
+    return with_parts(spark.createDataFrame(rows, "url string, label int"), "url").select("host", "path", "label")
+
+
 def ruled_labels(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "url") -> DataFrame:
     """A labelled url table out of the pages that a rule decides: ``host, path, label``."""
     return with_parts(pages.select(url_col), url_col).withColumn("_v", rule_of(rules, "verdict")).filter(

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from citeloom.llm import url_filters as uf
@@ -51,6 +52,56 @@ def test_held_out_accuracy(spark):
     assert right >= 0.9
 
 
+# addresses of other hosts than the labelled ones, none of which a rule fits
+HELD_OUT = """
+1 http://mega-casino.example/free/bonus/spin
+1 https://hot-girls-cam.example/xxx/live
+1 http://online-pharmacy-rx.example/cheap/viagra
+1 https://serial-crack.example/keygen/download
+1 http://verify-bank-login.example/account/confirm
+1 https://winner-prize-claim.example/free/gift
+1 http://fast-payday-cash.example/loans/apply
+1 https://ads-redirect.example/click/banner
+1 http://poker-win.example/bet/odds
+1 https://porn-video-free.example/adult/tube
+1 http://cheap-followers.example/buy/likes
+1 https://dating-singles-chat.example/hot/girls
+0 https://county-library.example/catalogue/books/hills
+0 http://folk-museum.example/collection/objects/7
+0 https://college.example/research/papers/soil
+0 https://news.coast-post.example/2018/11/harbour
+0 http://cooking-notes.example/recipes/soup
+0 https://journal-of-botany.example/articles/volume-3
+0 https://en.wikibooks.example/wiki/Algebra
+0 http://walking-club.example/routes/river
+0 https://environment-office.example/reports/water
+0 http://history-society.example/articles/railway
+0 https://software-guide.example/docs/functions
+0 https://city-orchestra.example/concerts/spring
+"""
+
+
+def test_accuracy_on_hosts_outside_the_rules(spark):
+    rows = [(u, int(k)) for k, u in (line.split() for line in HELD_OUT.split("\n") if line)]
+    judged = uf.judge(spark.createDataFrame(rows, "url string, label int"), uf.train(uf.labelled_urls(spark))).collect()
+    assert all(r.rule is None for r in judged)
+    assert sum((r.verdict == "block") == (r.label == 1) for r in judged) / len(judged) >= 0.9
+
+
+def test_scores_are_those_of_the_weights(spark):
+    """Hashed n-grams times weights through the logistic function, worked out in NumPy."""
+    model = uf.train(uf.labelled_urls(spark))
+    hashing, fitted = model.stages
+    pages = spark.read.parquet(PAGES).select("url").unionByName(spark.createDataFrame([(None,), ("",), ("a://b",)], "url string"))
+    features = hashing.transform(uf.with_parts(pages).withColumn("grams", uf.grams())).select("url", "features").collect()
+    weights, want = fitted.coefficients.toArray(), {}
+    for r in features:
+        want[r.url] = 1 / (1 + np.exp(-(weights[r.features.indices].sum() + fitted.intercept)))
+        assert set(r.features.values) <= {1.0}
+    for r in uf.judge(pages, model, rules=()).collect():
+        assert abs(r.block_score - want[r.url]) < 1e-9 and r.verdict == ("block" if r.block_score >= 0.5 else "allow")
+
+
 def test_training_repeats(spark):
     labelled = uf.ruled_labels(spark.read.parquet(PAGES))
     a, b = (uf.train(labelled.repartition(n)).stages[-1].coefficients.toArray().tolist() for n in (1, 5))
