@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from citeloom.catalog.registry import Tables, query
 from citeloom.functions import geo as GF
 from citeloom.operators import geo as G
+from citeloom.plans import map_state as map_states
 from citeloom.session import scratch_path
 from citeloom.sources import readers as S, sinks as K
 
@@ -181,6 +182,32 @@ def milestone_asof(t: Tables):
     return G.milestone_asof(asked, marks).select("id", "year", "milestone")
 
 
+@query("map_state", f"""
+WITH {LINES_SQL},
+f AS (
+  SELECT 'historic' AS layer, 'p' || p_partkey AS id, 1850 + p_size AS a, CASE WHEN p_partkey % 5 <> 0 THEN 1890 + p_size END AS b, 'historic' AS category, NULL AS forward FROM part
+  UNION ALL SELECT 'tunnel', CAST(id AS VARCHAR), 1860 + id % 70, CASE WHEN id % 6 = 0 THEN 1915 END, CASE WHEN id % 2 = 0 THEN 'sewertun' ELSE 'watertun' END,
+    CASE WHEN id % 4 <> 0 THEN pow(g[-1][1] - 41.81, 2) + pow(g[-1][2] + 87.59, 2) < pow(g[1][1] - 41.81, 2) + pow(g[1][2] + 87.59, 2) END FROM lines),
+m AS (SELECT 1900 + day(ts) * 3 AS year, event_id, event_type || event_id AS text FROM events WHERE day(ts) % 4 = 0)
+SELECT layer, id, category, forward, (SELECT text FROM m WHERE year <= 1920 ORDER BY year DESC, event_id DESC LIMIT 1) AS milestone
+FROM f WHERE a <= 1920 AND (b IS NULL OR 1920 <= b)""")
+def map_state(t: Tables):
+    """The map in 1920: what stands, of which category, which way it flows, and the milestone shown."""
+    n, v = F.col("p_partkey"), F.col("id")
+    historic = t.part.select(F.concat(F.lit("p"), n.cast("string")).alias("id"), (F.col("p_size") + 1850).alias("from"),
+                             F.when(n % 5 != 0, F.col("p_size") + 1890).alias("to"))
+    tunnels = lines(t).select(v.cast("string").alias("id"), (v % 70 + 1860).cast("int").alias("from"), F.when(v % 6 == 0, 1915).alias("to"),
+                              F.when(v % 2 == 0, "tarp").otherwise("lake-tunnel").alias("kind"), "geometry")
+    flows = lines(t).filter(v % 4 != 0).select(
+        v.cast("string").alias("id"), F.lit(0).alias("ordinal"), F.lit(1850).alias("from"), F.lit(1930).alias("to"),
+        F.lit(41.81).alias("dest_lat"), F.lit(-87.59).alias("dest_lng"))
+    day = F.dayofmonth("ts")
+    marks = t.events.filter(day % 4 == 0).select((day * 3 + 1900).alias("year"), F.col("event_id").alias("ordinal"),
+                                                 F.concat("event_type", F.col("event_id").cast("string")).alias("text"))
+    standing, shown = map_states.state_at(map_states.feature_table({"historic": historic, "tunnel": tunnels}), flows, marks, 1920)
+    return standing.select("layer", "id", "category", "forward", shown.select("milestone").scalar().alias("milestone"))
+
+
 @query("override_map", """
 SELECT c_custkey AS id, CASE WHEN n_regionkey = 2 THEN 1850 ELSE c_nationkey + 1900 END AS year
 FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
