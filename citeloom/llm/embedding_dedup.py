@@ -115,14 +115,16 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _placed(classes: DataFrame, model: Model, similarity: float) -> DataFrame:
-    """Index and query rows: ``label, width, cell, role, key, weight, rough, codes, missed``.
+    """Index and query rows: ``label, width, cell, role, key, weight, rough, codes, missed, home, asks``.
 
-    Role 0 is the vector in the list of its nearest centre, role 1 the same vector asking a list it probes. A vector
-    within ``reach`` of x lies in another cell only if x is within ``reach`` of the plane between both centres; all lists
-    whose plane is that near are probed. What travels is the vector in half precision (``rough``).
+    Role 0 is the vector in the list of its nearest centre (``home``), role 1 the same vector asking a list. Of two
+    vectors within ``reach`` of each other in different cells at least one is within half of that of the plane between both
+    centres, as the plane lies between them. So a vector asks the lists whose plane is within half the reach, and a link
+    that only one end finds is credited to the other: ``asks`` tells which lists an end asks itself. What travels is the
+    vector in half precision (``rough``).
     """
     reach = float(np.sqrt(2 - 2 * similarity))
-    margin = reach + 1e-9
+    margin = reach / 2 + 1e-9
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         between = model.apart()
@@ -151,11 +153,13 @@ def _placed(classes: DataFrame, model: Model, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     both.column(1), both.column(2), pa.array(np.concatenate([own, cells]).astype("int32")),
                     pa.array(np.repeat([0, 1], [n, len(asks)]).astype("int32")), both.column(0), both.column(4), half,
-                    pa.array(codes + [None] * len(asks), pa.binary()), pa.array(np.concatenate([missed, np.zeros(len(asks))]))],
-                    names=["label", "width", "cell", "role", "key", "weight", "rough", "codes", "missed"])
+                    pa.array(codes + [None] * len(asks), pa.binary()), pa.array(np.concatenate([missed, np.zeros(len(asks))])),
+                    pa.array(np.concatenate([own, own[asks]]).astype("int32")),
+                    pa.array([c.astype("<i4").tobytes() for c in np.split(cells, np.searchsorted(asks, np.arange(1, n)))] + [None] * len(asks), pa.binary())],
+                    names=["label", "width", "cell", "role", "key", "weight", "rough", "codes", "missed", "home", "asks"])
 
     return classes.select("key", "label", "width", "unit", "weight").mapInArrow(
-        place, "label string, width int, cell int, role int, key binary, weight bigint, rough binary, codes binary, missed double")
+        place, "label string, width int, cell int, role int, key binary, weight bigint, rough binary, codes binary, missed double, home int, asks binary")
 
 
 class _List:
@@ -168,7 +172,7 @@ class _List:
 
     def add(self, batch: pa.RecordBatch) -> None:
         self.parts.append((batch.column("key").to_pylist(), batch.column("weight").to_numpy(), batch.column("rough").to_pylist(),
-                           batch.column("codes").to_pylist(), batch.column("missed").to_numpy()))
+                           batch.column("codes").to_pylist(), batch.column("missed").to_numpy(), batch.column("asks").to_pylist()))
 
     def close(self) -> None:
         self.keys = [k for p in self.parts for k in p[0]]
@@ -178,11 +182,21 @@ class _List:
             self.weight = np.concatenate([p[1] for p in self.parts])
             self.rough = np.frombuffer(b"".join(u for p in self.parts for u in p[2]), "<f2").reshape(-1, self.width).astype("float64")
             self.missed = np.concatenate([p[4] for p in self.parts])
+            self.credit = np.zeros(len(self.keys), "int64")
             if self.cell >= 0:
                 self.codes = np.frombuffer(b"".join(c for p in self.parts for c in p[3]), "uint8").reshape(len(self.keys), -1)
+                self.asks = np.zeros((len(self.keys), len(self.model.centres)), bool)
+                for i, cells in enumerate(c for p in self.parts for c in p[5]):
+                    self.asks[i, np.frombuffer(cells, "<i4")] = True
         self.parts = []
 
-    def ask(self, keys: list[bytes], x: np.ndarray) -> Iterator[tuple[bytes, bytes, int, bool]]:
+    def credits(self) -> Iterator[tuple[bytes, bytes, int, bool]]:
+        """What links found from the other end alone add to the vectors of this slice."""
+        if self.keys:
+            for i in np.flatnonzero(self.credit).tolist():
+                yield self.keys[i], self.keys[i], int(self.credit[i]), True
+
+    def ask(self, keys: list[bytes], x: np.ndarray, home: np.ndarray, weight: np.ndarray) -> Iterator[tuple[bytes, bytes, int, bool]]:
         """(query, linked vector, weight, sure): the weights of a query's rows add up to its links here, and all rows
         together connect what the links connect. A pair so near the bound that half precision cannot tell is not sure and a
         row of its own."""
@@ -202,9 +216,14 @@ class _List:
             score[some] = np.einsum("ij,ij->i", x[rows[some]], self.rough[cols[some]])
         own = np.array([self.place.get(k, -1) for k in keys])
         band = ROUGH + 1e-7 * np.sqrt(self.width)
+        alone = ~self.asks[cols, home[rows]] if self.cell >= 0 else np.zeros(len(rows), bool)
         for open_ in np.flatnonzero((np.abs(score - self.similarity) <= band) & (cols != own[rows])).tolist():
-            yield keys[rows[open_]], self.keys[cols[open_]], int(self.weight[cols[open_]]), False
+            a, b = keys[rows[open_]], self.keys[cols[open_]]
+            yield a, b, int(self.weight[cols[open_]]), False
+            if alone[open_]:
+                yield b, a, int(weight[rows[open_]]), False
         linked = (score > self.similarity + band) & (cols != own[rows])
+        np.add.at(self.credit, cols[linked & alone], weight[rows[linked & alone]])
         rows, cols = rows[linked], cols[linked]
         starts = np.searchsorted(rows, np.arange(len(x) + 1))
         for q in range(len(x)):
@@ -222,6 +241,11 @@ def _links(dealt: DataFrame, model: Model, similarity: float) -> DataFrame:
     """``a, b, n, sure`` out of rows sorted by list and role; a task holds one slice of a list and one block of queries."""
     names = dealt.columns
 
+    def made(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.binary(), pa.int64(), pa.bool_()))],
+                                             names=["a", "b", "n", "sure"])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, current, closed = None, None, False
         for batch in batches:
@@ -230,6 +254,8 @@ def _links(dealt: DataFrame, model: Model, similarity: float) -> DataFrame:
             for a, b in zip(cuts, cuts[1:]):
                 part, (label, width, cell, piece, role) = batch.slice(a, b - a), spot[a]
                 if (label, width, cell, piece) != at:
+                    if closed:
+                        yield from made(list(current.credits()))
                     at, current, closed = (label, width, cell, piece), _List(model, cell, width, similarity), False
                 if role == 0:
                     current.add(part)
@@ -240,10 +266,9 @@ def _links(dealt: DataFrame, model: Model, similarity: float) -> DataFrame:
                 for start in range(0, part.num_rows, QUERY_BLOCK):
                     block = part.slice(start, QUERY_BLOCK)
                     x = np.frombuffer(b"".join(block.column("rough").to_pylist()), "<f2").reshape(-1, width).astype("float64")
-                    found = list(current.ask(block.column("key").to_pylist(), x))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.binary(), pa.int64(), pa.bool_()))],
-                                                         names=["a", "b", "n", "sure"])
+                    yield from made(list(current.ask(block.column("key").to_pylist(), x, block.column("home").to_numpy(), block.column("weight").to_numpy())))
+        if closed:
+            yield from made(list(current.credits()))
 
     return dealt.select(names).mapInArrow(ask, "a binary, b binary, n bigint, sure boolean")
 
@@ -266,7 +291,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """``vec_id, n_links, component_id, kept``: vectors of equal label with a cosine of at least ``similarity`` link.
 
     Equal vectors of a label become one class with a weight first. Classes go to the list of their nearest coarse
-    centre as residual codes, and each asks all lists that may hold a link (see ``_placed``). A table look-up distance,
+    centre as residual codes, and of two vectors that link at least one asks the other's list (see ``_placed``). A table look-up distance,
     widened by the item's own coding error, rules vectors out without losing any; what is left is compared in half
     precision, and pairs that this cannot decide by cosine in double precision. A list longer than ``slice_size`` is cut into slices, each asked by every query, so no task holds
     a whole hot list. Links are counted, and only a spanning set of them leaves a task.
