@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from citeloom.session import materialize, prepare, scratch_path
 
-__all__ = ["BoundedCache", "binary_array", "let", "materialize", "prepare", "read_table", "ready", "scratch_path", "text_of",
+__all__ = ["BoundedCache", "TextCache", "binary_array", "let", "materialize", "prepare", "read_table", "ready", "scratch_path", "text_of",
            "word_count", "wrapped"]
 
 # Fixed value: what the contracts take for white space between words.
@@ -53,27 +53,42 @@ def word_count(text: Column) -> Column:
 
 class BoundedCache(dict):
     """A dict that computes missing values. When it is full its content becomes the old half, and what is asked for
-    again moves back from there; at most twice ``limit`` entries, and twice ``max_bytes`` of keys and values as far as
-    they have a length, are held. Keys longer than ``longest`` are computed each time."""
+    again moves back from there; at most twice ``limit`` entries are held."""
 
-    def __init__(self, compute: Callable, limit: int = 250_000, max_bytes: int = 24 << 20, longest: int = 1024):
+    def __init__(self, compute: Callable, limit: int = 250_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
-        self.max_bytes, self.longest, self.held = max_bytes, longest, 0
 
     def __missing__(self, key):
-        sized = isinstance(key, (str, bytes))
-        if sized and len(key) > self.longest:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class TextCache(dict):
+    """A dict from texts, bounded by bytes: an entry counts 100 and ten for each character, for values of up to eight bytes
+    a character. A full dict becomes the old half, as above. Keys longer than ``longest`` are computed each time."""
+
+    def __init__(self, compute: Callable, max_bytes: int, longest: int = 1024):
+        super().__init__()
+        self.compute, self.max_bytes, self.longest, self.held, self.old = compute, max_bytes, longest, 0, {}
+
+    def __missing__(self, key):
+        size = len(key)
+        if size > self.longest:
             return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.limit or self.held >= self.max_bytes:
+        if self.held > self.max_bytes:
             self.old, self.held = dict(self), 0
             self.clear()
-        if sized:
-            # numbers of a list take some eight bytes each
-            self.held += len(key) + (len(value) * (8 if isinstance(value, list) else 1) if hasattr(value, "__len__") else 0)
+        self.held += 100 + 10 * size
         self[key] = value
         return value
 

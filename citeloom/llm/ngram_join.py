@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from citeloom.llm.common import BoundedCache, in_pieces, materialize, text_of, wrapped
+from citeloom.llm.common import TextCache, in_pieces, materialize, text_of, wrapped
 from citeloom.llm.components import connected
 from citeloom.session import small_side
 
@@ -45,7 +45,7 @@ class Shingler:
 
     def __init__(self, words: int = SHINGLE_WORDS):
         self.words = words
-        self.hashes = BoundedCache(xxhash.xxh64_intdigest, 60_000)
+        self.hashes = TextCache(xxhash.xxh64_intdigest, 12 << 20)
 
     def tokens(self, text: str) -> np.ndarray:
         """Sorted distinct 64-bit hashes. ASCII letters are lowered, white space is ASCII white space."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from citeloom.llm.common import BoundedCache, in_pieces, text_of
+from citeloom.llm.common import BoundedCache, TextCache, in_pieces, text_of
 from citeloom.llm.packing import byte_alphabet
 
 #: A run of the common form: white space on which all engines agree, Latin letters that neither compose nor grow in lower
@@ -163,9 +163,9 @@ class PrefixCounter:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.find_special = regex.compile("|".join(map(regex.escape, self.special))).search if self.special else lambda _: None
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
-        self.words = BoundedCache(self.merges.prefix_counts, 50_000)
-        self.steps = BoundedCache(self._word)
-        self.deltas = BoundedCache(self._deltas)
+        self.words = TextCache(self.merges.prefix_counts, 12 << 20)
+        self.steps = TextCache(self._word, 48 << 20)
+        self.deltas = TextCache(self._deltas, 96 << 20)
 
     def _pieces(self, text: str) -> list[str]:
         """Pre-tokens in the byte alphabet of the vocabulary."""

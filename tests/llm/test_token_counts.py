@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from citeloom.llm import token_counts as tc
-from citeloom.llm.common import BoundedCache
+from citeloom.llm.common import TextCache
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -106,8 +106,8 @@ def test_long_runs_take_time_in_proportion():
 
 
 def test_caches_are_bounded_by_bytes():
-    cache = BoundedCache(lambda key: b"v" * len(key), 10**9, max_bytes=10_000, longest=500)
+    cache = TextCache(lambda key: b"v" * len(key), 10_000, 500)
     for i in range(2000):
         assert cache[f"{i:0100d}"] == b"v" * 100
-    assert len(cache) + len(cache.old) <= 2 * 10_000 // 200 + 2
+    assert len(cache) + len(cache.old) <= 2 * (10_000 // 1100 + 2)
     assert cache["x" * 501] == b"v" * 501 and "x" * 501 not in cache
