@@ -33,13 +33,16 @@ def tidy_pages(pages: DataFrame) -> DataFrame:
 
 def chunk_documents(docs: DataFrame, long: int = LONG) -> DataFrame:
     """docs(file, text), a line being a page → passages. No shuffle: each document is cut where it is; one of more than
-    ``long`` characters is cut by several tasks.
+    ``long`` characters is cut by several tasks, unless it comes in a stream.
 
     A JVM fold (``aggregate`` over pages) gives the same rows but measured three times slower than this
     Arrow-batched cut, because the fold is interpreted and rebuilds its state struct for every page.
     """
-    short = docs.select("file", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= long)
+    whole = docs.select("file", "text")
+    short = whole if docs.isStreaming else whole.filter(F.coalesce(F.length("text"), F.lit(0)) <= long)
     out = _with_ids(short.mapInArrow(_document_batches, f"file string, n int, {_CHUNK_FIELDS}"))
+    if docs.isStreaming:
+        return out
     giants = docs.filter(F.length("text") > long)
     if giants.isEmpty():
         return out
