@@ -76,3 +76,14 @@ def test_no_count_of_documents_turns_a_verdict(spark):
     thrice = docs.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).withColumn("doc_id", F.col("doc_id") * 3 + F.col("k"))
     assert {r.doc_id: r.kept for r in qr.judge(thrice).collect()} == {3 * i + k: v for i, v in once.items() for k in range(3)}
     assert 0.5 < sum(once.values()) / len(once) < 1
+
+
+def test_small_groups_borrow_bounds(spark):
+    """Sources too small for bounds of their own take those of their language, and languages too small those of all."""
+    rows = plain(300, 0, "prose") + plain(5, 2000, "odd", "x=#&#")
+    rows += [(3000 + i, t, "xx", s) for i, (_, t, _, s) in enumerate(plain(5, 0, "odd", "x=#&#") + plain(5, 0, "other"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in qr.judge(docs).collect()}
+    assert all(kept[i] for i in range(300)) and not any(kept[2000 + i] for i in range(5))
+    assert not any(kept[3000 + i] for i in range(5)) and all(kept[3005 + i] for i in range(5))
+    assert all(r.kept for r in qr.judge(docs, min_docs=1).collect())
