@@ -30,31 +30,45 @@ def dedupe_by_id(events: DataFrame, key: str = "event_id", time: str = "ts", hor
     return events.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
 
 
-class _FirstCopy(StatefulProcessor):
-    """Hands on the earliest row of an id that its state does not know; the state of an id ends after its time to live."""
+#: Groups of ids whose state is kept together: a look-up of the state per group and batch, not one per id.
+ID_GROUPS = 4096
 
-    def __init__(self, time: str, keep_ms: int):
-        self.time, self.keep_ms = time, keep_ms
+
+class _FirstCopies(StatefulProcessor):
+    """Hands on the earliest row of each id of a group that the group's state does not know. The state is a list of ids with the
+    time at which each was last seen; an id leaves it after ``keep_ms``."""
+
+    def __init__(self, key: str, kind: str, time: str, keep_ms: int):
+        self.key, self.kind, self.time, self.keep_ms = key, kind, time, keep_ms
 
     def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "n int", self.keep_ms)
+        self.handle = handle
+        self.seen = handle.getValueState("seen", f"ids array<{self.kind}>, at array<bigint>", self.keep_ms)
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        first = pd.concat([r.sort_values(self.time, kind="stable").iloc[:1] for r in rows]).sort_values(self.time, kind="stable").iloc[:1]
-        if not self.seen.exists():
-            yield first
-        self.seen.update((1,))
+        firsts = [r.sort_values(self.time, kind="stable").drop_duplicates(self.key) for r in rows]
+        first = pd.concat(firsts).sort_values(self.time, kind="stable").drop_duplicates(self.key)
+        now, known = timers.getCurrentProcessingTimeInMs(), {}
+        if self.seen.exists():
+            ids, at = self.seen.get()
+            known = {i: t for i, t in zip(ids, at) if t + self.keep_ms > now}
+        own = [None if pd.isna(i) else i for i in first[self.key].tolist()]
+        fresh = first[[i not in known for i in own]]
+        known.update(dict.fromkeys(own, now))
+        self.seen.update((list(known), list(known.values())))
+        if len(fresh):
+            yield fresh.drop(columns="_group", errors="ignore")
 
     def close(self) -> None:
         pass
 
 
 def dedupe_to_table(events: DataFrame, target: str, checkpoint: str, key: str = "event_id", time: str = "ts",
-                    horizon: str = "1 day", keep_ms: int = 172_800_000) -> StreamingQuery:
+                    horizon: str = "1 day", keep_ms: int = 172_800_000, groups: int = ID_GROUPS) -> StreamingQuery:
     """One row of each id in a table below ``target``, however late its copies come; copies carry the time of their event.
 
-    Keyed state, kept in the state store on disk, drops copies for ``keep_ms`` after an id was last seen; no watermark hides a
-    late row. Rows at least ``horizon`` older than the newest of their batch may be copies of ids whose state has ended: they
+    Keyed state, kept in the state store on disk for groups of ids, drops copies for ``keep_ms`` after an id was last seen; no
+    watermark hides a late row. Rows at least ``horizon`` older than the newest of their batch may be copies of ids whose state has ended: they
     are looked up in the written table, in the days of their own events alone. A batch writes a folder of its own, so a
     repeated batch replaces itself.
     """
@@ -77,7 +91,10 @@ def dedupe_to_table(events: DataFrame, target: str, checkpoint: str, key: str =
             rows = rows.join(known, key, "left_anti")
         rows.write.mode("overwrite").partitionBy("day").parquet(f"{target}/batch={batch_id}")
 
-    firsts = events.groupBy(key).transformWithStateInPandas(_FirstCopy(time, keep_ms), events.schema, "Append", "ProcessingTime")
+    processor = _FirstCopies(key, events.schema[key].dataType.simpleString(), time, keep_ms)
+    # null ids are a group of their own, so that they turn no other ids of a frame into floats
+    grouped = events.withColumn("_group", F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(groups)))).groupBy("_group")
+    firsts = grouped.transformWithStateInPandas(processor, events.schema, "Append", "ProcessingTime")
     # a time to live would have Spark start batches without data again and again, which a run over what is there never ends
     settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
                 "spark.sql.streaming.noDataMicroBatches.enabled": "false"}

@@ -89,6 +89,21 @@ def test_state_drops_copies_while_it_lives(spark, tmp_path):
     assert rows_of(spark.read.parquet(target).select("event_id")) == [(1,), (2,), (3,)]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_ids_share_a_state_by_groups(spark, tmp_path, kind):
+    """Many ids in two groups of state, their copies in one batch and in later ones; the earliest copy stays."""
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    rows = [((1 << 60) + i, at(1 + i % 3, 5), "late") for i in range(40)] + [((1 << 60) + i, at(1 + i % 3), "early") for i in range(40)]
+    for run in (rows + [(None, at(1), "early"), (None, at(1, 2), "late")], [(i, t, "again") for i, t, _ in rows] + [(7, at(2), "early")]):
+        docs = spark.createDataFrame(run, "event_id bigint, ts timestamp, v string").withColumn("event_id", F.col("event_id").cast(kind))
+        docs.coalesce(1).write.mode("append").parquet(source)
+        stream = J.read_stream(spark, source, f"event_id {kind}, ts timestamp, v string")
+        J.dedupe_to_table(stream, target, mark, groups=2).awaitTermination()
+    kept = spark.read.parquet(target).select(F.col("event_id").cast("bigint"), "v").collect()
+    assert len(kept) == 42 and {r["v"] for r in kept} == {"early"}
+    assert {r["event_id"] for r in kept} == {None, 7, *((1 << 60) + i for i in range(40))}
+
+
 def test_the_last_to_arrive_holds(spark, tmp_path):
     source = str(tmp_path / "in")
     for rows in ([(1, 9), (1, 5), (2, 1)], [(2, 0)]):
