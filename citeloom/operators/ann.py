@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from citeloom.operators.retrieval import (
-    BLOCK_ROWS, SLICE_ROWS, _bucket, _distances, _hit_schemas, _matrix, rank_hits, vector_kernel,
+    SLICE_ROWS, VECTOR_BLOCK_ROWS, _bucket, _distances, _hit_schemas, _matrix, _points, rank_hits, vector_kernel,
 )
 
 
@@ -35,11 +35,12 @@ def vector_topk_ann(queries: DataFrame, items: DataFrame, k: int, model: KMeansM
     its own count asks for, so no co-group grows with the data.
     """
     schema, arrow = _hit_schemas(queries, items)
-    assigned = model.transform(unit(items).withColumn("features", array_to_vector("vector"))).select(
-        "id", "vector", F.col("prediction").alias("cell"))
+    # vectors travel as they came; only the features are scaled
+    assigned = model.transform(unit(items.withColumn("given", F.col("vector"))).withColumn("features", array_to_vector("vector"))).select(
+        "id", F.col("given").alias("vector"), F.col("prediction").alias("cell"))
     widths = assigned.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SLICE_ROWS), F.lit(1)).cast("int").alias("width"))
-    probed = _probed(unit(queries).select("qid", "vector"), np.array(model.clusterCenters(), np.float64), probes)
-    blocks = max(1, math.ceil(queries.count() / BLOCK_ROWS))
+    probed = _probed(queries.select("qid", "vector"), np.array(model.clusterCenters(), np.float64), probes)
+    blocks = max(1, math.ceil(queries.count() / VECTOR_BLOCK_ROWS))
     left = probed.join(widths, "cell").select(
         "qid", "vector", "cell", _bucket("qid", blocks).alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("slice"))
@@ -63,7 +64,7 @@ def _probed(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                near = np.argsort(_distances(_matrix(pa.chunked_array([batch.column("vector")])), shared.value), axis=1, kind="stable")[:, :probes]
+                near = np.argsort(_distances(_points(_matrix(pa.chunked_array([batch.column("vector")])), "cosine"), shared.value), axis=1, kind="stable")[:, :probes]
                 row = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                 cell = pa.array(near.ravel().astype(np.int32))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*(x.take(row) for x in batch.columns), cell], arrow)], schema=arrow)

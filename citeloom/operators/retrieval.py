@@ -20,10 +20,13 @@ from citeloom.functions.text import index_length, index_tokens, query_terms
 from citeloom.session import materialize
 
 RANK_DIGITS = 9  # scores are compared after rounding to this many digits, then by id
-# One cell scores at most about BLOCK_ROWS x SLICE_ROWS pairs as doubles: 64 MB. Wider blocks copy candidates less often.
+# One keyword cell scores at most about BLOCK_ROWS x SLICE_ROWS pairs as doubles: 64 MB. Wider blocks copy candidates less often.
 BLOCK_ROWS = 1024
 SLICE_ROWS = 8192
 FEW_SLICES = 64  # slices that are all scored rather than bounded
+# Vectors: a slice is copied once per block of queries, so blocks are wide; a cell is scored a few queries at a time.
+VECTOR_BLOCK_ROWS = 8192
+CELL_SCORES = 8 << 20  # scores of a cell held at once, as doubles: 64 MB
 
 # Keyword weighting and rank fusion.
 K1, B = 1.2, 0.75
@@ -100,28 +103,31 @@ def _hit_schemas(queries: DataFrame, items: DataFrame) -> tuple[T.StructType, pa
     return schema, to_arrow_schema(schema)
 
 
-def vector_kernel(k: int, metric: str, schema: pa.Schema):
-    """Scores of one cell by one matrix product; higher is better for both metrics."""
+def vector_kernel(k: int, metric: str, schema: pa.Schema, cell_scores: int = CELL_SCORES):
+    """Scores of one cell by matrix products of at most ``cell_scores`` scores each; higher is better for both metrics."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        q, v = _matrix(left["vector"]), _matrix(right["item_vector"])
-        qids = left["qid"].to_numpy()
+        v = _points(_matrix(right["item_vector"]), metric)
         ids = right["item"].to_numpy()
-        if metric == "cosine":
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            grid = q @ v.T
-        else:
-            squares = (q * q).sum(1)[:, None] - 2 * (q @ v.T) + (v * v).sum(1)[None, :]
-            grid = -np.sqrt(np.maximum(squares, 0))
         out_q, out_i, out_s = [], [], []
-        for row in range(len(qids)):
-            best = _best(grid[row], ids, k)
-            out_q.append(np.repeat(qids[row], len(best)))
-            out_i.append(ids[best])
-            out_s.append(grid[row][best])
+        step = max(1, cell_scores // len(ids))
+        for start in range(0, left.num_rows, step):
+            some = left.slice(start, step)
+            q = _points(_matrix(some["vector"]), metric)
+            qids = some["qid"].to_numpy()
+            grid = q @ v.T
+            if metric != "cosine":
+                grid *= -2
+                grid += (q * q).sum(1)[:, None]
+                grid += (v * v).sum(1)[None, :]
+                np.negative(np.sqrt(np.maximum(grid, 0, out=grid), out=grid), out=grid)
+            for row in range(len(qids)):
+                best = _best(grid[row], ids, k)
+                out_q.append(np.repeat(qids[row], len(best)))
+                out_i.append(ids[best])
+                out_s.append(grid[row][best])
         return _hit_table(out_q, out_i, out_s, schema)
 
     return score
@@ -129,7 +135,7 @@ def vector_kernel(k: int, metric: str, schema: pa.Schema):
 
 def vector_topk(
     queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
-    slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS, few: int = FEW_SLICES,
+    slice_rows: int = SLICE_ROWS, block_rows: int = VECTOR_BLOCK_ROWS, few: int = FEW_SLICES,
     seen: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Exact nearest items: queries(qid, vector), items(id, vector) → qid, id, score, rank0.

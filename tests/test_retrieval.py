@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,29 @@ def test_per_query_cut_is_pruned_before_the_shuffle(spark):
 
     plan = entry.queries()["topk_per_query"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_a_cell_is_scored_a_few_queries_at_a_time(spark, monkeypatch, metric):
+    """However many queries meet a slice, scores held at once are bounded; a slice is copied once for thousands of queries."""
+    import pyarrow as pa
+
+    held = []
+    best = R._best
+    monkeypatch.setattr(R, "_best", lambda scores, ids, k: held.append(scores.base.size if scores.base is not None else scores.size) or best(scores, ids, k))
+    rng = np.random.default_rng(4)
+    q, v = rng.normal(size=(50, 6)), rng.normal(size=(30, 6))
+    left = pa.table({"qid": pa.array(range(50)), "vector": pa.array(list(q), pa.list_(pa.float64()))})
+    right = pa.table({"item": pa.array(range(30)), "item_vector": pa.array(list(v), pa.list_(pa.float64()))})
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    got = R.vector_kernel(4, metric, schema, cell_scores=90)(left, right).to_pylist()
+    assert max(held) <= 90 and len(got) == 200
+    if metric == "cosine":
+        full = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+    else:
+        full = -np.linalg.norm(q[:, None] - v[None], axis=2)
+    for r in got:
+        assert r["score"] == pytest.approx(full[r["qid"], r["id"]])
+    assert {(r["qid"], r["id"]) for r in got} == {(i, j) for i in range(50) for j in np.argsort(-full[i])[:4].tolist()}
+    rows = spark.range(3000).select(F.col("id"), F.array(F.col("id").cast("double")).alias("vector"))
+    assert R._cells(rows, rows, R.SLICE_ROWS, R.VECTOR_BLOCK_ROWS)[1] == 1
