@@ -1,4 +1,4 @@
-"""A field-weighted index of sections, written once: blocks of weights and an ordered dictionary."""
+"""A field-weighted index of sections, written once: blocks of impacts and an ordered dictionary with each word's weight."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from citeloom.functions.text import index_tokens
 from citeloom.operators import impact_blocks as I
-from citeloom.operators.retrieval import bm25_weight
 from citeloom.operators.sections import BOOSTS, RESULTS, prefix_words
 from citeloom.plans.keyword_index import word_counts
 from citeloom.session import materialize, small_side
@@ -22,25 +21,27 @@ class SectionIndex:
 
 
 def build(index: SectionIndex, records: DataFrame) -> None:
-    """records(id, section, doc, text): every field is cut into words once. A word's weight in a record is the sum of its
-    keyword weights in the fields, each times the field's boost."""
-    fields = materialize(records.select("id", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("field"), word_counts(F.coalesce(F.col(name), F.lit(""))).alias("words"))
-        for i, name in enumerate(BOOSTS)])).alias("f")).select(
-        "id", "f.field", "f.words", F.aggregate("f.words", F.lit(0), lambda n, w: n + w["tf"]).alias("dl")), "section-words")
-    means = {r["field"]: (r["n"], float(r["mean"] or 0)) for r in fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).collect()}
-    lengths = fields.groupBy("id").agg(F.sum("dl").cast("int").alias("dl"))
-    ranges = I.Ranges.of(lengths)
-    post = fields.select("id", "field", "dl", F.explode("words").alias("w")).select("id", "field", "dl", "w.*")
-    df = post.groupBy("field", "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    per_field = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("field") + 1)
+    """records(id, section, doc, text): every field is cut into words once. A word of a field is a word of the index, the
+    field's number in front, so that each has its own document frequency; a section's fields stand in one range."""
+    rows = materialize(records.select("id", F.array(*[word_counts(F.coalesce(F.col(name), F.lit(""))) for name in BOOSTS]).alias("fields")).withColumn(
+        "lengths", F.transform("fields", lambda f: F.aggregate(f, F.lit(0), lambda n, w: n + w["tf"]))), "section-words")
     order = range(len(BOOSTS))
-    weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), per_field(means.get(i, (0, 0))[0] for i in order),
-                         per_field(means.get(i, (0, 0))[1] or 1.0 for i in order)) * per_field(BOOSTS.values())
-    summed = post.join(df, ["field", "term"]).groupBy("id", "term").agg(F.sum(weight).alias("impact"), F.sum("tf").cast("int").alias("tf"))
-    placed = lengths.select("id", ranges.place(F.col("id"), F.col("dl")).alias("range"))
-    I.write_blocks(summed.join(small_side(placed), "id").select("id", "range", "term", "tf", "impact"), ranges, f"{index.root}/blocks")
-    I.write_dictionary(_blocks(index, records), f"{index.root}/terms")
+    found = rows.agg(F.count(F.lit(1)), *[F.avg(F.get("lengths", F.lit(i))) for i in order]).first()
+    n_docs, means = found[0], [float(m or 0) or 1.0 for m in found[1:]]
+    own = F.aggregate("lengths", F.lit(0), lambda n, x: n + x)
+    # rows of a repeated id stand together
+    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.sum(own).cast("int").alias("_dl")).filter("_n > 1").select("id", "_dl")
+    rows = rows.join(small_side(materialize(repeated, "section-repeated")), "id", "left").withColumn("dl", F.coalesce("_dl", own))
+    ranges = I.Ranges.of(rows)
+    mean = F.array(*map(F.lit, means))
+    fields = rows.select("id", ranges.place(F.col("id"), F.col("dl")).alias("range"), "lengths", F.posexplode("fields").alias("field", "found")).select(
+        "id", "range", I.length_norm(F.get("lengths", F.col("field")), F.get(mean, F.col("field"))).alias("norm"),
+        F.transform("found", lambda w: F.struct(F.concat(F.col("field").cast("string"), w["term"]).alias("term"), w["tf"].alias("tf"))).alias("words"))
+    I.write_blocks(fields, ranges, f"{index.root}/blocks", summed=True)
+    boost = F.get(F.array(*map(F.lit, BOOSTS.values())), F.substring("term", 1, 1).cast("int"))
+    I.write_dictionary(_blocks(index, records), f"{index.root}/words")
+    words = records.sparkSession.read.schema("term string, df bigint").parquet(f"{index.root}/words")
+    words.select("term", (boost * I.idf(F.col("df").cast("double"), n_docs)).alias("weight")).write.mode("overwrite").parquet(f"{index.root}/terms")
 
 
 def _blocks(index: SectionIndex, like: DataFrame) -> DataFrame:
@@ -48,6 +49,12 @@ def _blocks(index: SectionIndex, like: DataFrame) -> DataFrame:
     return like.sparkSession.read.schema(schema).parquet(f"{index.root}/blocks")
 
 
+def _per_field(words: DataFrame) -> DataFrame:
+    """words(qid, term, times) with a row per field, as the index names its words."""
+    fields = F.array(*[F.lit(str(i)) for i in range(len(BOOSTS))])
+    return words.select("qid", F.explode(F.transform(fields, lambda f: F.concat(f, "term"))).alias("term"), "times")
+
+
 def _starting_with(missed: DataFrame, terms: DataFrame) -> DataFrame:
     """missed(qid, term, times) → the dictionary's words that begin with theirs. Words are in order, so a prefix is a range:
     a few prefixes become conditions that the reader checks against the bounds of each stretch of the file."""
@@ -69,9 +76,10 @@ def search(index: SectionIndex, queries: DataFrame, k: int = RESULTS) -> DataFra
     """
     words = queries.select("qid", F.explode(index_tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(
         F.count(F.lit(1)).cast("double").alias("times"))
-    words = materialize(words, "section-asked")
-    terms = queries.sparkSession.read.schema("term string").parquet(f"{index.root}/terms")
-    known = materialize(words.join(terms, "term", "left_semi").select("qid", "term", "times"), "section-known")
+    words = materialize(_per_field(words), "section-asked")
+    terms = queries.sparkSession.read.schema("term string, weight double").parquet(f"{index.root}/terms")
+    known = materialize(words.join(terms.select("term"), "term", "left_semi").select("qid", "term", "times"), "section-known")
     missed = words.join(known.select("qid").distinct(), "qid", "left_anti")
-    asked = known.unionByName(_starting_with(missed, terms).select("qid", "term", "times"))
-    return I.block_topk(asked.withColumnRenamed("times", "weight"), _blocks(index, queries), queries.count(), k)
+    asked = known.unionByName(_starting_with(missed, terms.select("term")).select("qid", "term", "times"))
+    weighted = asked.join(terms, "term").select("qid", "term", (F.col("times") * F.col("weight")).alias("weight"))
+    return I.block_topk(weighted, _blocks(index, queries), queries.count(), k)

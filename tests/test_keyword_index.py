@@ -110,3 +110,30 @@ def test_ranges_hold_like_lengths_and_are_bounded(spark):
         F.count(F.lit(1)).alias("n"), F.min("dl").alias("low"), F.max("dl").alias("high")).collect()
     assert {r["range"] for r in rows} <= set(range(ranges.total)) and max(r["n"] for r in rows) <= 160
     assert all(r["high"] + 1 <= 1.2 * (r["low"] + 1) for r in rows)
+
+
+def test_documents_travel_once_and_no_posting_by_itself(spark, tmp_path):
+    """Building blocks shuffles a row per document; blocks hold what the postings say, in the order of their words."""
+    docs = frame(spark, corpus(60)).withColumn("words", K.word_counts(F.col("text"))).withColumn("dl", F.aggregate("words", F.lit(0), lambda n, w: n + w["tf"]))
+    ranges = I.Ranges.of(docs, 10)
+    placed = docs.select("id", ranges.place(F.col("id"), F.col("dl")).alias("range"), I.length_norm(F.col("dl"), 30.0).alias("norm"), "words")
+    I.write_blocks(placed, ranges, str(tmp_path))
+    got = spark.read.parquet(str(tmp_path)).select("range", "term", "n", "cf", "top", F.explode("rows").alias("r")).select("range", "term", "n", "cf", "top", "r.*")
+    posts = docs.select("id", "dl", ranges.place(F.col("id"), F.col("dl")).alias("range"), F.explode("words").alias("w")).select(
+        "id", "range", "w.term", "w.tf", I.impact(F.col("w.tf"), F.col("dl"), 30.0).alias("impact"))
+    sums = posts.groupBy("range", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").cast("bigint").alias("cf"), F.max("impact").alias("top"))
+    want = posts.join(sums, ["range", "term"]).select("range", "term", "n", "cf", "top", "id", "impact")
+    near = lambda rows: sorted((r["range"], r["term"], r["n"], r["cf"], round(r["top"], 12), r["id"], round(r["impact"], 12)) for r in rows.collect())
+    assert near(got) == near(want)
+
+
+def test_sections_of_one_id_add_up(spark, tmp_path):
+    """Rows that share an id count as one hit with the sum of their weights; fields weigh by their own statistics."""
+    from citeloom.operators import sections as N
+    from citeloom.plans import section_index as SI
+
+    rows = [(f"s{i}", f"head w{i % 7}", "doc title", f"w{i % 5} w{i % 3} body " * (1 + i % 4)) for i in range(40)] + [("s1", None, "doc w1", "w1 " * 30)]
+    records = spark.createDataFrame(rows, "id string, section string, doc string, text string")
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "titl"), (3, "head body w6")], "qid bigint, text string")
+    SI.build(SI.SectionIndex(str(tmp_path)), records)
+    assert hits(SI.search(SI.SectionIndex(str(tmp_path)), asked)) == hits(N.section_search(asked, records.fillna("")))
