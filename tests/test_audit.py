@@ -125,3 +125,32 @@ def test_history_across_ranges(spark):
     for width in (1, 3, 7, 4096):
         found = {(r["conv_id"], r["turn"]): [tuple(h) for h in r["history"]] for r in V.history(frame, width=width).collect()}
         assert found == want
+
+
+def test_squeezing_white_space_changes_nothing_else(spark):
+    """Runs of any white space become one blank, single blanks stay; the pattern meets single blanks no more."""
+    import re
+
+    from citeloom.functions import text as T
+
+    rows = [(a + b + c,) for a in ("x", "", "é") for b in [*T.WHITESPACE, "  ", " \t", "\t ", "\xa0  ", "~", "!"] for c in ("y", "", " ", "　z  z")]
+    got = spark.createDataFrame(rows, "t string").select("t", T.squeeze_space(F.col("t")).alias("s")).collect()
+    assert all(r["s"] == re.sub(f"[{re.escape(T.WHITESPACE)}]+", " ", r["t"]) for r in got)
+    assert spark.createDataFrame([("a b c",)], "t string").filter(F.col("t").rlike(T._WS_RUN)).isEmpty()
+
+
+def test_claims_are_made_once_for_both_sides(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["reverify_changed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
+
+
+def test_a_text_is_lowered_once_for_all_terms(spark):
+    from citeloom.functions import text as T
+
+    rows = [("Alpha & Beta gamma", ["zeta", "BETA", "alpha"]), ("none", ["x1"]), (None, ["x1"]), ("a", None), ("", [])]
+    docs = spark.createDataFrame(rows, "t string, w array<string>")
+    snippet = T.match_snippet(F.col("t"), F.col("w"))
+    assert [r[0] for r in docs.select(snippet).collect()] == ["<mark>Alpha</mark> &amp; <mark>Beta</mark> gamma …", "none …", None, None, " …"]
+    assert "instr(lower(t)" not in str(snippet)
