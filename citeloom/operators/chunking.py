@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ _BLOCK = 8192  # long pages enter the window in pieces of this size, so each ste
 _BLANKS = re.compile("[ \\t]+")
 _SPACE_CODES = np.array([ord(c) for c in WHITESPACE], np.uint32)
 
+TASK_CHARS = 16 << 20  # characters of pages that one task sorts
 LONG = 4 << 20      # characters of a file beyond which it is cut by several tasks
 
 _CHUNK_FIELDS = "page_start int, page_end int, text string, start_at bigint, end_at bigint"
@@ -57,10 +59,13 @@ def chunk_pages(pages: DataFrame, long: int = LONG) -> DataFrame:
     at a time. Longer files are cut by several tasks each.
     """
     sizes = pages.groupBy("file").agg(F.sum(F.length("text") + len(PAGE_GAP)).alias("size"))
-    giants = materialize(sizes.filter(F.col("size") > long).select("file"), "long-files")
-    some = not giants.isEmpty()
+    sizes = materialize(sizes, "file-sizes")
+    giants = sizes.filter(F.col("size") > long).select("file")
+    some, chars = sizes.agg(F.coalesce(F.max(F.col("size") > long), F.lit(False)), F.coalesce(F.sum("size"), F.lit(0))).first()
     rows = tidy_pages(pages.join(giants, "file", "left_anti") if some else pages).select("file", F.col("page").cast("int").alias("page"), "text")
-    rows = rows.repartition("file").sortWithinPartitions("file", "page")
+    # as many tasks as the pages need, so that what one sorts does not grow with the table
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / TASK_CHARS))
+    rows = rows.repartition(tasks, "file").sortWithinPartitions("file", "page")
     out = _with_ids(rows.mapInArrow(_page_batches, f"file string, n int, {_CHUNK_FIELDS}"))
     return out.unionByName(_with_ids(cut_in_parallel(pages.join(giants, "file", "left_semi")))) if some else out
 

@@ -154,3 +154,10 @@ def test_table_function_in_small_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert sorted(map(tuple, got)) == sorted(map(tuple, C.chunk_pages(pages).select("file", "n", "page_start", "page_end", "text").collect()))
+
+
+def test_tasks_grow_with_the_pages(spark, monkeypatch):
+    """What one task sorts is bounded, however many pages there are."""
+    monkeypatch.setattr(C, "TASK_CHARS", 2000)
+    pages = spark.createDataFrame([(f"f{i % 40}", i // 40 + 1, "word " * 20) for i in range(400)], "file string, page int, text string")
+    assert C.chunk_pages(pages).rdd.getNumPartitions() >= 20
