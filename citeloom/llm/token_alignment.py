@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import re
@@ -205,12 +206,22 @@ def _stretch_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def _give_back() -> None:
+    """Freed memory of Arrow and of the C library goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def alignment_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of documents with their units, the units' links, and the block's count of every irregular pair.
 
     A block ends when its texts hold ``block_bytes``; one longer text is a block of its own. Counts of one-to-one groups
-    are kept in a vector as long as A's vocabulary, which a task's last block carries.
+    are kept in a vector as long as A's vocabulary, which a task's last block, one without documents, carries. Blocks leave one
+    by one, and what their making took is given back to the system, so a worker holds one block however many it makes.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
     schema = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("shape", pa.binary()), ("digest", pa.list_(pa.string())),
@@ -220,7 +231,7 @@ def alignment_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
         tools = vocabularies(path_a, path_b)
         vector = np.zeros(len(tools.bytes_a), "int64")
         number = TaskContext.get().partitionId() << 32
-        ids, texts, held, waiting = [], [], 0, None
+        ids, texts, held = [], [], 0
 
         def row(values: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
@@ -230,17 +241,17 @@ def alignment_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
             texts += batch.column(1).to_pylist()
             held += batch.nbytes
             if held >= block_bytes:
-                if waiting:
-                    yield row(waiting)
-                waiting = _block(tools, number, ids, texts, vector)
+                made = row(_block(tools, number, ids, texts, vector))
                 ids, texts, held, number = [], [], 0, number + 1
+                yield made
+                del made
+                _give_back()
         if ids:
-            if waiting:
-                yield row(waiting)
-            waiting = _block(tools, number, ids, texts, vector)
-        if waiting:
-            waiting[-1] = vector
-            yield row(waiting)
+            yield row(_block(tools, number, ids, texts, vector))
+            number += 1
+        if vector.any():
+            yield row([*_block(tools, number, [], [], vector)[:-1], vector])
+        _give_back()
 
     return source.mapInArrow(align, BLOCK_SCHEMA)
 

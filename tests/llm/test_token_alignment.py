@@ -93,3 +93,16 @@ def test_units_are_independent(text):
         assert "".join(units) == " " + text
         assert sum(TOOLS.ids_a(units), []) == A.encode(" " + text, add_special_tokens=False).ids
         assert sum(TOOLS.ids_b(units), []) == B.encode(text, num_threads=1)
+
+
+def test_blocks_leave_one_by_one(spark):
+    """A task holds one block at a time: counts of one-to-one groups follow in a block of their own, without documents."""
+    import public_tokenizers
+
+    from citeloom.llm import token_alignment as TA
+
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 40) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    rows = TA.alignment_blocks(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), block_bytes=2000).collect()
+    carry = [r for r in rows if len(r["vector"])]
+    assert len(carry) == 1 and carry[0]["doc_id"] == [] and sum(carry[0]["vector"]) > 0
+    assert sorted(i for r in rows for i in r["doc_id"]) == list(range(60))
