@@ -137,3 +137,36 @@ def test_sections_of_one_id_add_up(spark, tmp_path):
     asked = spark.createDataFrame([(1, "w1 w2"), (2, "titl"), (3, "head body w6")], "qid bigint, text string")
     SI.build(SI.SectionIndex(str(tmp_path)), records)
     assert hits(SI.search(SI.SectionIndex(str(tmp_path)), asked)) == hits(N.section_search(asked, records.fillna("")))
+
+
+@pytest.mark.parametrize("postings, asked_rows", [(2000, 50), (1 << 22, 1000)])
+def test_many_questions_meet_slices_in_cells(spark, tmp_path, monkeypatch, postings, asked_rows):
+    """No (question, range) pair is written down; lists are those of the plain search, ties and repeated words too."""
+    docs, asked = frame(spark, corpus(400) + [(1000 + i, f"w{i % 9} every") for i in range(60)]), questions(spark, 150)
+    index = K.KeywordIndex(str(tmp_path))
+    K.add(index, docs, 0)
+    K.refresh(spark, index, 20)
+    written, cells = [], I.cell_topk
+    keep = I.materialize
+    monkeypatch.setattr(I, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    monkeypatch.setattr(I, "cell_topk", lambda *a: cells(*a, postings, asked_rows))
+    monkeypatch.setattr(I, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(I, "MOST_BOUNDS", 100)
+    got = K.topk(index, asked, 30, 2)
+    assert "bounds" not in written and "asked-words" in written
+    assert hits(got) == hits(R.bm25_topk(asked, docs, 30, 2))
+
+
+def test_a_cell_of_odd_rows():
+    """An id twice in a range is one document, in two ranges two; absent words, text ids and a question without hits."""
+    import pyarrow as pa
+
+    post = pa.list_(pa.struct([("id", pa.string()), ("impact", pa.float64())]))
+    rows = [[{"id": "b", "impact": 1.0}, {"id": "a", "impact": 1.0}, {"id": "a", "impact": 1.0}], [{"id": "a", "impact": 0.5}], [{"id": "c", "impact": 2.0}]]
+    right = pa.table({"range": pa.array([0, 1, 0], pa.int32()), "code": pa.array([7, 7, 9]), "rows": pa.array(rows, post)})
+    word = pa.list_(pa.struct([("less", pa.float64()), ("code", pa.int64())]))
+    left = pa.table({"qid": pa.array([1, 2, 3]), "words": pa.array([[{"less": -2.0, "code": 7}], [{"less": -1.0, "code": 8}],
+                                                                   [{"less": -1.0, "code": 7}, {"less": -0.25, "code": 9}]], word)})
+    schema = pa.schema([("qid", pa.int64()), ("hits", pa.list_(pa.struct([("id", pa.string()), ("score", pa.float64())])))])
+    got = {r["qid"]: [(h["id"], h["score"]) for h in r["hits"]] for r in I.cell_kernel(3, schema)(left, right).to_pylist()}
+    assert got == {1: [("a", 2.0), ("b", 2.0), ("a", 1.0)], 3: [("a", 1.0), ("b", 1.0), ("a", 0.5)]}

@@ -175,3 +175,20 @@ def test_a_cell_is_scored_a_few_queries_at_a_time(spark, monkeypatch, metric):
     assert {(r["qid"], r["id"]) for r in got} == {(i, j) for i in range(50) for j in np.argsort(-full[i])[:4].tolist()}
     rows = spark.range(3000).select(F.col("id"), F.array(F.col("id").cast("double")).alias("vector"))
     assert R._cells(rows, rows, R.SLICE_ROWS, R.VECTOR_BLOCK_ROWS)[1] == 1
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_many_queries_get_one_list_per_slice(spark, metric):
+    """Blocks of queries that keep all workers busy meet few wide slices, which return a list per query; ties go by id."""
+    rng = np.random.default_rng(8)
+    q, v = rng.integers(0, 4, (300, 3)).astype(float) + 0.5, rng.integers(0, 4, (700, 3)).astype(float) + 0.25
+    queries = spark.createDataFrame([(i, x) for i, x in enumerate(q.tolist())], "qid bigint, vector array<double>")
+    items = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "id bigint, vector array<double>")
+    got = R.vector_topk(queries, items, 5, metric, slice_rows=100, block_rows=10)
+    assert "hits" in got._jdf.queryExecution().optimizedPlan().toString()
+    if metric == "cosine":
+        full = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+    else:
+        full = -np.linalg.norm(q[:, None] - v[None], axis=2)
+    want = {(i, n): int(j) for i in range(300) for n, j in enumerate(np.lexsort((np.arange(700), -np.round(full[i], 9)))[:5])}
+    assert {(r["qid"], r["rank0"]): r["id"] for r in got.collect()} == want
