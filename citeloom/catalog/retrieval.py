@@ -8,7 +8,7 @@ from citeloom.catalog import fixtures as X
 from citeloom.catalog.registry import Tables, query
 from citeloom.operators import retrieval as R
 from citeloom.plans import keyword_index as K
-from citeloom.session import scratch_path
+from citeloom.session import materialize, scratch_path, small_side
 
 _ALL_SELF = "(SELECT vec_id AS qid, embedding AS vector FROM embeddings)"
 
@@ -108,4 +108,4 @@ WITH {X.vector_sql(X.QUERY_VECTORS, X.ITEM_VECTORS, 36)}, {X.bm25_sql(X.QUERY_TE
 {X.CHUNKS_SQL} {_PROJECTION}""")
 def hybrid_search(t: Tables):
     hits = R.hybrid_search(X.benchmark_vectors(t), None, X.vectors(t), 12, K.searcher(X.keyword_index(t)))
-    return R.hit_projection(R.hydrate(hits, X.documents_as_chunks(t)))
+    return R.hit_projection(R.hydrate(small_side(materialize(hits, "hits")), X.documents_as_chunks(t)))

@@ -170,3 +170,65 @@ def test_a_cell_of_odd_rows():
     schema = pa.schema([("qid", pa.int64()), ("hits", pa.list_(pa.struct([("id", pa.string()), ("score", pa.float64())])))])
     got = {r["qid"]: [(h["id"], h["score"]) for h in r["hits"]] for r in I.cell_kernel(3, schema)(left, right).to_pylist()}
     assert got == {1: [("a", 2.0), ("b", 2.0), ("a", 1.0)], 3: [("a", 1.0), ("b", 1.0), ("a", 0.5)]}
+
+
+def test_words_in_a_string_make_the_blocks_of_counted_words(spark, tmp_path):
+    """Words come as often as they occur; counting them is left to the task that makes the blocks."""
+    docs = frame(spark, corpus(60) + [(900, "a a b a"), (901, "")]).withColumn("dl", F.size(F.split("text", " ")))
+    ranges = I.Ranges.of(docs, 10)
+    placed = docs.select("id", ranges.place(F.col("id"), F.col("dl")).alias("range"), I.length_norm(F.col("dl"), 30.0).alias("norm"),
+                         F.col("text").alias("words"), K.word_counts(F.col("text")).alias("counted"))
+    for summed in (False, True):
+        I.write_blocks(placed.drop("counted"), ranges, f"{tmp_path}/string{summed}", summed)
+        I.write_blocks(placed.drop("words").withColumnRenamed("counted", "words"), ranges, f"{tmp_path}/counted{summed}", summed)
+        rows = [sorted(map(str, spark.read.parquet(f"{tmp_path}/{kind}{summed}").collect())) for kind in ("string", "counted")]
+        assert rows[0] == rows[1] and len(rows[0]) > 100
+
+
+def test_segments_hold_words_uncounted_and_older_ones_are_read(spark, tmp_path):
+    rows = corpus(40) + [(900, "Élan élan vital"), (901, None)]
+    new, old = K.KeywordIndex(str(tmp_path / "new")), K.KeywordIndex(str(tmp_path / "old"))
+    K.add(new, frame(spark, rows), 0)
+    segment = spark.read.parquet(new.segment(K.committed(spark, new)[0][1]))
+    assert [segment.schema[c].dataType.simpleString() for c in ("words", "dl")] == ["string", "int"]
+    assert segment.filter("id = 900").select("words", "dl").first() == ("elan elan vital", 3)
+    counted = frame(spark, rows[:20]).select("id", K.word_counts(F.coalesce("text", F.lit(""))).alias("words"), F.lit(False).alias("gone"))
+    K._write_segment(counted, old, 0, False)
+    K.add(old, frame(spark, rows[20:]), 1)
+    assert hits(K.topk(old, questions(spark), 8, 2)) == hits(K.topk(new, questions(spark), 8, 2))
+    K.merge(spark, old)
+    assert hits(K.topk(old, questions(spark), 8, 2)) == hits(K.topk(new, questions(spark), 8, 2))
+
+
+def test_ranges_are_bounded_in_words_too(spark, monkeypatch):
+    monkeypatch.setattr(I, "RANGE_WORDS", 10_000)
+    lengths = spark.range(400).select("id", F.when(F.col("id") < 300, 5).otherwise(1000).alias("dl"))
+    ranges = I.Ranges.of(lengths, 1000)
+    assert sorted(c for c in ranges.counts if c) == [1, 10]
+
+
+@pytest.mark.parametrize("n, bounded", [(8, True), (40, False)])
+def test_a_batch_of_questions_reads_the_blocks_once(spark, tmp_path, monkeypatch, n, bounded):
+    """Forty questions leave hardly a range unread: no bounds are written for them; a few questions are bounded still."""
+    docs, asked = frame(spark, corpus(300)), questions(spark, n)
+    index = K.KeywordIndex(str(tmp_path))
+    K.add(index, docs, 0)
+    K.refresh(spark, index, 20)
+    written, keep = [], I.materialize
+    monkeypatch.setattr(I, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    monkeypatch.setattr(I, "MOST_BOUNDS", 100)
+    assert hits(K.topk(index, asked, 30, 2)) == hits(R.bm25_topk(asked, docs, 30, 2))
+    assert ("bounds" in written) == bounded
+
+
+def test_texts_of_hits_are_not_shuffled(spark):
+    """Few hits meet the documents where these are read."""
+    import __spark_entry__ as entry
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["hybrid_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
