@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from citeloom.llm.common import in_pieces, materialize, text_of
 from citeloom.llm.packing import byte_alphabet
+from citeloom.session import LARGE_ROWS
 
 BLOCK_BYTES = 8 << 20
 UNITS_AT_ONCE = 4096  # an encoding of the library takes about a thousand bytes
@@ -87,11 +88,6 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(start - first, count)
 
 
-def _offsets(owner: np.ndarray, size: int) -> np.ndarray:
-    """Where each owner's stretch begins in a list sorted by owner, and the end of the last."""
-    return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=size))])
-
-
 class Aligned:
     """Tokens, groups and links of distinct units, worked out ``UNITS_AT_ONCE`` at a time.
 
@@ -169,7 +165,7 @@ def _block(tools: Vocabularies, number: int, ids: list, texts: list[str], vector
     seen, codes = _Numbered(), []
     for text in texts:
         # a mark in a text would be read as a space; such a text has no tokens
-        codes.append(np.fromiter(map(seen.__getitem__, tools.units(" " + text)) if text and MARK not in text else [], "int64"))
+        codes.append(np.fromiter(map(seen.__getitem__, tools.units(" " + text)) if text and MARK not in text else [], "int32"))
     known = Aligned(tools, list(seen)) if seen else None
     digests, kept = [], []
     for own in codes:
@@ -179,18 +175,18 @@ def _block(tools: Vocabularies, number: int, ids: list, texts: list[str], vector
         else:
             digests.append(hashlib.sha256(";".join([known.texts[c] for c in own.tolist()]).encode()).hexdigest())
             kept.append(own)
-    doc = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-    size = max(1, len(seen))
-    key, times = np.unique(doc * size + (np.concatenate(kept) if kept else doc), return_counts=True)
-    doc, unit = key // size, key % size
-    doc_at = _offsets(doc, len(kept))
-    shape = np.zeros((len(kept), 4), "int64")
+    # document by document: sorting all their units at once takes 80 MB
+    own = [np.unique(k, return_counts=True) for k in kept]
+    unit, times = (np.concatenate([np.zeros(0, "int64"), *c]).astype("int64") for c in zip(*own)) if own else (np.zeros(0, "int64"),) * 2
+    doc_at = np.concatenate([[0], np.cumsum([len(u) for u, _ in own], dtype="int64")])
+    del codes, kept, own
+    shape = np.zeros((len(texts), 4), "int64")
     blobs = dict.fromkeys(_BLOBS, b"")
     pair, n = np.zeros(0, "int64"), np.zeros(0, "int64")
     if known is not None:
         for c in range(4):
             shape[:, c] = _stretch_sums(known.shape[unit, c] * times, doc_at)
-        uses = np.bincount(unit, weights=times, minlength=size).astype("int64")
+        uses = np.bincount(unit, weights=times, minlength=len(seen)).astype("int64")
         np.add.at(vector, known.same, np.repeat(uses, np.diff(known.same_at)))
         pair, number_of = np.unique(known.pairs, return_inverse=True)
         n = np.bincount(number_of, weights=np.repeat(uses, np.diff(known.pairs_at)), minlength=len(pair)).astype("int64")
@@ -287,7 +283,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     length is read whole. An empty table gives an empty result. Columns other than the two named are not read.
     """
     spark = docs.sparkSession
-    blocks = materialize(alignment_blocks(docs, path_a, path_b, id_col, text_col, block_bytes), "align-blocks")
+    blocks = materialize(alignment_blocks(docs, path_a, path_b, id_col, text_col, block_bytes), "align-blocks", **LARGE_ROWS)
     counts = materialize(pair_counts(blocks, path_a, path_b), "align-pairs")
     # both are bounded by a vocabulary: one row per B id, one per A id
     best = F.broadcast(counts.groupBy("b").agg(F.max("n").alias("best")))

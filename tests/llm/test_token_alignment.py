@@ -106,3 +106,28 @@ def test_blocks_leave_one_by_one(spark):
     carry = [r for r in rows if len(r["vector"])]
     assert len(carry) == 1 and carry[0]["doc_id"] == [] and sum(carry[0]["vector"]) > 0
     assert sorted(i for r in rows for i in r["doc_id"]) == list(range(60))
+
+
+def test_blocks_are_written_in_small_row_groups(spark, small_docs, monkeypatch):
+    """A task makes many blocks of many MB, and a row group is held as a whole by who writes it and who reads it."""
+    import glob
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from citeloom import session
+
+    made, keep = [], T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name, **options: made.append((name, options)) or keep(df, name, **options))
+    T.align(small_docs, *PATHS)
+    assert ("align-blocks", session.LARGE_ROWS) in made
+
+    def large(batches):
+        for _ in batches:
+            for _ in range(12):
+                yield pa.RecordBatch.from_arrays([pa.array([os.urandom(4 << 20)])], ["held"])
+
+    rows = spark.range(1, numPartitions=1).mapInArrow(large, "held binary")
+    folder = session.materialize(rows, "large-rows", **session.LARGE_ROWS).inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    sizes = [pq.ParquetFile(f).metadata.row_group(i).total_byte_size for f in glob.glob(f"{folder}/*.parquet") for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) < 24 << 20
