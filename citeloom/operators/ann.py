@@ -19,7 +19,8 @@ def unit(vectors: DataFrame) -> DataFrame:
     """Vectors scaled to length one, as doubles."""
     as_double = F.transform("vector", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(as_double, F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.withColumn("vector", F.transform(as_double, lambda x: x / F.greatest(norm, F.lit(1e-300))))
+    # the norm is worked out once a vector, not once a component
+    return vectors.withColumn("vector", F.transform(F.array(norm), lambda n: F.transform(as_double, lambda x: x / F.greatest(n, F.lit(1e-300))))[0])
 
 
 def fit_cells(items: DataFrame, cells: int, seed: int = 7, max_iter: int = 10) -> KMeansModel:

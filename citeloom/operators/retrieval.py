@@ -87,7 +87,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks().flatten()
     if len(widths) != 1 or widths[0] is None or flat.null_count:
         raise ValueError(f"vectors must be present and of one width, found widths {widths}")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, widths[0])
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, widths[0])
 
 
 def _hit_table(qids, ids, scores, schema: pa.Schema) -> pa.Table:

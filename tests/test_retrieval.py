@@ -135,6 +135,29 @@ def test_graph_of_few_items(spark):
     assert {(r["qid"], r["rank0"]): r["id"] for r in found.collect()} == {(1, 0): 1, (1, 1): 3, (2, 0): 2, (2, 1): 3, (3, 0): 3, (3, 1): 1}
 
 
+def test_shards_of_a_graph_are_walked_in_their_tasks(spark, monkeypatch):
+    """Nodes in several shards, a start node among copies, an id that stands for two rows, one without; no round of a search
+    is written, and as few tables at 400 questions as at 3."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
+    rows += [(1000 + i, list(rows[3][1])) for i in range(40)] + [(7, list(rows[7][1])), (8, [rng.gauss(0, 1) for _ in range(6)]), (2000, [0.0] * 6), (None, [1.0] * 6)]
+    items = spark.createDataFrame(rows, "id bigint, vector array<float>")
+    written, keep = [], neighbour_graph.materialize
+    monkeypatch.setattr(neighbour_graph, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    nodes, edges = neighbour_graph.neighbour_graph(items, k=10, shard_numbers=700)
+    shards = {r["id"]: r["shard"] for r in nodes.collect()}
+    assert len(set(shards.values())) == 4 and all(shards[r["a"]] == shards[r["b"]] and r["a"] != r["b"] for r in edges.collect())
+    exact = R.vector_topk(items.withColumnRenamed("id", "qid").filter("qid IS NOT NULL"), items.filter("id IS NOT NULL"), 10)
+    for few in (3, 400):
+        written.clear()
+        queries = items.filter(f"id < {few}").withColumnRenamed("id", "qid")
+        found = neighbour_graph.graph_topk(queries, nodes, edges, 10, beam=40)
+        assert ann.recall(found.distinct(), exact.join(queries.select("qid").distinct(), "qid").distinct()).agg(F.avg("recall")).first()[0] >= 0.95
+        assert sorted(written) == ["graph-linked", "graph-queries"]
+    # questions 7 and 8 come twice, and so does either's own row
+    assert [(r["id"], r["rank0"]) for r in found.filter("qid = 7").orderBy("rank0").collect()][:4] == [(7, i) for i in range(4)]
+
+
 @pytest.mark.parametrize("key", ["vector_topk", "bm25_topk", "hybrid_search", "retrieve_evidence", "section_search",
                                  "companion_inherit", "flow_at", "milestone_asof", "active_over_years", "cited_source_priority"])
 def test_no_cross_join(spark, key):
