@@ -157,6 +157,21 @@ def test_many_questions_meet_slices_in_cells(spark, tmp_path, monkeypatch, posti
     assert hits(got) == hits(R.bm25_topk(asked, docs, 30, 2))
 
 
+def test_cells_are_answered_in_rounds(spark, tmp_path, monkeypatch):
+    """More cells than may be moved at once follow when those before are done; lists stay those of the plain search."""
+    docs, asked = frame(spark, corpus(400) + [(1000 + i, f"w{i % 9} every") for i in range(60)]), questions(spark, 150)
+    index = K.KeywordIndex(str(tmp_path))
+    K.add(index, docs, 0)
+    K.refresh(spark, index, 20)
+    rounds, cells, cut = [], I.cell_topk, I.pack_hits
+    monkeypatch.setattr(I, "pack_hits", lambda packed, k: rounds.append(k) or cut(packed, k))
+    monkeypatch.setattr(I, "cell_topk", lambda *a: cells(*a, 300, 20, most_moved=1))
+    monkeypatch.setattr(I, "MOST_BOUNDS", 100)
+    got = K.topk(index, asked, 30, 2)
+    assert len(rounds) > 2
+    assert hits(got) == hits(R.bm25_topk(asked, docs, 30, 2))
+
+
 def test_a_cell_of_odd_rows():
     """An id twice in a range is one document, in two ranges two; absent words, text ids and a question without hits."""
     import pyarrow as pa
