@@ -27,7 +27,8 @@ ROUNDS = 8
 SETTLED = 0.001        # share of edges that a round must change to be followed by another
 BEAM, EXPAND = 96, 8   # nodes a question keeps, and those whose neighbours it looks at in a round
 ENTRIES = 64           # start nodes of a search
-SHARD_NUMBERS = 6 << 20  # components of the vectors of a shard: 48 MB as doubles
+SHARD_NUMBERS = 6 << 20  # components of the vectors of a shard, at most: 48 MB as doubles
+SHARD_ROWS = 8192      # nodes of a shard, if all workers have one
 ASKING_ROWS = 65_536   # questions that meet one shard in one task, at most
 LEAST_ASKING = 1024    # so few are not parted
 MET_ROWS = 2048        # nodes whose neighbours are compared at once
@@ -131,10 +132,12 @@ def neighbour_graph(items: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS,
                     shard_numbers: int = SHARD_NUMBERS) -> tuple[DataFrame, DataFrame]:
     """items(id, vector) → nodes(id, vector of length one, shard) and edges(a, b, score), ``k`` a node, by the cosine.
 
-    Up to ``shard_numbers`` components there is one shard; edges do not leave their shard."""
+    A shard has at most about ``shard_numbers`` components, and ``SHARD_ROWS`` nodes as long as that keeps no more than all workers
+    busy; edges do not leave their shard."""
     nodes = materialize(unit(items).select("id", "vector"), "graph-nodes")
     n, width = nodes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    nodes = nodes.withColumn("shard", _bucket("id", max(1, math.ceil(n * (width or 1) / shard_numbers))))
+    shards = max(1, math.ceil(n * (width or 1) / shard_numbers), min(items.sparkSession.sparkContext.defaultParallelism, math.ceil(n / SHARD_ROWS)))
+    nodes = nodes.withColumn("shard", _bucket("id", shards))
     schema, arrow = _edge_schema(nodes)
 
     def make(table: pa.Table) -> pa.Table:
